@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False).drop("ids")
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_bpe": op3_bpe,
+    "op4_substring": op4_substring,
     "op8_simhash": op8_simhash,
 }
 
