@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring, toxicity
+from . import bpe, knn, licenses, simhash, substring, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out()))
@@ -31,11 +36,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.bad_label()).drop("listed")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_substring": op4_substring,
     "op8_simhash": op8_simhash,
+    "op9_topk": op9_topk,
+    "op10_urls": op10_urls,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_topk": knn.SQL,
+    "op10_urls": urls.SQL,
+}
