@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn, licenses, simhash, substring, toxicity, urls
+from . import bpe, chat, knn, licenses, simhash, substring, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("text")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    columns = ["conv_id", "turn", "role", "text"]
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*columns, F.lit(0).alias("own")).unionByName(more.withColumn("own", F.lit(1)))
+    return chat.format_conversations(rows, texts=False).drop("own", "formatted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_substring": op4_substring,
+    "op6_chat": op6_chat,
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_urls": op10_urls,
