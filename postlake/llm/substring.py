@@ -23,13 +23,14 @@ repeats). Rows without a doc_id neither lose words nor cause a loss. Null texts
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, flat, mix, run_hashes, slices, word_bounds, word_hashes
 
@@ -215,10 +216,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FLAG = "doc_id long, start int, n int, check int, kind int"
 
 
-def _spread(docs: DataFrame, flags: DataFrame, how: str) -> DataFrame:
-    """Each document with its flags."""
+def _spread(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """The documents that have flags, with them."""
     own = flags.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("flags"))
-    return docs.join(own.hint("shuffle_hash"), "doc_id", how).select("doc_id", "text", "flags")
+    return docs.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "flags")
 
 
 def _flagged(column: pa.ListArray) -> tuple[np.ndarray, ...]:
@@ -256,7 +257,7 @@ def single_edges(docs: DataFrame, branching: DataFrame, window: int = WINDOW, bl
             for i in range(0, len(cols[0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in cols], ["key", "minimizer", "words", "check", "doc_id", "start", "n", "kind"])
 
-    edges = _spread(docs, branching, "inner").mapInArrow(run, _PATH)
+    edges = _spread(docs, branching).mapInArrow(run, _PATH)
     return _dealt(edges).mapInArrow(_settle, _FLAG).where(F.col("kind") == REPEAT)
 
 
@@ -276,14 +277,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, sub: int = SUB, block: int =
 _CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, sub: int = SUB, block: int = BLOCK, texts: bool = True) -> DataFrame:
+def _kept_text(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the words that are gone; white space before a kept word stays."""
+    stay = ~gone
+    opens = np.flatnonzero(stay & ~np.concatenate(([False], stay[:-1])))
+    shuts = np.flatnonzero(stay & ~np.concatenate((stay[1:], [False])))
+    body = b"".join([raw[(ends[a - 1] if a else 0) : ends[z]] for a, z in zip(opens.tolist(), shuts.tolist(), strict=True)]).decode("utf-8")
+    return body.lstrip(" \t\n\r\x0b\x0c") if gone[0] else body
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, sub: int = SUB, block: int = BLOCK, texts: bool = True, carried: Sequence[str] = ()) -> DataFrame:
     """Each row's (doc_id, n_words, n_removed, kept_sha256, text): the text without the words that repeated windows cover.
 
-    The hash is of the kept words with one space between. ``text`` keeps the original white space around
-    kept words, is as before where nothing is removed, and is null unless ``texts``.
+    The hash is of the kept words with one space between. ``text`` keeps the original white space before
+    kept words, is as before where nothing is removed, and is null unless ``texts``. ``carried`` columns
+    follow unchanged.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)))
     found = repeats(docs, window, sub, block)
+    extra = [f"carried_{i}" for i in range(len(carried))]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *extra]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,27 +319,31 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, sub: int = SUB, block
                 for i, t in enumerate(piece.column(1)):
                     text = t.as_py()
                     raw = text.encode("utf-8")
-                    words = raw.split()
+                    kept = words = raw.split()
                     lost = 0
                     if gone is not None:
-                        mine = gone[w.first[i] : w.first[i + 1]]
-                        lost = int(mine.sum())
+                        mine = slice(w.first[i], w.first[i + 1])
+                        lost = int(gone[mine].sum())
                     if lost:
                         if texts:
-                            starts, ends = (x[w.first[i] : w.first[i + 1]] - w.base[i] for x in (w.starts, w.ends))
-                            stay = ~mine
-                            opens = np.flatnonzero(stay & ~np.concatenate(([False], stay[:-1])))
-                            shuts = np.flatnonzero(stay & ~np.concatenate((stay[1:], [False])))
-                            runs = [raw[(ends[a - 1] if a else 0) : ends[z]] for a, z in zip(opens.tolist(), shuts.tolist(), strict=True)]
-                            body = b"".join(runs).decode("utf-8")
-                            text = body.lstrip(" \t\n\r\x0b\x0c") if mine[0] else body
-                        kept = list(compress(words, (~mine).tolist()))
-                    else:
-                        kept = words
-                    out[0].append(len(words))
-                    out[1].append(lost)
-                    out[2].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                    out[3].append(text if texts else None)
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, y) for x, y in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
-
-    return _spread(own, found, "left").mapInArrow(run, _CUT)
+                            text = _kept_text(raw, w.starts[mine] - w.base[i], w.ends[mine] - w.base[i], gone[mine])
+                        kept = list(compress(words, (~gone[mine]).tolist()))
+                    for c, x in zip(out, (len(words), lost, hashlib.sha256(b" ".join(kept)).hexdigest(), text if texts else None), strict=True):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *piece.columns[3:]], names)
+
+    schema = T.StructType([*T.StructType.fromDDL(_CUT).fields, *(own.schema[c] for c in extra)])
+    flags = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("flags"))
+    joined = own.join(flags.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "flags", *extra)
+    made = joined.mapInArrow(run, schema)
+    return made.select(*names[:5], *(F.col(x).alias(c) for x, c in zip(extra, carried, strict=True)))
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, sub: int = SUB, block: int = BLOCK) -> DataFrame:
+    """The rows with their own columns; ``text`` has lost what repeats, ``n_chars`` (if there) follows it. Rows without a doc_id stay as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"own_{i}") for i, c in enumerate(others)))  # their names may clash with the operator's
+    made = without_repeats(plain, window, sub, block, carried=plain.columns[2:]).drop("n_words", "n_removed", "kept_sha256")
+    made = made.select("doc_id", "text", *(F.col(f"own_{i}").alias(c) for i, c in enumerate(others)))
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return made.select(*columns)
