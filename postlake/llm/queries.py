@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, knn, licenses, mixing, simhash, substring, toxicity, urls
-from .common import table
+from . import bpe, chat, knn, licenses, media, mixing, simhash, substring, toxicity, urls
+from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,15 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows, texts=False).drop("own", "formatted")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is sung, word by word; those whose conv_id 20 divides are looked up among all."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    turns = rows.select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "\n").alias("text"))
+    prints = cut(media.fingerprints(whole, "conv_id", "text", media.sing))
+    return media.matches(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "conv_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -63,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring": op4_substring,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
+    "op7_media": op7_media,
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_urls": op10_urls,
