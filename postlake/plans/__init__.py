@@ -1,0 +1,3 @@
+"""Queries by name; importing this package registers all of them."""
+
+from . import flagship, mail_queries, policy_queries, state_queries, text_queries, url_queries  # noqa: F401
