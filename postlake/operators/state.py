@@ -33,9 +33,9 @@ def collision_key(key: Column, content: Column) -> Column:
 def claim(rows: DataFrame, key: str, content: str, order: str, seen: DataFrame | None = None) -> DataFrame:
     """Each row with ``result``: CLAIMED for the first of its key, DUPLICATE for others with its content (or an unknown one), COLLISION for others with different content.
 
-    ``seen(key_hash, content_hash)`` are claims of earlier batches. ``order`` has no ties within a key.
+    ``seen(key_hash, content_hash)`` are claims of earlier batches. ``order`` has no ties within a key. No key counts as an empty one.
     """
-    hashed = rows.withColumn("key_hash", dedupe_hash(F.col(key)))
+    hashed = rows.withColumn("key_hash", dedupe_hash(F.coalesce(F.col(key), F.lit(""))))
     first = hashed.groupBy("key_hash").agg(F.min(order).alias("first_order"), F.min_by(content, order).alias("first_content"))
     joined = hashed.join(first, "key_hash")
     if seen is not None:
