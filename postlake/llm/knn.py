@@ -8,7 +8,8 @@ and the blocks' best are merged. Pivots are a bounded sample: they decide what i
 
 Components are integers (floor of 1024 x). A vector that is null or has null or non-finite components
 takes no part, nor one without id. A shorter vector counts as if zeros followed. Of rows that repeat
-a vec_id the one with the smallest vector counts. Ties go to the smaller vec_id.
+a vec_id the one with the smallest vector counts. Scores beyond 64 bits become the nearest long.
+Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most[0] * most[1] * a.shape[1] < EXACT:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -105,6 +106,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, piv
             slack = 1e-9 * (np.abs(dots).max(axis=1, initial=0) + norm * (radius.max() + 1)) + 1
             sure = dots[:, owner] - norm[:, None] * reach[None, :]
             bar = np.partition(sure, -k - 1, axis=1)[:, -k - 1] if sure.shape[1] > k else np.full(len(q), -np.inf)
+            bar = np.where(bar < -(2.0**63), -np.inf, np.minimum(bar, 2.0**63))  # scores end there and tie
             i, g = np.nonzero(dots + norm[:, None] * radius[None, :] >= (bar - slack)[:, None])
             times = blocks[g]
             i, g = np.repeat(i, times), np.repeat(g, times)
