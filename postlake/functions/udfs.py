@@ -7,25 +7,37 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructType
 
 from ..kernels import attachments, html, links, model, output, text
 
-_LINK = "link_no: int, kind: string, host: string, defanged: string, is_punycode: boolean, unicode_host: string, is_mixed_script: boolean, capped: boolean"
+
+
+def _struct(**fields: DataType) -> StructType:
+    """Types by name; DDL strings would need a session when this module is imported."""
+    out = StructType()
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
+
+
+_TEXT, _LONG, _INT, _FLAG = StringType(), LongType(), IntegerType(), BooleanType()
+_LINK = _struct(link_no=_INT, kind=_TEXT, host=_TEXT, defanged=_TEXT, is_punycode=_FLAG, unicode_host=_TEXT, is_mixed_script=_FLAG, capped=_FLAG)
 
 
 def _strings(f: Callable[[str], str | None]):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else f(x))
 
-    return pandas_udf(run, "string")
+    return pandas_udf(run, _TEXT)
 
 
-@pandas_udf("struct<text: string, removed: bigint>")
+@pandas_udf(_struct(text=_TEXT, removed=_LONG))
 def clean_text(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text.clean_text(x or "") for x in s], columns=["text", "removed"])
 
 
-@pandas_udf("struct<text: string, hidden: bigint, rejected: string>")
+@pandas_udf(_struct(text=_TEXT, hidden=_LONG, rejected=_TEXT))
 def html_to_text(s: pd.Series) -> pd.DataFrame:
     def one(x: str | None) -> tuple:
         try:
@@ -36,7 +48,7 @@ def html_to_text(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in s], columns=["text", "hidden", "rejected"])
 
 
-@pandas_udf(f"struct<text: string, removed: bigint, links: array<struct<{_LINK}>>>")
+@pandas_udf(_struct(text=_TEXT, removed=_LONG, links=ArrayType(_LINK)))
 def scrub_links(s: pd.Series) -> pd.DataFrame:
     def one(x: str | None) -> tuple:
         found = links.Links()
@@ -46,22 +58,22 @@ def scrub_links(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in s], columns=["text", "removed", "links"])
 
 
-@pandas_udf("string")
+@pandas_udf(_TEXT)
 def detect_kind(declared: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([attachments.detect_kind(a or "", bytes(b or b"")) for a, b in zip(declared, data, strict=True)])
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(_TEXT))
 def split_parts(s: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([output.finalize(x or "", int(n)) for x, n in zip(s, limit, strict=True)])
 
 
-@pandas_udf("struct<text: string, suspicious: boolean>")
+@pandas_udf(_struct(text=_TEXT, suspicious=_FLAG))
 def scrub_model_text(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([model.scrub_text(x or "") for x in s], columns=["text", "suspicious"])
 
 
-@pandas_udf("boolean")
+@pandas_udf(_FLAG)
 def is_mixed_script(s: pd.Series) -> pd.Series:
     return s.map(lambda x: text.is_mixed_script(x or ""))
 
