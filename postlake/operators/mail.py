@@ -141,11 +141,20 @@ def composed(rows: DataFrame, sink: str = "telegram", with_footnote: bool = Fals
     return _mapped(rows.drop("signals", "body_text", "attachment_texts"), one, "dedupe_key STRING, status STRING, importance STRING, is_warning BOOLEAN, parts ARRAY<STRING>")
 
 
-def run(files: DataFrame, threshold: str = "normal", sink: str = "telegram", limits: Limits = LIMITS) -> DataFrame:
-    """All stages over ``files(content)``: read, claim each message once, sanitize, summarise, judge, route, compose."""
+def claimed(files: DataFrame, seen: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
+    """Raw rows of the messages that are new, once each; ``seen(key_hash, content_hash)`` are those of earlier runs."""
     read = raw(files, limits)
     columns = [F.col("final_key").alias(c) if c == "dedupe_key" else F.col("collides").alias(c) if c == "id_collision" else F.col(f"m.{c}").alias(c) for c in read.columns]
     arrived = read.select(F.struct(*read.columns).alias("m"), "dedupe_key", "content_hash", F.struct("date", "content_hash", "subject_raw").alias("arrival"))
-    claimed = claim_with_rekey(arrived, "dedupe_key", "content_hash", "arrival").where("result = 'CLAIMED'")
-    own = claimed.groupBy("final_key").agg(F.min_by("m", "arrival").alias("m"), F.max("id_collision").alias("collides")).select(columns)
-    return composed(routed(offline_verdict(offline_summary(sanitized(own, limits), limits), limits), threshold), sink)
+    new = claim_with_rekey(arrived, "dedupe_key", "content_hash", "arrival", seen).where("result = 'CLAIMED'")
+    return new.groupBy("final_key").agg(F.min_by("m", "arrival").alias("m"), F.max("id_collision").alias("collides")).select(columns)
+
+
+def judged(raw_rows: DataFrame, threshold: str = "normal", limits: Limits = LIMITS) -> DataFrame:
+    """Raw rows to sanitized ones with summary, verdict and status."""
+    return routed(offline_verdict(offline_summary(sanitized(raw_rows, limits), limits), limits), threshold)
+
+
+def run(files: DataFrame, threshold: str = "normal", sink: str = "telegram", limits: Limits = LIMITS) -> DataFrame:
+    """All stages over ``files(content)``: read, claim each message once, sanitize, summarise, judge, route, compose."""
+    return composed(judged(claimed(files, None, limits), threshold, limits), sink)

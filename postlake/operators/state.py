@@ -48,15 +48,14 @@ def claim(rows: DataFrame, key: str, content: str, order: str, seen: DataFrame |
     return joined.withColumn("result", result).select(*rows.columns, "key_hash", "result")
 
 
-def claim_with_rekey(rows: DataFrame, key: str, content: str, order: str) -> DataFrame:
+def claim_with_rekey(rows: DataFrame, key: str, content: str, order: str, seen: DataFrame | None = None) -> DataFrame:
     """Collisions are claimed again under a key of their own: the first of each such key is CLAIMED with ``id_collision``, later ones are duplicates."""
-    first = claim(rows, key, content, order)
-    again = first.where("result = 'COLLISION'").withColumn("final_key", collision_key(F.col(key), F.col(content)))
-    least = again.groupBy("final_key").agg(F.min(order).alias("least_order"))
-    second = again.join(least, "final_key").withColumn("result", F.when(F.col(order) == F.col("least_order"), "CLAIMED").otherwise("DUPLICATE"))
     columns = [*rows.columns, "final_key", "result", "id_collision"]
+    first = claim(rows, key, content, order, seen).drop("key_hash")
     kept = first.where("result <> 'COLLISION'").withColumn("final_key", F.col(key)).withColumn("id_collision", F.lit(False)).select(columns)
-    return kept.unionByName(second.withColumn("id_collision", F.lit(True)).select(columns))
+    again = first.where("result = 'COLLISION'").drop("result").withColumn("final_key", collision_key(F.coalesce(F.col(key), F.lit("")), F.col(content)))
+    second = claim(again, "final_key", content, order, seen).withColumn("id_collision", F.lit(True))
+    return kept.unionByName(second.select(columns))
 
 
 def rank(state: Column) -> Column:
