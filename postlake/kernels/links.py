@@ -163,8 +163,8 @@ class Links:
     def scrub(self, text: str) -> str:
         """The text with a marker for each link."""
         segments: list[tuple[bool, str]] = [(False, text)]
-        for pattern, handler in _PASSES:
-            segments = [x for done, part in segments for x in ([(True, part)] if done else self._split(pattern, getattr(self, handler), part))]
+        for pattern, handler, signs in _PASSES:
+            segments = [x for done, part in segments for x in ([(done, part)] if done or not any(s in part for s in signs) else self._split(pattern, getattr(self, handler), part))]
         return "".join(part for _, part in segments).replace("\x00", "")
 
     @staticmethod
@@ -180,7 +180,8 @@ class Links:
         return [x for x in out if x[1]]
 
 
-_PASSES = [(re.compile(p, re.I), h) for p, h in ((URL, "_url"), (MAILTO, "_mail"), (TEL, "_tel"), (WWW, "_name"), (DOTTED, "_name"), (BARE, "_bare"))]
+#: The passes in order; a text without any of the signs can be spared the pattern.
+_PASSES = [(re.compile(p, re.I), h, s) for p, h, s in ((URL, "_url", ":"), (MAILTO, "_mail", ":"), (TEL, "_tel", ":"), (WWW, "_name", "wW"), (DOTTED, "_name", "([{"), (BARE, "_bare", "."))]
 
 
 def footnote(found: list[str], limit: int = LIMITS.footnote_chars) -> str:

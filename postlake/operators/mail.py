@@ -22,6 +22,7 @@ from ..kernels import compose as C
 from ..kernels import mime
 from ..kernels.output import PART_CHARS
 from ..limits import LIMITS, Limits
+from ..sources.tables import settled
 from . import policy
 from .state import claim_with_rekey
 
@@ -143,7 +144,7 @@ def composed(rows: DataFrame, sink: str = "telegram", with_footnote: bool = Fals
 
 def claimed(files: DataFrame, seen: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Raw rows of the messages that are new, once each; ``seen(key_hash, content_hash)`` are those of earlier runs."""
-    read = raw(files, limits)
+    read = settled(raw(files, limits))  # a message is parsed once, however often the claims look at it
     columns = [F.col("final_key").alias(c) if c == "dedupe_key" else F.col("collides").alias(c) if c == "id_collision" else F.col(f"m.{c}").alias(c) for c in read.columns]
     arrived = read.select(F.struct(*read.columns).alias("m"), "dedupe_key", "content_hash", F.struct("date", "content_hash", "subject_raw").alias("arrival"))
     new = claim_with_rekey(arrived, "dedupe_key", "content_hash", "arrival", seen).where("result = 'CLAIMED'")

@@ -67,7 +67,7 @@ m AS (SELECT page_id, domain, provider, row_number() OVER (PARTITION BY page_id
 SELECT h.page_id, h.host, m.provider, m.domain AS matched FROM h LEFT JOIN m ON h.page_id = m.page_id AND m.k = 1""")
 def suffix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages(spark, sf_dir).select("page_id", L.host_of(F.col("url")).alias("host"))
-    return digest.suffix_lookup(rows, "host", spark.createDataFrame(DIRECTORY, "domain string, provider string"))
+    return digest.suffix_lookup(rows, "host", spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, DIRECTORY))} AS d(domain, provider)"))
 
 
 _BY = "page_id % 20"
