@@ -28,12 +28,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 #: Words of the lexicon and the longest of them in bytes; pieces that a worker remembers; bytes of text at once.
-LEXICON, LONGEST, REMEMBERED, CHUNK = 50_000, 48, 300_000, 1 << 20
-#: The splitting rule of byte-level BPE vocabularies (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LEXICON, LONGEST, REMEMBERED, CHUNK = 50_000, 48, 500_000, 1 << 20
+#: Bits of an id within a pair of two, and what no merge has.
+BITS, NONE = 24, 1 << 62
+#: The splitting rule of byte-level BPE vocabularies (a fixed value); letters come first, as most pieces are words and no other rule can match where they do.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> dict[str, int]:
@@ -43,6 +45,10 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _slot(pairs: np.ndarray, size: int) -> np.ndarray:
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 class Bpe:
     """A vocabulary read from a tokenizer file's JSON."""
 
@@ -62,43 +68,106 @@ class Bpe:
             self.pieces[i] = token.encode()
         self.of_byte = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {vocab[a] << BITS | vocab[b]: rank << BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.added = added
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.split = regex.compile(PATTERN)
+        self._slots: tuple[np.ndarray, np.ndarray] | None = None
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece: again and again the adjacent pair of least rank becomes one, the leftmost first."""
-        ids = [self.of_byte[b] for b in piece]
-        return self._short(ids) if len(ids) <= 40 else self._long(ids)
-
-    def _short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((found + (i,) for i in range(len(ids) - 1) if (found := merges.get((ids[i], ids[i + 1])))), default=None)
-            if best is None:
-                break
-            _, new, i = best
-            ids[i : i + 2] = [new]
-        return ids
+        return self._long([self.of_byte[b] for b in piece])
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The merges as a hash table in arrays, filled at most to a quarter."""
+        if self._slots is None:
+            size = 1 << max(4, (4 * len(self.merges)).bit_length())
+            keys, values = np.full(size, -1, np.int64), np.full(size, NONE, np.int64)
+            pairs = np.fromiter(self.merges, np.int64, len(self.merges))
+            for key, at in zip(pairs.tolist(), _slot(pairs, size).tolist(), strict=True):
+                while keys[at] >= 0:
+                    at = (at + 1) % size
+                keys[at], values[at] = key, self.merges[key]
+            self._slots = keys, values
+        return self._slots
+
+    def _found(self, pairs: np.ndarray) -> np.ndarray:
+        """Rank and result of each pair's merge, NONE without one."""
+        keys, values = self._table()
+        out, at, open_ = np.full(len(pairs), NONE), _slot(pairs, len(keys)), np.arange(len(pairs))
+        while len(open_):
+            here = keys[at[open_]]
+            hit = here == pairs[open_]
+            out[open_[hit]] = values[at[open_[hit]]]
+            open_ = open_[~hit & (here >= 0)]
+            at[open_] = (at[open_] + 1) % len(keys)
+        return out
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many pieces, as bytes: all take their next merge at the same time."""
+        out = [b""] * len(pieces)
+        for i, p in enumerate(pieces):
+            if len(p) > LONGEST:
+                out[i] = np.array(self.merge(p), "<u4").tobytes()
+        words = np.array([i for i, p in enumerate(pieces) if 0 < len(p) <= LONGEST], np.int64)
+        if not len(words):
+            return out
+        some = [pieces[i] for i in words.tolist()]
+        counts = np.fromiter(map(len, some), np.int64, len(some))
+        ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(some), np.uint8)]
+        starts = np.cumsum(counts) - counts
+        pairs = np.full(len(ids), NONE)
+        inner = np.ones(len(ids), bool)
+        inner[starts + counts - 1] = False
+        at = np.flatnonzero(inner)
+        pairs[at] = self._found(ids[at] << BITS | ids[at + 1])
+        while len(words):
+            best = np.minimum.reduceat(pairs, starts)
+            going = best < NONE
+            if not going.all():
+                done = np.flatnonzero(~going)
+                stay = np.repeat(going, counts)
+                raw, ends = ids[~stay].astype("<u4").tobytes(), np.cumsum(counts[done]).tolist()
+                for w, s, e in zip(words[done].tolist(), [0, *ends], ends, strict=False):
+                    out[w] = raw[4 * s : 4 * e]
+                ids, pairs = ids[stay], pairs[stay]
+                words, counts, best = words[going], counts[going], best[going]
+                starts = np.cumsum(counts) - counts
+                if not len(words):
+                    break
+            same = np.flatnonzero(pairs == np.repeat(best, counts))
+            owner = np.searchsorted(starts, same, "right") - 1
+            at = same[np.concatenate(([True], owner[1:] != owner[:-1]))]
+            ids[at] = best & (1 << BITS) - 1
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, pairs = ids[stay], pairs[stay]
+            at -= np.arange(len(at))
+            counts = counts - 1
+            starts = np.cumsum(counts) - counts
+            pairs[at] = NONE
+            right, left = at[at < starts + counts - 1], at[at > starts] - 1
+            for x in (right, left):
+                pairs[x] = self._found(ids[x] << BITS | ids[x + 1])
+        return out
 
     def _long(self, ids: list[int]) -> list[int]:
         merges, n = self.merges, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get(ids[i] << BITS | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = best & (1 << BITS) - 1, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                if x >= 0 and y < n and (m := merges.get(ids[x] << BITS | ids[y])) is not None:
+                    heapq.heappush(heap, (m, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
     def parts(self, text: str) -> Iterable[tuple[str, bool]]:
@@ -216,8 +285,9 @@ class Encoder:
         new = [p for p in pieces if p not in self.known]
         raw = [p.encode() for p in new]
         numbers = self.lexicon.find(raw).tolist() if self.lexicon is not None and new else [-1] * len(new)
-        for p, b, n in zip(new, raw, numbers, strict=True):
-            self.known[p] = self.lexicon.output(n) if n >= 0 else np.array(self.bpe.merge(b), "<u4").tobytes()
+        fresh = iter(self.bpe.merge_all([b for b, n in zip(raw, numbers, strict=True) if n < 0]))
+        for p, n in zip(new, numbers, strict=True):
+            self.known[p] = self.lexicon.output(n) if n >= 0 else next(fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian 32-bit integers."""
@@ -247,7 +317,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_pieces(docs: DataFrame, bpe: Bpe, size: int = LEXICON) -> list[bytes]:
-    """The ``size`` most frequent pieces of all texts, ties to the smaller; tasks count before the shuffle."""
+    """The most frequent pieces of all texts, at most ``size`` and all with counts of like size or none; tasks count before the shuffle."""
     source = docs.sparkSession.sparkContext.broadcast(bpe.split.pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +338,18 @@ def frequent_pieces(docs: DataFrame, bpe: Bpe, size: int = LEXICON) -> list[byte
                     counts.clear()
         yield from out()
 
-    counted = _texts(docs).select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece.encode() for r in counted.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
+    counted = cut(_texts(docs).select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    # how many pieces have counts of each size (some thousand sizes), and the sizes of which all fit
+    levels = counted.groupBy(F.floor(F.log2("n") * 64).alias("level")).agg(F.count("*").alias("pieces")).orderBy(F.desc("level")).collect()
+    least, taken = None, 0
+    for r in levels:
+        taken += r.pieces
+        if taken > size:
+            break
+        least = r.level
+    if least is None:
+        return []
+    return [r.piece.encode() for r in counted.where(F.floor(F.log2("n") * 64) >= least).select("piece").collect()]  # ``size`` at most
 
 
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
