@@ -17,7 +17,6 @@ without conv_id belong to no conversation. Rows that repeat a turn are turns of
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -64,10 +63,17 @@ def _role(raw: str) -> str:
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the common beginning."""
-    if a == b:
-        return len(a)
-    return len(os.path.commonprefix((a, b)))
+    """Length of the common beginning, found by halving."""
+    same, apart = 0, min(len(a), len(b))
+    if a[:apart] == b[:apart]:
+        return apart
+    while apart - same > 1:
+        middle = (same + apart) // 2
+        if a[same:middle] == b[same:middle]:
+            same = middle
+        else:
+            apart = middle
+    return same
 
 
 class Located:
