@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +34,15 @@ SEGMENT, CHARS = 64, 1 << 18
 #: Strings with a meaning to the template or to models; inside texts each gets an escape sign after its first character.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYSTEM]", "[/SYSTEM]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = "\\"
-_CONTROL = re.compile("|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROLS))
+_CONTROL = re.compile("|".join(f"{re.escape(first)}(?={'|'.join(re.escape(c[1:]) for c in CONTROLS if c[0] == first)})" for first in dict.fromkeys(c[0] for c in CONTROLS)))
 _ESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile(r"<s>([^\n]*)\n(.*?)</s>\n", re.S)
 
 
+@lru_cache(2 * SEGMENT)
 def escape(text: str) -> str:
-    """The text without live control strings; ``unescape`` gives it back."""
-    return _CONTROL.sub(lambda _: ESCAPE, text.replace(ESCAPE, ESCAPE * 2))
+    """The text without live control strings; ``unescape`` gives it back. Prefixes ask for the same texts again and again."""
+    return _CONTROL.sub(lambda m: m[0] + ESCAPE, text.replace(ESCAPE, ESCAPE * 2))
 
 
 def unescape(text: str) -> str:
