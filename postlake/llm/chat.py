@@ -135,13 +135,16 @@ class Reader:
 _OUT = "conv_id long, own int, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean, formatted string"
 
 
-def format_conversations(rows: DataFrame, template: Template = render, parse: Callable[[str], list[Message]] = read, plain: Callable[[str], str] = unescape, masked: Callable[[str], bool] = "assistant".__eq__, texts: bool = True, segment: int | None = SEGMENT) -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = render, parse: Callable[[str], list[Message]] = read, plain: Callable[[str], str] = unescape, masked: Callable[[str], bool] = "assistant".__eq__, texts: bool = True, segment: int | None = -1) -> DataFrame:
     """One row for each conversation of ``rows(conv_id, turn, role, text)``, with digests read back from the formatted text.
 
     ``masked`` says whose texts are trained on. ``rewrites`` tells whether the template changes earlier
-    output as turns are added; one that does needs ``segment`` None. ``formatted`` is null unless ``texts``. ``own``, if the rows have it, keeps
+    output as turns are added; one that does needs ``segment`` None. By default only the
+    built-in template is rendered in segments (of ``SEGMENT`` turns), any other whole (-1). ``formatted`` is null unless ``texts``. ``own``, if the rows have it, keeps
     conversations with one conv_id apart.
     """
+    if segment == -1:
+        segment = SEGMENT if template is render else None
     own = F.col("own").cast("int") if "own" in rows.columns else F.lit(0)
     ordered = rows.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), own.alias("own"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = ordered.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "turn", "role", "text")

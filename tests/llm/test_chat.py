@@ -59,3 +59,12 @@ def test_long_and_odd_conversations(spark):
     cut, whole = (sorted(map(tuple, chat.format_conversations(df, segment=s).collect()), key=str) for s in (chat.SEGMENT, None))
     assert cut == whole and len(cut) == 4
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_other_templates_get_whole_conversations(spark):
+    def latest(messages):
+        return "".join(f"{r}: {t}\n" for r, t in messages[-200:])
+
+    rows = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows, latest, lambda t: [], str).first()
+    assert out.rewrites and out.formatted == latest([("user", f"t{i}") for i in range(300)])
