@@ -9,6 +9,7 @@ a doc_id share their fate.
 Up to ``MOST_CELLS`` cells are raked on the driver; more are raked by Spark aggregates and joins. Null values
 of a marginal are a value of their own. Rows without a doc_id are drawn by their text. A text without words
 counts no tokens and follows its cell; a cell without tokens keeps weight 1.
+Languages that the targets don't list, null too, keep the share of tokens that they have.
 """
 
 from __future__ import annotations
@@ -25,11 +26,21 @@ MARGINALS = ("source", "lang", "topic")
 #: Cells that the driver rakes, rounds at most, and the largest relative error of a marginal that ends them.
 MOST_CELLS, ROUNDS, FIT = 200_000, 200, 1e-9
 SEED = 20
+#: Given shares that leave less than this leave nothing.
+NO_REST = 1e-9
+
+
+def _own(rest: float, whole: float, given: float) -> float:
+    """What is to be added to the shares given so that the rest has its part of the whole tokens."""
+    return given * rest / (whole - rest)
 
 
 @dataclass(frozen=True)
 class Shares:
-    """Targets of a marginal: given shares for some values; the others split the rest as their tokens to the power ``temper``."""
+    """Targets of a marginal: given shares for some values; the others split the rest as their tokens to the power ``temper``.
+
+    If the given shares leave no rest, the others keep the share of tokens that they have, and the given ones are scaled down.
+    """
 
     given: tuple[tuple[str, float], ...] = ()
     temper: float = 1.0
@@ -39,6 +50,8 @@ class Shares:
         given = {v: s for v, s in self.given if v in tokens}
         rest = {v: n**self.temper for v, n in tokens.items() if v not in given}
         left = max(0.0, 1 - sum(given.values())) if rest else 0.0
+        if rest and left < NO_REST:
+            left = _own(sum(tokens[v] for v in rest), sum(tokens.values()), sum(given.values()))
         total = sum(rest.values())
         out = given | {v: left * x / total for v, x in rest.items()}
         whole = sum(out.values())
@@ -140,8 +153,10 @@ def _raked_by_spark(cells: DataFrame, targets: dict[str, Shares], keep: float, r
         t = targets.get(m, Shares())
         given = F.coalesce(*[F.when(F.col(m) == v, F.lit(float(s))) for v, s in t.given], F.lit(None).cast("double")) if t.given else F.lit(None).cast("double")
         g = cut(cells.groupBy(m).agg(F.sum("n").cast("double").alias("t")).where("t > 0").withColumn("given", given).withColumn("part", F.when(F.col("given").isNull(), F.pow("t", F.lit(t.temper)))))
-        named, rest = g.agg(F.coalesce(F.sum("given"), F.lit(0.0)), F.sum("part")).first()
+        named, rest, others, whole = g.agg(F.coalesce(F.sum("given"), F.lit(0.0)), F.sum("part"), F.sum(F.when(F.col("given").isNull(), F.col("t"))), F.sum("t")).first()
         left = max(0.0, 1 - named) if rest else 0.0
+        if rest and left < NO_REST:
+            left = _own(others, whole, named)
         goals[m] = g.select(F.col(m).alias("value"), (F.coalesce("given", F.col("part") * (left / rest if rest else 0.0)) / ((named + left) or 1.0)).alias("goal"))
     for _ in range(rounds):
         worst = 0.0

@@ -46,3 +46,16 @@ def test_odd_rows(odd, empty):
     kept = mixing.sampled(odd)
     assert kept.columns == odd.columns and kept.count() <= 10 and mixing.sampled(empty).count() == 0
     assert mixing.mix(odd).where(F.col("n_tokens") == 0).count() == 3
+
+
+def test_null_and_unlisted_languages_stay(spark):
+    langs = ["en", "fr", "de", "es", None, "it"]
+    df = spark.createDataFrame([(i, "some words in a row " * 5, langs[i % 6], "a") for i in range(600)], "doc_id long, text string, lang string, source string")
+    rows = mixing.mix(df).toPandas()
+    mass = rows.weight * rows.n_tokens
+    for odd in (rows.lang.isna(), rows.lang == "it"):
+        assert mass[odd].sum() / mass.sum() == pytest.approx(1 / 6, abs=1e-6) and rows.sampled[odd].any()
+    assert mass[rows.lang == "en"].sum() / mass.sum() == pytest.approx(0.55 * 4 / 6, abs=1e-6)
+    ready = mixing._prepared(df).drop("text")
+    own, other = ({tuple(r[:3]): r.weight for r in mixing.cell_weights(ready, most=n).collect()} for n in (10, 1))
+    assert own.keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-3) for k, v in own.items())
