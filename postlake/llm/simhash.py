@@ -130,24 +130,47 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
     return found.union(pairs.mapInArrow(pair, "a long, b long"))
 
 
+def _classes(docs: DataFrame, radius: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint with a doc_id."""
+    fp = cut(fingerprints(docs, shingle, seed))
+    distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(close_links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fp, cut(named.join(linked, "root").select("fp", "root", "component_id"))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that links of ``radius`` bits at most reach. Copies share a
     fingerprint and are compared once. Rows without a doc_id keep their fingerprint and have no component.
     """
-    fp = cut(fingerprints(docs, shingle, seed))
-    distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(close_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(named.join(linked, "root").select("fp", "component_id"))
+    fp, classes = _classes(docs, radius, shingle, seed)
     out = fp.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, one row each, and all rows without a doc_id."""
-    kept = simhash_components(docs, radius, shingle, seed).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """The documents whose doc_id is the smallest of their component, one row for each doc_id and component, and all rows without a doc_id."""
+    fp, classes = _classes(docs, radius, shingle, seed)
+    own = fp.where("doc_id is not null").join(classes, "fp").where("doc_id = component_id")
+    rows = docs.where("doc_id is not null")
+    # ids of rows with unlike fingerprints, if there are any: such rows are told apart by them
+    many = cut(fp.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"))
+    kept = own.select("doc_id").distinct()
+    if many.isEmpty():
+        named = rows.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+        return named.unionByName(docs.where("doc_id is null"))
+    named = rows.join(kept.join(many, "doc_id", "left_anti"), "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = own.join(many, "doc_id", "left_semi").groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
+    held = rows.join(many, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["row", "doc_id", "fp"])
+
+    schema = held.select("row", "doc_id", F.lit(0).cast("long").alias("fp")).schema
+    apart = held.mapInArrow(run, schema).join(first, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("row.*")
+    return named.unionByName(apart).unionByName(docs.where("doc_id is null"))

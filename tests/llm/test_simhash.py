@@ -88,3 +88,10 @@ def test_odd_rows(odd, empty):
 def test_components_of_a_long_path(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components.components(links).collect()} == {0}
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    texts = ["a text of its own that nobody copies at all", "quite another one with other words inside of it"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[0]), (8, None), (None, texts[0])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, texts[0]), (5, texts[1]), (8, None), (None, texts[0])]))
