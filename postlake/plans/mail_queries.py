@@ -66,7 +66,8 @@ def scrub_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.concat(F.lit("Sure:\n```json\n{\"headline\": \""), F.left(F.regexp_replace("text", r"[^\w ]", ""), F.lit(20)), F.lit("\", \"importance\": \"high\"}\n```"))
+    said = F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.col("text").alias("headline"), F.lit("high").alias("importance"))))
+    reply = F.concat(F.lit("Sure:\n```json\n"), said, F.lit("\n```"))
     return table(spark, sf_dir, "documents").select("doc_id", udfs.extract_json(reply).alias("json"))
 
 
