@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes A-Z to a-z, all others as they are.
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Without one in the session, a temporary one serves in local mode only."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="postlake-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -38,7 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut = path
+    return made
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``, which nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once into the shared folder, dealt by ``key``: joins by that key then move the other side only."""
+    spark = df.sparkSession
+    name, n = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.read.table(name)
+
+
+def offsets(column: pa.Array) -> np.ndarray:
+    """The n + 1 offsets of a string or binary array, whichever width they have."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind = np.int64 if wide else np.int32
+    return np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64)
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -46,7 +72,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
     n = batch.num_rows
     if not n:
         return
-    sizes = np.frombuffer(batch.column(column).buffers()[1], np.int32, n + 1, batch.column(column).offset * 4)
+    sizes = offsets(batch.column(column))
     first = 0
     while first < n:
         last = int(np.searchsorted(sizes, sizes[first] + most, "right")) - 1
@@ -57,14 +83,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the n + 1 offsets of its rows; nulls are empty."""
-    if pa.types.is_large_string(column.type):
-        column = column.cast(pa.string())
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
     if not n or column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
-    at = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4).astype(np.int64)
+    at = offsets(column)
     data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     return data, at - at[0]
 
@@ -85,22 +109,8 @@ def word_bounds(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, at)
 
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        kept = []
-        for base in (_P, _Q):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            kept.append(np.cumprod(p, dtype=np.uint64))
-        _powers[:] = kept
-    return _powers[0], _powers[1]
+_K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+SEED = 7
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,19 +120,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each pair; equal runs have equal hashes wherever they stand."""
-    up, down = powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair (a, b) in this order."""
+    return mix((a * _K[0]) ^ ((b + _K[1]) * _K[2]))
+
 
+def windows(values: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each ``k`` consecutive values, by first place.
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    Halves are hashed first and then joined, which is no sum: unlike a polynomial's, its terms can't cancel out.
+    """
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, size, level = None, 0, 1, values
+    while size <= k:
+        if k & size:
+            part = level[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += size
+        if 2 * size <= k:
+            level = joined(level[:-size], level[size:])
+        size *= 2
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hashes(_BYTES[data], starts, ends)
+    """XXH3 (64 bits) of the bytes of each word; a word that repeats is hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    inside = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    at = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(inside)]).dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w, SEED) for w in words.dictionary.to_pylist()], np.uint64)[words.indices.to_numpy()]
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

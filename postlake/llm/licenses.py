@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, flat, run_hashes, slices, word_bounds, word_hashes
+from .common import ASCII_LOWER, flat, slices, windows, word_bounds, word_hashes
 
 #: Phrases and their labels.
 PHRASES = {
@@ -72,7 +72,7 @@ def _rolling(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     stop = np.repeat(first[1:], np.diff(first))
     i = np.flatnonzero(np.arange(n - k + 1) + k <= stop[: n - k + 1])
-    return i, run_hashes(words, i, i + k)
+    return i, windows(words, k)[i]
 
 
 def template_rows(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple]:

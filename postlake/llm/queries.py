@@ -79,6 +79,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_substring": substring.SQL,
     "op9_topk": knn.SQL,
     "op10_urls": urls.SQL,
 }
