@@ -1,20 +1,26 @@
 """Exact top-k by inner product as a Voronoi join.
 
-Vectors are grouped by their nearest pivot. Each group is summarised by its size, its radius and the
-distances of its members nearest to the pivot. For a query q and a member x of the group of pivot p,
-q.x lies within |q| |x - p| of q.p; so the summaries give a score that at least k candidates reach, and
-only groups whose best possible score reaches it get the query. They are solved locally, block by block,
-and the blocks' best are merged. Pivots are a bounded sample: they decide what is skipped, never the result.
+Data and queries are grouped by their nearest pivot. Each cell is summarised: its size, its radius and the distances of
+its members nearest to the pivot, and the same radius for the queries in it. For a query q = c + s of the cell of pivot
+c and a member x = p + t of the cell of pivot p, q.x lies within |c||t| + |s||p| + |s||t| of c.p. So the summaries give
+for each cell of queries a score that at least k candidates reach, and the cells of data that can't reach it are left out
+for all its queries. Cells that lie side by side are packed into query groups and data blocks (a large cell is split by a
+hash of the id), a block travels only to the groups that need it and a query only to the blocks that its cell needs; they
+are solved locally, and the blocks' best are merged. Pivots are a bounded sample, more of them the more
+rows there are: they decide what is skipped, never the result. Where distances are all alike, as among random vectors of many
+dimensions, no bound of this kind can leave anything out, and each block meets each group.
 
 Components are integers (floor of 1024 x). A vector that is null or has null or non-finite components
-takes no part, nor one without id. A shorter vector counts as if zeros followed. Of rows that repeat
-a vec_id the one with the smallest vector counts. Scores beyond 64 bits become the nearest long.
-Ties go to the smaller vec_id.
+takes no part, nor one without id. A shorter vector counts as if zeros followed. Rows that repeat a vec_id are
+candidates each, for all queries but those of that id, or (``one_each``) the smallest vector counts alone. Scores beyond 64
+bits become the nearest long, and tie there. Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-K, SCALE, PIVOTS = 10, 1024, 64
-#: Data rows and queries that one local problem has, about.
-BLOCK, QUERIES = 8192, 16_384
+K, SCALE = 10, 1024
+#: Pivots at least and at most; between them there are as many as the root of the number of rows.
+FEWEST, MOST = 64, 1024
+#: Data rows and queries that one local problem has, about, and scores that it computes at a time.
+BLOCK, QUERIES, SCORES = 16_384, 65_536, 1 << 22
 #: Beyond this a sum of products may not be exact in double precision.
 EXACT = 2.0**53
 
@@ -51,26 +59,76 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
-def vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
+def vectors(rows: DataFrame, scale: int = SCALE, one_each: bool = True) -> DataFrame:
     """(vec_id, v): the rows that take part, with integer components."""
     v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    own = cut(rows.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")))
-    if own.groupBy("vec_id").count().where("count > 1").isEmpty():
-        return own
-    return cut(own.groupBy("vec_id").agg(F.min("v").alias("v")))
-
-
-def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, most_queries: int = QUERIES) -> DataFrame:
+    own = rows.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return cut(own.groupBy("vec_id").agg(F.min("v").alias("v")) if one_each else own)
+
+
+@dataclass
+class Summary:
+    """Of each cell: its pivot, size, radius, queries and their radius; and the members nearest to their pivots, as (cell, distance, id)."""
+
+    centre: np.ndarray
+    size: np.ndarray
+    radius: np.ndarray
+    asked: np.ndarray
+    asked_radius: np.ndarray
+    near_cell: np.ndarray
+    near: np.ndarray
+    near_id: np.ndarray
+
+
+def needed(s: Summary, k: int) -> np.ndarray:
+    """Which cells of data (columns) can hold one of the ``k`` best of a query of each cell (rows)."""
+    dots = s.centre @ s.centre.T
+    norm = np.sqrt(np.diag(dots))
+    bar = np.full(len(dots), -np.inf)
+    for g in np.flatnonzero(s.asked):
+        sure = dots[g, s.near_cell] - (norm[g] + s.asked_radius[g]) * s.near - s.asked_radius[g] * norm[s.near_cell]
+        order = np.argsort(-sure, kind="stable")
+        _, first = np.unique(s.near_id[order], return_index=True)  # one of them may be the query itself
+        if len(first) > k:
+            bar[g] = sure[order][np.sort(first)[k]]
+    bar = np.where(bar < -(2.0**63), -np.inf, np.minimum(bar, 2.0**63))  # scores end there and tie
+    most = dots + norm[:, None] * s.radius + s.asked_radius[:, None] * (norm + s.radius)
+    slack = 1e-9 * (np.abs(dots).max() + np.abs(most).max()) + 1
+    return (most >= (bar - slack)[:, None]) & (s.asked > 0)[:, None] & (s.size > 0)
+
+
+def packed(sizes: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First pack and number of packs of each cell, and all packs: neighbours in ``order`` share one of about ``most`` rows, a large cell has several."""
+    first, pieces = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    now, held = 0, 0
+    for c in order.tolist():
+        if held and held + sizes[c] > most:
+            now, held = now + 1, 0
+        first[c] = now
+        held += int(sizes[c])
+        if sizes[c] > most:
+            pieces[c] = -(-int(sizes[c]) // most)
+            now, held = now + int(pieces[c]), 0
+    return first, pieces, now + 1
+
+
+def _along(centre: np.ndarray) -> np.ndarray:
+    """Cells in the order of their pivots along the direction in which these differ most."""
+    apart = centre - centre.mean(axis=0)
+    return np.argsort(apart @ np.linalg.svd(apart, full_matrices=False)[2][0], kind="stable")
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, pivots: int | None = None, block: int = BLOCK, most_queries: int = QUERIES, one_each: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best other vectors for each one with ``is_query`` (of vec_id)."""
     spark = rows.sparkSession
-    data = vectors(rows, scale)
+    data = vectors(rows, scale, one_each)
     schema = "query_id long, rank int, vec_id long, score long"
     n, dims, asked = data.agg(F.count("*"), F.max(F.size("v")), F.count_if(is_query)).first()
     if not n or not asked:
         return spark.createDataFrame([], schema)
     dims = max(dims, 1)
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots or min(MOST, max(FEWEST, math.isqrt(n)))).collect()
     centre = np.zeros((len(chosen), dims))
     for i, r in enumerate(chosen):
         centre[i, : len(r.v)] = r.v
@@ -79,69 +137,81 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, piv
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), dims).astype(float)
-            near = (squares[None, :] - 2 * x @ centre.T).argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            away = np.sqrt(((x - centre[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
-
-    grouped = cut(data.mapInArrow(group, "vec_id long, v array<long>, cell int, away double"))
-    size = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
-    nearest = grouped.select("cell", "away", F.row_number().over(Window.partitionBy("cell").orderBy("away")).alias("i")).where(F.col("i") <= k + 1)
-    summary = {r.cell: (r.n, r.radius) for r in size.collect()}  # a row for each pivot
-    close: dict[int, list[float]] = {}
-    for r in nearest.collect():  # k + 1 for each pivot
-        close.setdefault(r.cell, []).append(r.away)
-    cells = np.array(sorted(summary), np.int64)
-    radius = np.array([summary[c][1] for c in cells.tolist()])
-    blocks = np.array([-(-summary[c][0] // block) for c in cells.tolist()], np.int64)
-    reach = np.array([x for c in cells.tolist() for x in close[c]])
-    owner = np.array([i for i, c in enumerate(cells.tolist()) for _ in close[c]])
-    parts = -(-asked // most_queries)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query goes to each block of the groups that can hold one of its best."""
-        for b in batches:
-            q = matrix(b.column(1), dims).astype(float)
-            norm = np.sqrt((q**2).sum(axis=1))
-            dots = q @ centre[cells].T
-            slack = 1e-9 * (np.abs(dots).max(axis=1, initial=0) + norm * (radius.max() + 1)) + 1
-            sure = dots[:, owner] - norm[:, None] * reach[None, :]
-            bar = np.partition(sure, -k - 1, axis=1)[:, -k - 1] if sure.shape[1] > k else np.full(len(q), -np.inf)
-            bar = np.where(bar < -(2.0**63), -np.inf, np.minimum(bar, 2.0**63))  # scores end there and tie
-            i, g = np.nonzero(dots + norm[:, None] * radius[None, :] >= (bar - slack)[:, None])
-            times = blocks[g]
-            i, g = np.repeat(i, times), np.repeat(g, times)
-            at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            for s in range(0, len(i), 2000):
-                c = slice(s, s + 2000)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i[c])), b.column(1).take(pa.array(i[c])), pa.array(cells[g[c]].astype(np.int32)), pa.array(at[c].astype(np.int32))], ["query_id", "q", "cell", "block"])
-
-    asking = data.where(is_query).mapInArrow(route, "query_id long, q array<long>, cell int, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    spread = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cells, blocks, strict=True) for x in pair]), F.col("cell"))
-    held = grouped.select("cell", F.pmod(F.xxhash64("vec_id"), spread).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "v")
+            cell = (squares[None, :] - 2 * x @ centre.T).argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+            away = np.sqrt(((x - centre[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "asks", "cell", "away"])
+
+    grouped = cut(data.withColumn("asks", is_query).mapInArrow(group, "vec_id long, v array<long>, asks boolean, cell int, away double"))
+    sizes = grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.count_if("asks").alias("asked"), F.coalesce(F.max(F.when(F.col("asks"), F.col("away"))), F.lit(0.0)).alias("asked_radius")).collect()
+    each = grouped.select("cell", "vec_id", "away") if one_each else grouped.groupBy("cell", "vec_id").agg(F.min("away").alias("away"))
+    nearest = each.select("cell", "vec_id", "away", F.row_number().over(Window.partitionBy("cell").orderBy("away", "vec_id")).alias("i")).where(F.col("i") <= k + 1).collect()  # k + 1 for each pivot
+    columns = [np.zeros(len(centre), t) for t in (np.int64, float, np.int64, float)]
+    for r in sizes:
+        for c, x in zip(columns, r[1:], strict=True):
+            c[r.cell] = x
+    summary = Summary(centre, *columns, *(np.array([r[c] for r in nearest]) for c in ("cell", "away", "vec_id")))
+    need = needed(summary, k)
+    order = _along(centre)
+    block_of, block_pieces, n_blocks = packed(summary.size, order, block)
+    group_of, group_pieces, n_groups = packed(summary.asked, order, most_queries)
+
+    def meeting(mine: np.ndarray, other_of: np.ndarray, other_pieces: np.ndarray) -> list[np.ndarray]:
+        """The packs of the other side that each cell's rows go to."""
+        return [np.unique(np.concatenate([[0][:0], *(np.arange(other_of[c], other_of[c] + other_pieces[c]) for c in np.flatnonzero(row))])).astype(np.int32) for row in mine]
+
+    to_blocks = meeting(need, block_of, block_pieces)  # of each cell of queries
+    to_groups = meeting(need.T, group_of, group_pieces)  # of each cell of data
+
+    def dealt(own_of: np.ndarray, own_pieces: np.ndarray, goes: list[np.ndarray], queries: bool):
+        counts = np.array([len(x) for x in goes])
+        every, at = np.concatenate([[0][:0], *goes]).astype(np.int32), np.cumsum(counts) - counts
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, cell = b.column(0).to_numpy(), b.column(2).to_numpy()
+                own = (own_of[cell] + (ids * 0x9E3779B1 & 0x7FFFFFFF) % own_pieces[cell]).astype(np.int32)
+                times = counts[cell]
+                i = np.repeat(np.arange(len(ids)), times)
+                other = every[np.repeat(at[cell] - np.cumsum(times) + times, times) + np.arange(len(i))]
+                for s in range(0, len(i), 2000):
+                    c = slice(s, s + 2000)
+                    mine, met = pa.array(own[i[c]]), pa.array(other[c])
+                    take = pa.array(i[c])
+                    yield pa.RecordBatch.from_arrays([mine, met, *(b.column(j).take(take) for j in range(3))] if queries else [met, mine, *(b.column(j).take(take) for j in range(3))], ["pack", "block", "vec_id", "v", "cell"])
+
+        return run
+
+    kind = "pack int, block int, vec_id long, v array<long>, cell int"
+    asking = grouped.where("asks").select("vec_id", "v", "cell").mapInArrow(dealt(group_of, group_pieces, to_blocks, True), kind)
+    held = grouped.select("vec_id", "v", "cell").mapInArrow(dealt(block_of, block_pieces, to_groups, False), kind)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], [], []]
+        out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks().sort_by("vec_id")
-            ids = right["vec_id"].to_numpy()
-            x = matrix(right["v"].chunk(0), dims)
-            for s in range(0, left.num_rows, 256):
-                some = left.slice(s, 256)
-                own = some["query_id"].to_numpy()
-                score = products(matrix(some["q"].chunk(0), dims), x)
-                for i, query in enumerate(own.tolist()):
-                    row = score[i]
-                    at = np.flatnonzero(ids != query)
-                    if len(at) > k:
-                        best = np.partition(row[at], -k)[-k]
-                        at = at[row[at] >= best]
-                    at = at[np.lexsort((ids[at], -row[at]))][:k] if len(at) else at
-                    out[0] += [query] * len(at)
-                    out[1] += ids[at].tolist()
-                    out[2] += row[at].tolist()
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["query_id", "vec_id", "score"])
-
-    keys = ["cell", "block", "part"]
+            ids, cells, x = right["vec_id"].to_numpy(), right["cell"].to_numpy(), matrix(right["v"].chunk(0), dims)
+            q_ids, q_cells, q = left["vec_id"].to_numpy(), left["cell"].to_numpy(), matrix(left["v"].chunk(0), dims)
+            for g in np.unique(q_cells).tolist():
+                there = np.flatnonzero(need[g][cells])  # a cell of queries meets the cells that it needs
+                mine = np.flatnonzero(q_cells == g)
+                if not len(there):
+                    continue
+                step = max(1, SCORES // len(there))
+                for s in range(0, len(mine), step):
+                    some = mine[s : s + step]
+                    score = products(q[some], x[there])
+                    for i, query in enumerate(q_ids[some].tolist()):
+                        at = np.flatnonzero(ids[there] != query)
+                        row = score[i]
+                        if len(at) > k:
+                            best = np.partition(row[at], -k)[-k]
+                            at = at[row[at] >= best]
+                        at = at[np.lexsort((ids[there][at], -row[at]))][:k] if len(at) else at
+                        out.append(np.stack((np.full(len(at), query), ids[there][at], row[at]), axis=1))
+        made = np.concatenate(out)
+        return pa.table([pa.array(made[:, i]) for i in range(3)], ["query_id", "vec_id", "score"])
+
+    keys = ["pack", "block"]
     local = asking.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,3 +36,42 @@ def test_ties_and_odd_rows(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in knn.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2 * 1024**2)]
     assert knn.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_repeated_ids_are_candidates_each(spark):
+    """As the SQL has it: all rows but those of the query's own id."""
+    import duckdb
+
+    rows = [(100, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [5.0, 0.0]), (8, [0.5, 0.5]), (100, [0.25, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got = [tuple(r) for r in knn.top_k(df, F.col("vec_id") % 100 == 0, one_each=False).collect()]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(got) == sorted(con.sql(knn.SQL).fetchall()) and (100, 1, 7, 5 * 1024**2) in got and len(got) == 6
+
+
+def test_cells_are_left_out_where_vectors_form_clusters(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(0, 1, (20, 8))
+    x = np.concatenate([m + rng.normal(0, 0.01, (100, 8)) for m in middle])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    seen = []
+    plain = knn.needed
+    knn.needed = lambda s, k: seen.append((s, plain(s, k))) or seen[-1][1]
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0, block=200, most_queries=20).collect()}
+    finally:
+        knn.needed = plain
+    assert got == brute({i: [math.floor(1024 * c) for c in v] for i, v in rows}, range(0, 2000, 10))
+    s, need = seen[0]
+    pairs = (need * s.asked[:, None] * s.size).sum() / s.asked.sum() / s.size.sum()
+    assert pairs < 0.3
+
+
+def test_one_vector_that_many_rows_hold(spark):
+    rows = [(i, [0.5, 0.25, -1.0]) for i in range(3000)] + [(i, [i / 5000, 1.0, 0.0]) for i in range(3000, 3300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 1000 == 0, block=100, most_queries=2).collect()}
+    assert got == brute({i: [math.floor(1024 * c) for c in v] for i, v in rows}, range(0, 3300, 1000))
