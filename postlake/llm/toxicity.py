@@ -3,13 +3,15 @@
 Texts are folded first: lower case, compatibility forms, letters of other scripts that look Latin, and
 digits or signs that stand for letters (l and i become one letter, as 1 may mean either). An Aho-Corasick
 automaton finds the lexicon's word beginnings in the folded text; at each word the longest entry counts,
-and an exception phrase that begins there takes the hit away. The weights of the hits, normalised by the
+and an exception phrase of whole words that begins there takes the hit away. The weights of the hits, normalised by the
 length of the text, give the score.
 
 Weights are learned: a word beginning of 3 to 12 letters gets the smoothed log-odds of toxic against
 clean labelled texts, if these differ by more than chance among so many candidates can explain. At most
 ``SAMPLE`` labelled rows (those of least hash, a fixed bound) take part; without any, a small built-in
-lexicon serves. An empty or null text scores 0. Labels that are null are left out; a document with
+lexicon serves. The lexicon has at most ``ENTRIES`` entries, the strongest ones, so that it stays a fixed size; a word is told by its
+first ``LONGEST`` letters. An empty or null text scores 0; a text of any length is scored whole, and rows that repeat a
+doc_id are scored each for itself. Labels that are null are left out; a document with
 several is toxic if one says so.
 """
 
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Labelled rows to learn from, entries of the lexicon, toxic texts that an entry needs, and the score from which a text is toxic.
 SAMPLE, ENTRIES, LEAST, TOXIC = 16_384, 2_000, 3, 0.7
 SHORTEST, LONGEST = 3, 12
@@ -81,7 +85,7 @@ class Lexicon:
             for entry, weight in self.weights.items():
                 made.add_word(" " + entry, (len(entry) + 1, weight))
             for phrase in self.exceptions:
-                made.add_word(" " + " ".join(fold(phrase)), (0, 0.0))
+                made.add_word(f" {'  '.join(fold(phrase))} ", (0, 0.0))  # whole words
             made.make_automaton()
             self._automaton = made
         return self._automaton
@@ -92,7 +96,7 @@ class Lexicon:
         found: Counter[str] = Counter()
         weights: dict[str, float] = {}
         if words and len(self.automaton):
-            line = " " + " ".join(words) + " "
+            line = f" {'  '.join(words)} "  # a blank on each side of every word
             for end, (size, weight) in self.automaton.iter_long(line):
                 if weight:
                     word = line[end - size + 2 : line.index(" ", end + 1)]
@@ -158,7 +162,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # a bounded number of ids
+    return cut(own.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # a bounded number of ids; the table is read once
 
 
 def choose(counted: list[tuple[str, int, int]], toxic: int, clean: int, entries: int = ENTRIES) -> dict[str, float]:
@@ -219,11 +223,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, exceptions: It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [trial.evidence(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64()), b.column(1)], ["e", "n", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64()), b.column(1), b.column(2)], ["e", "n", "toxic", "draw"])
 
-    found = [tuple(r) for r in known.mapInArrow(run, "e double, n long, toxic int").collect()]  # ``rows`` at most
-    cut, power = best_cut(found)
-    return Lexicon(weights, exceptions, cut, power)
+    measured = known.withColumn("draw", F.xxhash64("text", "toxic")).mapInArrow(run, "e double, n long, toxic int, draw long")
+    found = [tuple(r)[:3] for r in measured.orderBy("draw", "e", "n").limit(rows).collect()]  # ``rows`` at most, also where documents repeat an id
+    level, power = best_cut(found)
+    return Lexicon(weights, exceptions, level, power)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
