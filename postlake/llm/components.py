@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) for each node of ``links(a, b)``; root is the smallest node that can be reached.
+    """(node, root) for each node of ``links(a, b)``; root is the smallest node that can be reached. Nodes are of any ordered type.
 
     Large-star and small-star steps alternate until nothing changes (the rounds needed grow with the
     logarithm of the longest path). A node with very many links costs no task more than others: its
@@ -28,7 +28,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = cut(small)
+        last, e = e, cut(small)
+        forget(last)
         now = state(e)
         if now == seen:
             break

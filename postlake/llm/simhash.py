@@ -7,6 +7,9 @@ pairs whose population counts differ by more than the radius are skipped, as suc
 be close. A small bucket is compared whole by one task; a larger one is dealt out as tiles, and each
 pair of its tiles is a row of its own, so no task ever holds a large bucket.
 Links leave a comparison as a spanning forest: components, not all pairs, are what is asked for.
+
+Rows without a doc_id have a fingerprint and no component; rows that repeat one are rows each. Texts without words share
+the fingerprint zero. A text of any length is one row: its shingles are hashed and counted a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -117,9 +120,13 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
     # a large bucket: tiles of one population count each, and a row for each pair of tiles within the radius
     per_count = dealt.where("n is not null").groupBy("block", "value", "ones").agg(F.count("*").alias("m"))
     tiles = cut(dealt.where("n is not null").join(per_count, ["block", "value", "ones"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / tile))).groupBy("block", "value", "ones", "part").agg(F.collect_list("fp").alias("fps")))
-    other = tiles.select("block", "value", F.col("ones").alias("ones2"), F.col("part").alias("part2"), F.col("fps").alias("fps2"))
-    pairs = tiles.join(other, ["block", "value"]).where((F.col("ones2") - F.col("ones")).between(0, radius) & ((F.col("ones2") > F.col("ones")) | (F.col("part2") >= F.col("part"))))
-    pairs = pairs.select("fps", "fps2", ((F.col("ones") == F.col("ones2")) & (F.col("part") == F.col("part2"))).alias("same")).repartition(F.xxhash64("fps", "fps2"))
+    # tile numbers meet first; their fingerprints are fetched once the pairs are spread
+    tiles = tiles.withColumn("tile", F.struct("block", "value", "ones", "part"))
+    one = tiles.select("block", "value", "ones", "part", "tile")
+    other = one.select("block", "value", F.col("ones").alias("ones2"), F.col("part").alias("part2"), F.col("tile").alias("tile2"))
+    pairs = one.join(other, ["block", "value"]).where((F.col("ones2") - F.col("ones")).between(0, radius) & ((F.col("ones2") > F.col("ones")) | (F.col("part2") >= F.col("part"))))
+    first = pairs.select("tile", "tile2").join(tiles.select("tile", "fps"), "tile")
+    pairs = first.join(tiles.select(F.col("tile").alias("tile2"), F.col("fps").alias("fps2")), "tile2").select("fps", "fps2", (F.col("tile") == F.col("tile2")).alias("same")).repartition(F.xxhash64("tile", "tile2"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,13 +138,20 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
 
 
 def _classes(docs: DataFrame, radius: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint with a doc_id."""
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint with a doc_id.
+
+    Components are of pairs (smallest doc_id, fingerprint), so their smallest pair holds the id that is asked for and no
+    aggregate over a component is needed.
+    """
     fp = cut(fingerprints(docs, shingle, seed))
     distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(close_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fp, cut(named.join(linked, "root").select("fp", "root", "component_id"))
+    node = distinct.select(F.col("fp"), F.struct("least", "fp").alias("node"))
+    links = close_links(distinct.select("fp"), radius)
+    for end in ("a", "b"):
+        links = links.join(node.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    named = node.join(roots.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "node"))
+    return fp, cut(named.select("fp", F.col("root.fp").alias("root"), F.col("root.least").alias("component_id")))
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

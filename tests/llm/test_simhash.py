@@ -95,3 +95,13 @@ def test_unlike_texts_of_one_id_stay(spark):
     rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (7, texts[0]), (8, None), (None, texts[0])]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, texts[0]), (5, texts[1]), (8, None), (None, texts[0])]))
+
+
+def test_component_ids_with_ids_that_repeat(spark):
+    """Each fingerprint's component is told by its own smallest doc_id, without an aggregate over the component."""
+    texts = ["one text here that stands alone in all", "another text there that has copies too", "a third one of its own with more words"]
+    rows = [(9, texts[0]), (4, texts[1]), (7, texts[1]), (4, texts[2]), (3, texts[2]), (None, texts[0]), (2, None), (1, "")]
+    got = sorted(map(str, simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()))
+    want = {(9, 9), (4, 4), (7, 4), (4, 3), (3, 3), (None, None), (2, 1), (1, 1)}
+    roots = brute([plain_fingerprint(t) for t in texts], 4)
+    assert roots == [0, 1, 2] and got == sorted(f"Row(doc_id={a}, component_id={b})" for a, b in want)
