@@ -5,7 +5,7 @@ k-grams of licence phrases and notices. A hit votes for its diagonal: place in t
 template. Votes are summed by diagonal; neighbouring diagonals, as words that were put in or left out
 leave them, are merged; and a span counts once the words themselves, compared k-gram by k-gram, agree
 with the template. Phrases are short and must stand whole on one diagonal. Notices are longer: they
-count when at least ``SHARE`` of their k-grams are found in one merged span.
+count when at least ``SHARE`` of their k-grams are found in one merged span that is no longer than the notice over ``SHARE``.
 
 The template table is fixed and small, so the join broadcasts it; the k-grams of a text are hit where they
 are made, and only hits reach the shuffle, summed before it. Words are runs of ASCII letters (lower-cased)
@@ -141,11 +141,13 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         F.min(F.when(F.col("phrase") & (F.col("same") == F.col("size")), F.col("diagonal"))).alias("low"),
         F.max(F.when(F.col("phrase") & (F.col("same") == F.col("size")), F.col("diagonal"))).alias("high"),
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-        F.min("diagonal").alias("d0"), F.max("diagonal").alias("d1"),
+        F.min(F.col("diagonal") + F.array_min("places")).alias("from_word"), F.max(F.col("diagonal") + F.array_max("places") + LONG - 1).alias("to_word"),
     )
     part = F.size("places") / F.col("size")
-    counted = merged.withColumn("part", F.when(~F.col("phrase"), part)).withColumn("good", F.when(F.col("phrase"), F.col("found") > 0).otherwise(F.col("part") >= share))
-    spot = F.struct("label", (F.col("d0") + F.array_min("places")).alias("first_word"), (F.col("d1") + F.array_max("places") + LONG - 1).alias("last_word"), "part")
+    # pieces that lie too far apart for the words of one notice are no notice, however many diagonals led from one to the next
+    dense = (F.col("to_word") - F.col("from_word") + 1) * share <= F.col("size") + LONG - 1
+    counted = merged.withColumn("part", F.when(~F.col("phrase") & dense, part)).withColumn("good", F.when(F.col("phrase"), F.col("found") > 0).otherwise(F.coalesce(F.col("part") >= share, F.lit(False))))
+    spot = F.struct("label", F.col("from_word").alias("first_word"), F.col("to_word").alias("last_word"), "part")
     base = F.coalesce(F.col("phrase"), F.lit(False)) & F.coalesce(F.col("good"), F.lit(False))
     return counted.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

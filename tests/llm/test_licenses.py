@@ -43,3 +43,30 @@ def test_odd_rows(odd, empty):
     rows = licenses.scan(odd).collect()
     want = sorted(str((r.doc_id, brute(r.text))) for r in odd.collect())
     assert sorted(str((r.doc_id, seen(r))) for r in rows) == want and licenses.scan(empty).count() == 0
+
+
+def test_spans_start_and_end_where_their_words_do(spark):
+    """Words put in near both ends move the ends' diagonals apart."""
+    notice = licenses.NOTICES["isc-text"].split()
+    words = ["head", *notice[:6], "one", "two", *notice[6:-6], "three", *notice[-6:], "tail"]
+    scattered = " ".join(" ".join(notice[i : i + 5]) + " x" * 40 for i in range(0, len(notice), 5))
+    rows = [(1, " ".join(words)), (2, scattered), (3, " ".join(notice[2:] + notice))]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    span = found[1].spans[0]
+    assert (span.label, span.first_word, span.last_word) == ("isc-text", 1, len(words) - 2) and found[2].labels == ""
+
+
+def test_labels_against_word_lists(spark, docs):
+    """Notices by plain comparison of words: those that stand whole have their label, and no label comes without most of their 4-grams."""
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        line, labels = f" {' '.join(words)} ", set(filter(None, rows[r.doc_id].labels.split(",")))
+        grams = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        for label, notice in licenses.NOTICES.items():
+            own = notice.split()
+            share = sum(tuple(own[i : i + 4]) in grams for i in range(len(own) - 3)) / (len(own) - 3)
+            assert label in labels or f" {notice} " not in line, (r.doc_id, label)
+            assert label not in labels or share >= licenses.SHARE, (r.doc_id, label)
+            assert share == 0 or label in labels or share <= 1
+        assert rows[r.doc_id].score == 1 or not rows[r.doc_id].base_labels
