@@ -33,7 +33,7 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), calibrated=True)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,34 @@ def test_null_and_unlisted_languages_stay(spark):
     ready = mixing._prepared(df).drop("text")
     own, other = ({tuple(r[:3]): r.weight for r in mixing.cell_weights(ready, most=n).collect()} for n in (10, 1))
     assert own.keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-3) for k, v in own.items())
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_calibrated_sample_meets_the_targets(spark, sf_dir):
+    """What is kept by expectation has the targets' shares exactly, what was drawn has them within the draw's own error."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mix(docs, calibrated=True).toPandas()
+    assert rows.probability.between(0, 1).all() and rows.probability.max() > 0.99
+    kept, n = rows.probability * rows.n_tokens, rows.n_tokens
+    assert 0.3 * n.sum() < kept.sum() <= mixing.KEEP * n.sum() * (1 + 1e-6)
+    drawn = n * rows.sampled
+    for name, shares in mixing.TARGETS.items():
+        want = shares.of(n.groupby(rows[name]).sum().to_dict())
+        assert (kept.groupby(rows[name]).sum() / kept.sum()).to_dict() == pytest.approx(want, abs=1e-5)
+        error = np.sqrt((n**2 * rows.probability * (1 - rows.probability)).sum()) / kept.sum()
+        got = (drawn.groupby(rows[name]).sum() / drawn.sum()).to_dict()
+        assert all(abs(got.get(v, 0) - s) < 5 * error + 1e-9 for v, s in want.items())
+    assert ((rows.weight * n).sum()) == pytest.approx(n.sum(), rel=1e-5)
+
+
+def test_spark_calibrates_the_same(spark):
+    rows = [(i, "a b c d " * (1 + i % 7), ["en", "fr", "de", None][(i * i) % 4], f"s{i % 3}") for i in range(300)]
+    ready = mixing._prepared(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).drop("text")
+    targets = {"source": mixing.Shares(temper=0.5), "lang": mixing.Shares((("en", 0.4), ("fr", 0.35)))}
+    own, other = ({tuple(r[:3]): (r.weight, r.probability) for r in mixing.cell_weights(ready, targets, 0.6, most=n, calibrated=True).collect()} for n in (100, 1))
+    assert own.keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-4) for k, v in own.items())
+
+
+def test_calibrated_odd_rows(odd, empty):
+    assert mixing.mix(odd, calibrated=True).count() == 10 and mixing.mix(empty, calibrated=True).count() == 0
+    assert mixing.sampled(odd, calibrated=True).columns == odd.columns and mixing.sampled(empty, calibrated=True).count() == 0
