@@ -65,19 +65,30 @@ class Store:
         self.replace("meta", self.read("meta").where(F.col("key") != key).union(self.spark.createDataFrame([(key, value)], TABLES["meta"])))
 
 
+def _named(outbox: DataFrame) -> DataFrame:
+    """What names a message: its key; one without (a digest of an older version) by its number."""
+    return outbox.withColumn("key_hash", F.coalesce("key_hash", F.concat(F.lit("digest:"), F.col("id").cast("string"))))
+
+
 def flush(store: Store, sink: Callable[[], Sink], now: int, limits: Limits = LIMITS) -> dict[str, int]:
-    """Try what is due; book outcomes. A message whose first parts went out keeps only the rest."""
-    box = store.read("outbox")
+    """Try what is due; book outcomes. A message whose first parts went out keeps only the rest.
+
+    Messages are told by key and kind. Their numbers only order them, and may be shared.
+    """
+    box = _named(store.read("outbox"))
     rows = state.outbox_due(box, F.lit(now).cast("long"), limits).collect()  # a batch of at most ``outbox_batch``
     if not rows:
         return {"delivered": 0, "deferred": 0, "abandoned": 0}
     spark = store.spark
-    tried = deliver(spark.createDataFrame([(str(r.id), r.parts) for r in rows], "dedupe_key string, parts array<string>"), sink).collect()
-    sent = {int(r.dedupe_key): (r.sent, r.ok) for r in tried}
-    done = spark.createDataFrame([(r.id, r.key_hash, r.kind, r.parts[sent[r.id][0] :], r.attempts, r.first_queued, sent[r.id][1]) for r in rows], "id long, key_hash string, kind string, parts array<string>, attempts int, first_queued long, ok boolean")
+    tried = deliver(spark.createDataFrame([(str(i), r.parts) for i, r in enumerate(rows)], "dedupe_key string, parts array<string>"), sink).collect()
+    sent = {int(r.dedupe_key): r for r in tried}
+    done = spark.createDataFrame(
+        [(i, r.id, r.key_hash, r.kind, r.parts[sent[i].sent :], r.attempts, r.first_queued, sent[i].ok) for i, r in enumerate(rows)],
+        "id long, number long, key_hash string, kind string, parts array<string>, attempts int, first_queued long, ok boolean",
+    )
     steps = state.outbox_step(done, F.lit(now).cast("long"), limits)
-    after = done.select("id", "key_hash", "kind", "parts").join(steps, "id")
-    kept = box.join(F.broadcast(done.select("id")), "id", "left_anti")  # at most a batch
+    after = done.select("id", "number", "key_hash", "kind", "parts").join(steps, "id").drop("id").withColumnRenamed("number", "id")
+    kept = box.join(F.broadcast(done.select("key_hash", "kind")), ["key_hash", "kind"], "left_anti").select(box.columns)  # at most a batch
     outcomes = after.where("kind = 'mail' and outcome <> 'deferred'").select("key_hash", (F.col("outcome") == "delivered").alias("delivered"))
     store.replace("seen", state.promote(store.read("seen"), outcomes, "key_hash"))
     store.replace("outbox", kept.unionByName(after.where("outcome = 'deferred'").select(*(F.col(c).cast("int") if c == "attempts" else F.col(c) for c in kept.columns))))
@@ -85,6 +96,14 @@ def flush(store: Store, sink: Callable[[], Sink], now: int, limits: Limits = LIM
     return {o: counted.get(o, 0) for o in ("delivered", "deferred", "abandoned")}
 
 
+def waiting(store: Store, now: int, limits: Limits = LIMITS) -> dict[str, int]:
+    """How many messages wait, and how many of them are due."""
+    box = store.read("outbox")
+    due = (F.col("next_attempt") <= now) | (F.col("next_attempt") > now + limits.future_tolerance)
+    row = box.agg(F.count("*").alias("waiting"), F.count_if(due).alias("due")).first()
+    return {"waiting": row.waiting, "due": row.due}
+
+
 def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", threshold: str = "normal", limits: Limits = LIMITS) -> int:
     """Claim, judge and queue the new messages of ``files``; how many there were."""
     seen = store.read("seen")
@@ -96,7 +115,7 @@ def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", thr
     work = f"{store.folder}/work/{now}"
     book.withColumn("key_hash", state.dedupe_hash(F.col("dedupe_key"))).write.mode("overwrite").parquet(work)
     book = store.spark.read.parquet(work)
-    number = F.abs(F.xxhash64("key_hash", F.lit(now)))  # ids grow with time, then by key
+    number = F.abs(F.xxhash64("key_hash", F.lit(now)))  # numbers grow with time; keys, not numbers, tell messages apart
     at = F.lit(now).cast("long")
     store.replace("outbox", store.read("outbox").unionByName(book.where("status <> 'queued_low'").select((at * 1_000_000 + number % 1_000_000).alias("id"), "key_hash", F.lit("mail").alias("kind"), "parts", F.lit(0).alias("attempts"), at.alias("first_queued"), at.alias("next_attempt"))))
     store.replace("low_queue", store.read("low_queue").unionByName(book.where("status = 'queued_low'").select((at * 1_000_000 + number % 1_000_000).alias("id"), "key_hash", at.alias("received"), "headline", "category", "from_domain")))
@@ -114,7 +133,7 @@ def send_digest(store: Store, now: int, hour: int = 18, sink: str = "telegram",
     if total:
         shown = [r.asDict() for r in queue.orderBy("id").limit(limits.digest_items).collect()]
         parts = compose_digest(shown, PART_CHARS.get(sink, 2000), limits, total)
-        row = store.spark.createDataFrame([(now * 1_000_000, None, "digest", parts, 0, now, now)], TABLES["outbox"])
+        row = store.spark.createDataFrame([(now * 1_000_000, f"digest:{day}", "digest", parts, 0, now, now)], TABLES["outbox"])
         store.replace("outbox", store.read("outbox").unionByName(row))
         store.replace("low_queue", queue.where("false"))
     store.set_meta("digest_day", day)

@@ -9,6 +9,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, Row
 
+from .tables import settled
+
 
 class Sink(Protocol):
     """Sends one part; raises ``Temporary`` for what may work later."""
@@ -47,12 +49,17 @@ class ConsoleSink:
         print(f"{key[:12]} {part_no}: {text}")
 
 
-#: Makers of sinks by name; a deployment adds its own.
+#: Makers of sinks by name; a deployment adds its own, ``messengers`` those that call out.
 SINKS: dict[str, Callable[[], Sink]] = {"console": ConsoleSink}
 
 
 def deliver(messages: DataFrame, sink: Callable[[], Sink], attempts: int = 3) -> DataFrame:
-    """Send each message's parts in order; (dedupe_key, sent, n_parts, ok). A message stops at its first part that fails, and the rest can be retried from ``sent``."""
+    """Send each message's parts in order; (dedupe_key, sent, n_parts, ok, error).
+
+    A message stops at its first part that fails (``error`` is the failure's class), and the rest can be retried from
+    ``sent``. Everything is sent here and once: the result is a table of what happened, however often it is read.
+    A task that is lost and run again sends its parts again, which a sink can tell by key and part number.
+    """
 
     def run(rows: Iterator) -> Iterator:
         import pandas as pd
@@ -61,17 +68,17 @@ def deliver(messages: DataFrame, sink: Callable[[], Sink], attempts: int = 3) ->
         for frame in rows:
             done = []
             for key, parts in zip(frame["dedupe_key"], frame["parts"], strict=True):
-                sent = 0
+                sent, error = 0, None
                 try:
                     for i, text in enumerate(parts):
                         with_retry(lambda i=i, text=text, key=key: out.send(key, i, text), attempts)
                         sent += 1
-                except Exception:  # noqa: BLE001  booked as a failed try
-                    pass
-                done.append((key, sent, len(parts), sent == len(parts)))
-            yield pd.DataFrame(done, columns=["dedupe_key", "sent", "n_parts", "ok"])
+                except Exception as e:  # noqa: BLE001  booked as a failed try
+                    error = type(e).__name__
+                done.append((key, sent, len(parts), error is None, error))
+            yield pd.DataFrame(done, columns=["dedupe_key", "sent", "n_parts", "ok", "error"])
 
-    return messages.select("dedupe_key", "parts").mapInPandas(run, "dedupe_key string, sent int, n_parts int, ok boolean")
+    return settled(messages.select("dedupe_key", "parts").mapInPandas(run, "dedupe_key string, sent int, n_parts int, ok boolean, error string"))
 
 
 def log_line(row: Row) -> str:

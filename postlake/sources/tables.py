@@ -16,11 +16,14 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read from there.
 
     For what is costly and used more than once. The session names the folder (spark.checkpoint.dir); only
-    where it doesn't, as in tests, a temporary one serves.
+    where it doesn't, as in tests in local mode, a temporary one serves.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postlake-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
