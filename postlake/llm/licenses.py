@@ -163,3 +163,24 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
 
 _NAMES = ["row", "doc_id", "at", "hash", "gram"]
+
+
+#: The base columns, by lists of words. A companion of the query, as the method's own labels and score have no SQL.
+BASE = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+p AS (
+  SELECT string_split(phrase, ' ') AS phrase, label
+  FROM (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')) AS v(phrase, label)),
+w AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d),
+h AS (
+  SELECT w.doc_id, p.label, w.i - 1 AS spot FROM w JOIN p ON w.words[w.i] = p.phrase[1]
+  WHERE list_slice(w.words, w.i, w.i + len(p.phrase) - 1) = p.phrase),
+s AS (
+  SELECT doc_id, count(*) AS n, min(spot) AS low, max(spot) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word,
+       CAST(high AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""

@@ -18,6 +18,11 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_licenses that SQL can say."""
+    return op1_licenses(spark, sf_dir).select(*licenses.BASE)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out()))
@@ -76,9 +81,11 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_urls": op10_urls,
+    "licenses_base": licenses_base,
 }
 
 ORACLE: dict[str, str] = {
+    "licenses_base": licenses.SQL,
     "op4_substring": substring.SQL,
     "op9_topk": knn.SQL,
     "op10_urls": urls.SQL,

@@ -70,3 +70,15 @@ def test_labels_against_word_lists(spark, docs):
             assert label not in labels or share >= licenses.SHARE, (r.doc_id, label)
             assert share == 0 or label in labels or share <= 1
         assert rows[r.doc_id].score == 1 or not rows[r.doc_id].base_labels
+
+
+def test_like_sql(spark, sf):
+    import duckdb
+
+    from postlake.llm.queries import licenses_base
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = licenses_base(spark, sf)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(df.columns)} FROM ({licenses.SQL})").fetchall()))
+    assert df.where("n_base > 0").count() > 0
