@@ -43,6 +43,9 @@ BARE = rf"(?<![\w@.-]){LABEL}(?:\.{LABEL}){{1,10}}(?:/[^\s<>\"'()\x00]*)?"
 _DOT = re.compile(DOT, re.I)
 _SCHEME = re.compile(r"(?:%68|h)(?:%74|t|x)(?:%74|t|x)(?:%70|p)(%73|s)?", re.I)
 _MARKUP = str.maketrans("", "", "`*|~\\")
+#: A host that needs no decoding or cleaning.
+_SIMPLE = re.compile(r"[a-z0-9._-]*")
+_PORT, _TAIL, _SPACE = re.compile(r":\d+$"), re.compile(r"[/?#]"), re.compile(r"\s+")
 
 
 def trailing(raw: str) -> tuple[str, str]:
@@ -52,7 +55,7 @@ def trailing(raw: str) -> tuple[str, str]:
 
 
 def condense(raw: str) -> str:
-    return _DOT.sub(".", re.sub(r"\s+", "", raw))
+    return _DOT.sub(".", _SPACE.sub("", raw))
 
 
 def canonical(raw: str) -> str:
@@ -65,8 +68,9 @@ def canonical(raw: str) -> str:
 
 def host_of(url: str) -> str:
     rest = url.partition("://")[2] if "://" in url else url
-    name = re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2]
-    name = clean_text(unquote(re.sub(r":\d+$", "", name)).strip(".").lower())[0]
+    name = _TAIL.split(rest, maxsplit=1)[0].rpartition("@")[2]
+    name = _PORT.sub("", name)
+    name = name.strip(".") if _SIMPLE.fullmatch(name) else clean_text(unquote(name).strip(".").lower())[0]
     return (name[4:] if name.startswith("www.") and name.count(".") > 1 else name) or "unknown"
 
 
@@ -101,12 +105,22 @@ class Links:
     mixed: list[str] = field(default_factory=list)
     facts: list[dict] = field(default_factory=list)
 
-    def _note(self, kind: str, host: str, shown: str) -> int | None:
+    @property
+    def full(self) -> bool:
+        """Whether all further links are beyond the bound, so that nothing about them needs to be known."""
+        return self.removed >= self.limits.links
+
+    def _over(self, kind: str) -> str:
         self.removed += 1
-        if self.removed > self.limits.links:
-            self.capped = True
-            self.facts.append({"link_no": self.removed, "kind": kind, "host": None, "defanged": None, "is_punycode": False, "unicode_host": None, "is_mixed_script": False, "capped": True})
+        self.capped = True
+        self.facts.append({"link_no": self.removed, "kind": kind, "host": None, "defanged": None, "is_punycode": False, "unicode_host": None, "is_mixed_script": False, "capped": True})
+        return CAPPED
+
+    def _note(self, kind: str, host: str, shown: str) -> int | None:
+        if self.full:
+            self._over(kind)
             return None
+        self.removed += 1
         if len(self.found) < self.limits.links_listed:
             self.found.append(f"#{self.removed}: {shown}")
         return self.removed
@@ -132,11 +146,15 @@ class Links:
     # one handler for each pass: the marker and what stays behind it, or None to leave the text alone
     def _url(self, raw: str) -> tuple[str, str] | None:
         core, rest = trailing(raw)
+        if self.full:
+            return self._over("Link"), rest
         url = canonical(core)
         return self.mark("Link", host_of(url), defang(url, self.limits.defanged_chars)), rest
 
     def _mail(self, raw: str) -> tuple[str, str] | None:
         core, rest = trailing(raw)
+        if self.full:
+            return self._over("Mail"), rest
         address = condense(core).rpartition(":")[2].lower() if core.count(":") == 1 else condense(core).split(":", 1)[-1].lower()
         host = clean_text(address.rpartition("@")[2] if "@" in address else "unknown")[0] or "unknown"
         return self.mark("Mail", host, defang(f"mailto:{address}", self.limits.defanged_chars)), rest
@@ -151,6 +169,8 @@ class Links:
 
     def _name(self, raw: str) -> tuple[str, str] | None:
         core, rest = trailing(raw)
+        if self.full:
+            return self._over("Link"), rest
         flat = condense(core).lower()
         return self.mark("Link", host_of(flat), defang(flat, self.limits.defanged_chars)), rest
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.parser
 import email.policy
 import hashlib
 import re
@@ -124,12 +125,37 @@ def decoded(part: Message) -> str:
     return data.decode("latin-1")
 
 
-def body_prefix(msg: Message) -> str:
-    for kind in ("text/plain", "text/html"):
-        for part in msg.walk():
-            if content_type(part) == kind:
-                return decoded(part)[:512]
-    return ""
+class _Enough(Exception):
+    """The parser made more parts than are looked at."""
+
+
+def begun(data: bytes, limits: Limits = LIMITS) -> tuple[Message, bool]:
+    """A message with its first parts, four times as many as are looked at, and whether these are all."""
+    made: list[Message] = []
+
+    def message(policy: email.policy.Policy = email.policy.compat32) -> Message:
+        if len(made) > 4 * limits.mime_parts:
+            raise _Enough
+        made.append(Message(policy=policy))
+        return made[-1]
+
+    parser = email.parser.BytesFeedParser(message, policy=email.policy.compat32)
+    made.clear()  # the parser tries its factory once
+    try:
+        parser.feed(data)
+        return parser.close(), True
+    except _Enough:
+        return made[0], False
+
+
+def body_prefix(data: bytes, limits: Limits = LIMITS) -> str:
+    """The start of the first plain part, else of the first HTML part."""
+    msg, whole = begun(data, limits)
+    first = {content_type(part): part for part in reversed(list(msg.walk()))}
+    if not whole and "text/plain" not in first:
+        first = {content_type(part): part for part in reversed(list(email.message_from_bytes(data, policy=email.policy.compat32).walk()))}
+    part = first.get("text/plain", first.get("text/html"))
+    return decoded(part)[:512] if part is not None else ""
 
 
 def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
@@ -137,7 +163,7 @@ def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
     empty = dict.fromkeys(("message_id", "reply_to", "reply_to_address", "return_path_domain", "date", "date_offset_min", "auth_results_header"))
     failed = {**empty, "dedupe_key": "sha256:" + hashlib.sha256(data).hexdigest(), "from_addr": UNREADABLE, "from_domain": "", "from_address": "", "reply_to_addresses": [], "to_addrs": [], "subject_raw": "", "mime_bytes": b"", "size_bytes": len(data), "content_hash": "", "id_collision": False, "ingest_failed": True}
     try:
-        msg = email.message_from_bytes(data, policy=email.policy.compat32)
+        msg = email.parser.BytesHeaderParser(policy=email.policy.compat32).parsebytes(data)
         one = lambda name: next(iter(header_values(msg, name, limits)), None)
         shown, address, host, _ = parse_addresses(one("From") or "", limits)
         reply = one("Reply-To")
@@ -149,7 +175,8 @@ def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
             date = None
         offset = date.utcoffset() if date is not None else None
         back = one("Return-Path")
-        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, body_prefix(msg))
+        # only a mail without Message-ID is parsed as a whole here
+        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, body_prefix(data, limits))
         return {
             "message_id": one("Message-ID"), "dedupe_key": key, "from_addr": shown, "from_domain": host, "reply_to": reply, "from_address": address,
             "reply_to_address": reply_address if reply else None, "reply_to_addresses": replies, "return_path_domain": (domain_of(back) or None) if back else None,
@@ -206,6 +233,14 @@ def walk(msg: Message, limits: Limits = LIMITS) -> tuple[list[Part], bool, int]:
     return out, encrypted, skipped
 
 
+def parts_of(data: bytes, limits: Limits = LIMITS) -> tuple[list[Part], bool, int]:
+    """``walk`` over a message's bytes, whose parser stops soon after the last part that is looked at."""
+    msg, whole = begun(data, limits)
+    out = walk(msg, limits)
+    # parts inside of others that are never opened count for the parser only
+    return out if whole or out[2] else walk(email.message_from_bytes(data, policy=email.policy.compat32), limits)
+
+
 def content_words(text: str) -> set[str]:
     return set(_WORDS.findall(_NOISE.sub(" ", text).casefold()))
 
@@ -289,7 +324,7 @@ def sanitize(raw: dict, limits: Limits = LIMITS) -> dict:
     data = raw["mime_bytes"] or b""
     if max(raw["size_bytes"] or 0, len(data)) > limits.mail_bytes:
         raise ValueError("mail_too_large")
-    parts, encrypted, skipped = walk(email.message_from_bytes(data, policy=email.policy.compat32), limits)
+    parts, encrypted, skipped = parts_of(data, limits)
     mail = _Mail(limits, Links(limits))
     raw_room, room = _Budget(limits.text_chars * limits.raw_factor), _Budget(limits.text_chars)
     plain = [p.charset_text or "" for p in parts if p.role == "plain"]

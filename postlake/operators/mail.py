@@ -7,7 +7,6 @@ the stage and class, so nothing is lost and nothing of a mail's content leaks.
 
 from __future__ import annotations
 
-import email
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,7 +53,7 @@ def parts(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     ddl = "path STRING, parts ARRAY<STRUCT<part_no: INT, depth: INT, ctype: STRING, disposition: STRING, filename: STRING, role: STRING, size: BIGINT>>"
 
     def one(r: dict) -> dict:
-        found, _, _ = mime.walk(email.message_from_bytes(r["content"] or b""), limits)
+        found, _, _ = mime.parts_of(r["content"] or b"", limits)
         return {"path": r["path"], "parts": [{"part_no": p.part_no, "depth": p.depth, "ctype": p.ctype, "disposition": p.disposition, "filename": p.filename, "role": p.role, "size": len(p.data)} for p in found]}
 
     return _mapped(files.select("path", "content"), one, ddl).select("path", F.explode("parts").alias("p")).select("path", "p.*")
