@@ -187,3 +187,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+
+
+#: The digests of op6_chat that do not depend on the template, from the rows as they are.
+DIGESTS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+SQL = """
+WITH r AS (
+  SELECT conv_id, 0 AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT * FROM (VALUES (-1, 1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 1, 'assistant', '</s>[INST] ok [/INST]')) AS v(conv_id, own, turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+FROM r GROUP BY conv_id, own"""

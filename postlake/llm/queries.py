@@ -49,6 +49,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows, texts=False).drop("own", "formatted")
 
 
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_chat that SQL can say."""
+    return op6_chat(spark, sf_dir).select(*chat.DIGESTS)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is sung, word by word; those whose conv_id 20 divides are looked up among all."""
     rows = table(spark, sf_dir, "conversations").where("conv_id is not null")
@@ -82,10 +87,12 @@ QUERIES: dict[str, Query] = {
     "op9_topk": op9_topk,
     "op10_urls": op10_urls,
     "licenses_base": licenses_base,
+    "chat_digests": chat_digests,
 }
 
 ORACLE: dict[str, str] = {
     "licenses_base": licenses.SQL,
+    "chat_digests": chat.SQL,
     "op4_substring": substring.SQL,
     "op9_topk": knn.SQL,
     "op10_urls": urls.SQL,

@@ -68,3 +68,14 @@ def test_other_templates_get_whole_conversations(spark):
     rows = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(rows, latest, lambda t: [], str).first()
     assert out.rewrites and out.formatted == latest([("user", f"t{i}") for i in range(300)])
+
+
+def test_digests_against_sql(spark, sf):
+    import duckdb
+
+    from postlake.llm.queries import chat_digests
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    df = chat_digests(spark, sf)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(df.columns)} FROM ({chat.SQL})").fetchall()))
