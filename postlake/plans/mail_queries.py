@@ -1,4 +1,4 @@
-"""Operators whose rules are kernels: rows are checked by tests, as SQL can't express them."""
+"""Operators whose rules are kernels. Where SQL can say what they give for these tables it stands beside them; the rest is checked by tests."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udfs
+from ..kernels.attachments import CONTROL, NAME_CHARS, SIGNATURES, SUFFIX_CHARS, WINDOW
 from ..operators import mail
 from ..sources.tables import table
 from .registry import query
@@ -92,3 +93,89 @@ def sanitized_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mail.run(messages(spark, sf_dir))
     return rows.select("dedupe_key", "status", "importance", "is_warning", F.size("parts").alias("n_parts"), F.sha2(F.array_join("parts", "\n"), 256).alias("parts_sha256"))
+
+
+#: How the attachments of ``attachment_kinds`` begin, and the types they are declared as, by doc_id in turn.
+OPENINGS = ("", "%PDF-1.7 ", "MZ", "GIF89a", "{\\rtf1 ", "#!/bin/sh ", "\x07\x08", "SQLite")
+DECLARED = ("text/plain", " Text/HTML ; charset=utf-8", "application/pdf", "application/zip", "")
+
+
+def _turns(values: tuple[str, ...], key: str) -> str:
+    """SQL, for both engines, of the value whose turn it is."""
+    chosen = " ".join(f"WHEN {i} THEN {_literal(v)}" for i, v in enumerate(values))
+    return f"CASE abs({key}) % {len(values)} {chosen} END"
+
+
+def _literal(value: str) -> str:
+    return "concat(''" + "".join(f", chr({ord(c)})" for c in value) + ")"
+
+
+_CONTROLS = ", ".join(f"'{b:02X}'" for b in CONTROL)
+_STARTS = " OR ".join(f"starts_with(data, '{start.hex().upper()}')" for start, _ in SIGNATURES)
+
+
+@query(f"""
+WITH a AS (
+  SELECT doc_id, {_turns(DECLARED, "doc_id // 8")} AS declared, hex(encode({_turns(OPENINGS, "doc_id")} || coalesce(text, ''))) AS data FROM documents),
+b AS (
+  SELECT doc_id, lower(trim(split_part(declared, ';', 1))) AS declared, data, regexp_extract_all(left(data, {2 * WINDOW}), '..') AS head FROM a),
+c AS (
+  SELECT *, len(list_filter(head, lambda x: x IN ({_CONTROLS}))) AS odd, len(list_filter(head, lambda x: x = '00')) AS nul FROM b)
+SELECT doc_id, CASE
+  WHEN declared NOT IN ('application/pdf', 'text/plain', 'text/html') THEN 'unknown'
+  WHEN declared = 'application/pdf' THEN CASE WHEN starts_with(data, '255044462D') THEN 'pdf' ELSE 'mismatch' END
+  WHEN ({_STARTS}) OR nul > 0 OR 20 * odd >= greatest(len(head), 1) THEN 'mismatch'
+  WHEN declared = 'text/plain' THEN 'text' ELSE 'html' END AS kind
+FROM c""")
+def attachment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as attachments of several declared types and true beginnings."""
+    data = F.encode(F.concat(F.expr(_turns(OPENINGS, "doc_id")), F.coalesce("text", F.lit(""))), "utf-8")
+    return table(spark, sf_dir, "documents").select("doc_id", udfs.detect_kind(F.expr(_turns(DECLARED, "(doc_id div 8)")), data).alias("kind"))
+
+
+@query(f"""
+WITH n AS (
+  SELECT page_id, unnest([url, replace(repeat(url, 4), '/', ' - ') || '.tar.gz', '..' || chr(92) || url || chr(92) || '._ ']) AS name, unnest([1, 2, 3]) AS form FROM pages),
+k AS (
+  SELECT page_id, form, trim(regexp_replace(regexp_replace(regexp_extract(replace(name, chr(92), '/'), '[^/]*$'), '[^A-Za-z0-9._ -]', '_', 'g'), ' +', ' ', 'g'), '._ ') AS kept FROM n),
+s AS (
+  SELECT *, CASE WHEN regexp_matches(kept, '.[.][^.]{{1,{SUFFIX_CHARS}}}$') THEN regexp_extract(kept, '[.][^.]{{1,{SUFFIX_CHARS}}}$') ELSE '' END AS suffix FROM k),
+r AS (SELECT *, {NAME_CHARS} - 3 - length(suffix) AS room FROM s)
+SELECT page_id, form, CASE WHEN kept = '' OR kept IS NULL THEN 'unbenannt' WHEN length(kept) <= {NAME_CHARS} THEN kept
+  ELSE left(kept, room - room // 2) || '…' || right(left(kept, length(kept) - length(suffix)), room // 2) || suffix END AS name
+FROM r""")
+def attachment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that addresses make: as they are, long ones with a suffix, and such as end in a folder."""
+    long = F.concat(F.replace(F.repeat("url", 4), F.lit("/"), F.lit(" - ")), F.lit(".tar.gz"))
+    folder = F.concat(F.lit("..\\"), "url", F.lit("\\._ "))
+    names = F.posexplode(F.array("url", long, folder)).alias("at", "name")
+    return table(spark, sf_dir, "pages").select("page_id", names).select("page_id", (F.col("at") + 1).alias("form"), udfs.sanitize_filename("name").alias("name"))
+
+
+@query("""
+WITH m AS (
+  SELECT d.doc_id AS k, coalesce(d.source, '') AS source,
+    'Message-ID: <' || CAST(CASE WHEN d.doc_id % 10 = 9 THEN d.doc_id - 1 ELSE d.doc_id END AS VARCHAR) || '@mail.example>' || chr(13) || chr(10)
+    || 'From: Sender ' || CAST(d.doc_id AS VARCHAR) || ' <a@' || d.source || '.example>' || chr(13) || chr(10)
+    || CASE WHEN d.doc_id % 7 = 0 THEN 'Reply-To: b@other.example' || chr(13) || chr(10) ELSE '' END
+    || CASE WHEN d.doc_id % 5 = 0 THEN 'Return-Path: <c@xn--pypal-4ve.com>' || chr(13) || chr(10) || 'Authentication-Results: mx; spf=fail dkim=pass' || chr(13) || chr(10) ELSE '' END
+    || 'To: me@home.example' || chr(13) || chr(10) || 'Subject: Report ' || CAST(d.doc_id AS VARCHAR) || ' http://promo.example/x' || chr(13) || chr(10)
+    || 'Date: Mon, 15 Jan 2024 10:00:00 +0100' || chr(13) || chr(10) || 'MIME-Version: 1.0' || chr(13) || chr(10) AS head,
+    'Content-Type: text/plain; charset=utf-8' || chr(13) || chr(10) || 'Content-Transfer-Encoding: 8bit' || chr(13) || chr(10) || chr(13) || chr(10)
+    || d.text || ' see hxxps://login(.)example/a' || chr(13) || chr(10) AS plain,
+    'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || p.html || chr(13) || chr(10) AS html
+  FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
+w AS (
+  SELECT k, source, head || CASE WHEN html IS NULL THEN plain WHEN k % 2 = 0 THEN html
+    ELSE 'Content-Type: multipart/alternative; boundary="zz"' || chr(13) || chr(10) || chr(13) || chr(10) || '--zz' || chr(13) || chr(10) || plain || '--zz' || chr(13) || chr(10) || html || '--zz--' || chr(13) || chr(10) END AS content
+  FROM m)
+SELECT '<' || CAST(CASE WHEN k % 10 = 9 THEN k - 1 ELSE k END AS VARCHAR) || '@mail.example>' AS message_id, 'Sender ' || CAST(k AS VARCHAR) || ' <a@' || source || '.example>' AS from_addr,
+  source || '.example' AS from_domain, 'a@' || source || '.example' AS from_address, CASE WHEN k % 7 = 0 THEN 'b@other.example' END AS reply_to_address,
+  CASE WHEN k % 5 = 0 THEN 'xn--pypal-4ve.com' END AS return_path_domain, CASE WHEN k % 5 = 0 THEN 'mx; spf=fail dkim=pass' END AS auth_results_header,
+  'Report ' || CAST(k AS VARCHAR) || ' http://promo.example/x' AS subject_raw, 60 AS date_offset_min, 'me@home.example' AS sent_to,
+  CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes, sha256(content) AS content_hash
+FROM w""")
+def raw_mail_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of the raw rows say, with size and hash of the whole message."""
+    columns = ("message_id", "from_addr", "from_domain", "from_address", "reply_to_address", "return_path_domain", "auth_results_header", "subject_raw", "date_offset_min")
+    return mail.raw(messages(spark, sf_dir)).select(*columns, F.array_join("to_addrs", ",").alias("sent_to"), F.col("size_bytes").cast("long").alias("size_bytes"), "content_hash")
