@@ -12,6 +12,8 @@ CONTROLS = "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\u00AD\\u200B-\\u200F\\u202A-\\u2
 TAG_LIKE = r"</?[a-zA-Z][^<>]{0,200}>"
 #: Fixed value: characters that foreign text may have.
 FOREIGN = "[^\\n\\x20-\\x7EÄÖÜäöüß—–…„“”‘’§·]"
+#: Fixed value: characters that are taken out of names that a server gave.
+NAME = "[^0-9A-Za-zÄÖÜäöüß _./-]"
 #: Fixed value: phrases that only make sense as orders to a language model.
 ORDERS = (
     r"(?:ignore|forget|disregard)\s+(?:all\s+(?:of\s+)?|any\s+|every\s+)?(?:your|the|these|those|my)?\s*(?:previous|prior|above|preceding|earlier)\s+(?:instructions?|rules?|prompts?)"
@@ -56,6 +58,22 @@ def foreign_text(c: Column, limit: int = 400) -> Column:
     return F.left(F.regexp_replace(F.translate(c, "\r\n", "  "), FOREIGN, "·"), F.lit(limit))
 
 
+def terminal_text(c: Column, limit: int = 4000) -> Column:
+    """A finished message for a terminal: foreign characters go, its own line ends stay."""
+    return F.left(F.regexp_replace(unix_lines(c), FOREIGN, "·"), F.lit(limit))
+
+
+def safe_name(c: Column, limit: int = 80) -> Column:
+    """A name that a server gave, of plain characters on one line."""
+    flat = F.trim(F.regexp_replace(F.translate(c, "\r\n", "  "), NAME, "·"))
+    return F.when(F.coalesce(flat, F.lit("")) == "", F.lit("(unnamed)")).otherwise(F.left(flat, F.lit(limit)))
+
+
+def toml_string(c: Column) -> Column:
+    """A text as a TOML basic string; such strings are escaped as in JSON, and a delete character too."""
+    return F.replace(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""), F.lit("\x7f"), F.lit("\\u007F"))
+
+
 def notice_subject(c: Column) -> Column:
     flat = one_line(F.regexp_replace(c, r"[^\x20-\x7E]", " "))
     short = F.when(F.length(flat) > 120, F.concat(F.left(flat, F.lit(119)), F.lit("…"))).otherwise(flat)

@@ -19,7 +19,7 @@ def in_range(c: Column, low: int, high: int) -> Column:
 
 def instructions(c: Column, most: int = 2000) -> Column:
     """(text, problem): line ends as LF, no space at their ends; control characters are named, too long texts refused."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"(?m)[ \t]+$", ""))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]++(?=\n)", ""), r"^[ \t\n]+|[ \t\n]++$", "")
     bad = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\x00-\x08\x0B-\x1F\x7F])"), F.lit(1))))
     named = F.array_join(F.transform(bad, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(x)), 4, "0"))), ", ")
     problem = F.when(F.size(bad) > 0, F.concat(F.lit("control characters: "), named)).when(F.length(text) > most, "too long")

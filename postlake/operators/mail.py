@@ -158,3 +158,23 @@ def judged(raw_rows: DataFrame, threshold: str = "normal", limits: Limits = LIMI
 def run(files: DataFrame, threshold: str = "normal", sink: str = "telegram", limits: Limits = LIMITS) -> DataFrame:
     """All stages over ``files(content)``: read, claim each message once, sanitize, summarise, judge, route, compose."""
     return composed(judged(claimed(files, None, limits), threshold, limits), sink)
+
+
+def stage_report(judged_rows: DataFrame) -> DataFrame:
+    """One row of counts for a run, without any content: what each stage took out, and how the mails were judged."""
+    fine = F.col("error").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(fine, c)), F.lit(0)).cast("long")
+    is_ = lambda c, v: F.count_if(fine & (F.col(c) == v))
+    return judged_rows.agg(
+        F.count("*").alias("mails"),
+        F.count_if(~fine).alias("failed"),
+        total(F.length("body_text")).alias("characters"),
+        total(F.size("attachments")).alias("attachments"),
+        total(F.size(F.filter("attachments", lambda a: a["processed"]))).alias("processed"),
+        total(F.col("report.links_removed")).alias("links_removed"),
+        total(F.col("report.control_chars_removed")).alias("controls_removed"),
+        F.count_if(fine & F.col("summary.injection_suspected")).alias("injection_suspected"),
+        *(is_("summary.importance", v).alias(f"importance_{v}") for v in policy.IMPORTANCE),
+        *(is_("verdict.phishing_risk", v).alias(f"risk_{v}") for v in policy.RISKS),
+        F.count_if(fine & ~F.col("verdict.summary_accurate")).alias("inaccurate"),
+    )

@@ -99,6 +99,22 @@ def outbox_due(outbox: DataFrame, now: Column, limits: Limits = LIMITS) -> DataF
     return outbox.withColumn("was_reset", ahead).withColumn("next_attempt", F.when(ahead, now).otherwise(F.col("next_attempt"))).where(F.col("next_attempt") <= now).orderBy("id").limit(limits.outbox_batch)
 
 
+def still_pending(rows: DataFrame, outbox: DataFrame) -> DataFrame:
+    """The rows whose ``key_hash`` has a message in the outbox."""
+    return rows.join(outbox.select("key_hash"), "key_hash", "left_semi")
+
+
+def direct_delivered(rows: DataFrame, outbox: DataFrame) -> DataFrame:
+    """How many of ``rows(key_hash)`` went out at once: those of which nothing waits any more. What waits is the flush's to count."""
+    return rows.join(outbox.select("key_hash"), "key_hash", "left_anti").agg(F.count("*").alias("delivered"))
+
+
+def waiting(outbox: DataFrame, now: Column, limits: Limits = LIMITS) -> DataFrame:
+    """One row: how many messages wait, and how many of them are due."""
+    due = (F.col("next_attempt") <= now) | (F.col("next_attempt") > now + limits.future_tolerance)
+    return outbox.agg(F.count("*").alias("waiting"), F.count_if(due).alias("due"))
+
+
 def outbox_step(attempted: DataFrame, now: Column, limits: Limits = LIMITS) -> DataFrame:
     """Rows (id, attempts, first_queued, ok) after one try: outcome, attempts, next_attempt and first_queued."""
     used = F.col("attempts") + 1

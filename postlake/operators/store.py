@@ -98,12 +98,21 @@ def flush(store: Store, sink: Callable[[], Sink], now: int, limits: Limits = LIM
 
 def waiting(store: Store, now: int, limits: Limits = LIMITS) -> dict[str, int]:
     """How many messages wait, and how many of them are due."""
-    box = store.read("outbox")
-    due = (F.col("next_attempt") <= now) | (F.col("next_attempt") > now + limits.future_tolerance)
-    row = box.agg(F.count("*").alias("waiting"), F.count_if(due).alias("due")).first()
+    row = state.waiting(store.read("outbox"), F.lit(now).cast("long"), limits).first()
     return {"waiting": row.waiting, "due": row.due}
 
 
+def pending(store: Store, keys: DataFrame) -> DataFrame:
+    """The rows of ``keys(key_hash)`` of which a message still waits."""
+    return state.still_pending(keys, store.read("outbox"))
+
+
+def lookup(store: Store, key_hash: str) -> dict | None:
+    """What is known of one mail; None if it was never seen."""
+    row = store.read("seen").where(F.col("key_hash") == key_hash).first()
+    return row.asDict() if row else None
+
+
 def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", threshold: str = "normal", limits: Limits = LIMITS) -> int:
     """Claim, judge and queue the new messages of ``files``; how many there were."""
     seen = store.read("seen")
