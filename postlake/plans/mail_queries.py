@@ -10,6 +10,7 @@ from ..kernels.attachments import CONTROL, NAME_CHARS, SIGNATURES, SUFFIX_CHARS,
 from ..operators import mail
 from ..sources.tables import table
 from .registry import query
+from .url_queries import _FANG, HOST_SQL
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,42 +31,96 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("/mail/"), k.cast("string"), F.lit(".eml")).alias("path"), F.concat(head, body).cast("binary").alias("content"))
 
 
+def _rewritten(pattern: str, new: str, text: str = "text") -> str:
+    """SQL of a text in which each match ``x`` of ``pattern`` becomes ``new``."""
+    found, rest = f"regexp_extract_all({text}, '{pattern}')", f"regexp_split_to_array({text}, '{pattern}')"
+    return f"array_to_string(list_transform(range(1, len({rest}) + 1), lambda i: {rest}[i] || coalesce(list_transform({found}, lambda x: {new})[i], '')), '')"
+
+
+#: Names and rows of numbers: dots go where a label but the first begins with two letters, or where four short numbers stand in a row.
+_DOTTED = "[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"
+_BROKEN = "CASE WHEN regexp_matches(x, '[.][A-Za-z][A-Za-z]') OR regexp_matches(x, '^[0-9]{1,3}([.][0-9]{1,3}){3,}$') THEN replace(x, '.', '[.]') ELSE x END"
+_GUARDED = f"g AS (SELECT doc_id, {_rewritten(_DOTTED, _BROKEN, "coalesce(text, '')")} AS t FROM documents)"
+#: Words that hold a link in any of these forms go whole.
+_LINKISH = r"(?i)(?:[a-z][a-z0-9+.-]{0,15}://|h[^\w]{0,2}x[^\w]{0,2}x[^\w]{0,2}p|\bwww\s*[.]|\bmailto\s*:|\btel\s*:|[(]\s*[.]\s*[)]|\[\s*[.]\s*\]|[(]\s*dot\s*[)]|[A-Za-z0-9-]{1,63}\s*[.]\s*[A-Za-z]{2,24}\s*/)"
+
+
+def _redacted(text: str) -> str:
+    for pattern in (r"!?\[[^\]\n]{0,200}\][(][^)\n]{0,500}[)]", r"</?[A-Za-z][^>\n]{0,200}>", r"&#x?[0-9A-Fa-f]{1,8};?", rf"\S*?{_LINKISH}\S*"):
+        text = f"regexp_replace({text}, '{pattern}', '[entfernt]', 'g')"
+    return text
+
+
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", udfs.html_to_text("html").alias("h"))
     return rows.select("page_id", F.length("h.text").alias("n_chars"), F.sha2("h.text", 256).alias("text_sha256"), "h.hidden", "h.rejected")
 
 
-@query()
+#: A path ends where a bracket begins, so a disguised one ends at its first dot.
+_PLAIN_AGAIN = r"CASE link_no WHEN 1 THEN url ELSE regexp_replace(lower(url), '^([a-z]+://[^/?#]*[^.]*).*$', '\1') END"
+
+
+@query(f"""
+WITH l AS (SELECT page_id, unnest([1, 2]) AS link_no, url FROM pages)
+SELECT page_id, CAST(link_no AS INTEGER) AS link_no, 'Link' AS kind, {HOST_SQL} AS host, {_FANG.format(_PLAIN_AGAIN)} AS defanged,
+  false AS is_punycode, CAST(NULL AS VARCHAR) AS unicode_host, false AS is_mixed_script, false AS capped FROM l""")
 def links_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", udfs.scrub_links(F.concat(F.lit("see "), "url", F.lit(". Or "), F.replace("url", F.lit("."), F.lit("(dot)")))).alias("s"))
     return rows.select("page_id", F.explode("s.links").alias("l")).select("page_id", "l.*")
 
 
-@query()
+@query("SELECT doc_id, sha256('fi' || nfc_normalize(text)) AS text_sha256, CAST(1 AS BIGINT) AS removed FROM documents")
 def clean_text_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", udfs.clean_text(F.concat(F.lit("ﬁ​"), "text")).alias("c"))
     return rows.select("doc_id", F.sha2("c.text", 256).alias("text_sha256"), "c.removed")
 
 
-@query()
+@query(f"WITH {_GUARDED} SELECT doc_id, sha256(t) AS guarded_sha256 FROM g")
 def final_guard_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(udfs.final_guard("text"), 256).alias("guarded_sha256"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_GUARDED},
+lines AS (SELECT doc_id, unnest(range(1, len(string_split(trim(t), chr(10))) + 1)) AS line, unnest(string_split(trim(t), chr(10))) AS said FROM g),
+cuts AS (
+  SELECT doc_id, line, 0 AS k, CAST(NULL AS VARCHAR) AS piece, said AS rest, '' AS lead FROM lines
+  UNION ALL
+  SELECT doc_id, line, k + 1, lead || CASE WHEN whole THEN rest ELSE rtrim(left(rest, stop)) END, CASE WHEN whole OR ltrim(substr(rest, stop + 1)) = '' THEN NULL ELSE ltrim(substr(rest, stop + 1)) END, '… '
+  FROM (SELECT *, length(rest) <= room AS whole, CASE WHEN strpos(reverse(left(rest, room)), ' ') > 0 AND room - strpos(reverse(left(rest, room)), ' ') >= room // 2 THEN room - strpos(reverse(left(rest, room)), ' ') ELSE room END AS stop
+        FROM (SELECT *, 2000 - length(lead) AS room FROM cuts WHERE rest IS NOT NULL) AS r) AS s),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS n, piece FROM cuts WHERE k > 0),
+packed AS (
+  SELECT doc_id, n, piece, 0 AS part_no, length(piece) AS used FROM pieces WHERE n = 1
+  UNION ALL
+  SELECT p.doc_id, p.n, p.piece, CASE WHEN used + 1 + length(p.piece) <= 2000 THEN part_no ELSE part_no + 1 END, CASE WHEN used + 1 + length(p.piece) <= 2000 THEN used + 1 + length(p.piece) ELSE length(p.piece) END
+  FROM packed AS b JOIN pieces AS p ON p.doc_id = b.doc_id AND p.n = b.n + 1),
+parts AS (SELECT doc_id, part_no, string_agg(piece, chr(10) ORDER BY n) AS part FROM packed GROUP BY doc_id, part_no)
+SELECT doc_id, part_no, CAST(length(part) AS INTEGER) AS n_chars, sha256(part) AS part_sha256 FROM parts""")
 def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(udfs.split_parts("text", F.lit(2000))).alias("part_no", "part"))
     return rows.select("doc_id", "part_no", F.length("part").alias("n_chars"), F.sha2("part", 256).alias("part_sha256"))
 
 
-@query()
+@query(f"WITH s AS (SELECT doc_id, coalesce(text, '') AS before, {_redacted("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, sha256(trim(t)) AS text_sha256, t <> before AS suspicious FROM s")
 def scrub_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", udfs.scrub_model_text("text").alias("s"))
     return rows.select("doc_id", F.sha2("s.text", 256).alias("text_sha256"), "s.suspicious")
 
 
-@query()
+_REPLY = """concat(text, CASE doc_id % 6 WHEN 0 THEN ' at [home](http://a.example/b c) now' WHEN 1 THEN ' go to hxxps://x.example/y now' WHEN 2 THEN ' or (evil (.) example) too'
+  WHEN 3 THEN ' <b class=x>bold</b> &#x41; end' WHEN 4 THEN ' call tel:112, www.x and evil.com/x!' ELSE ' plain 1.2 end' END)"""
+
+
+@query(f"WITH r AS (SELECT doc_id, coalesce({_REPLY}, '') AS before FROM documents), s AS (SELECT *, {_redacted('before')} AS t FROM r) SELECT doc_id, sha256(trim(t)) AS text_sha256, t <> before AS suspicious FROM s")
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as replies that end in links, marks and entities of several forms."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", udfs.scrub_model_text(F.expr(_REPLY)).alias("s"))
+    return rows.select("doc_id", F.sha2("s.text", 256).alias("text_sha256"), "s.suspicious")
+
+
+@query(r'''SELECT doc_id, '{"headline":' || to_json(text) || ',"importance":"high"}' AS json FROM documents''')
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("text").isNotNull(), F.to_json(F.struct(F.col("text").alias("headline"), F.lit("high").alias("importance"))))
     reply = F.concat(F.lit("Sure:\n```json\n"), said, F.lit("\n```"))
@@ -89,6 +144,18 @@ def sanitized_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dedupe_key", "from_display", "subject", F.sha2("body_text", 256).alias("body_sha256"), *(F.col(f"report.{c}").alias(c) for c in report), "error")
 
 
+@query("""
+WITH m AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS n, CAST(doc_id - CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END AS VARCHAR) AS id, source FROM documents)
+SELECT '<' || id || '@mail.example>' AS dedupe_key, 'Sender ' || n AS from_display, source || '.example' AS from_domain, 'Report ' || n || ' [Link #: promo.example]' AS subject,
+  k % 7 = 0 AS reply_to_mismatch, k % 5 = 0 AS return_path_mismatch, CASE WHEN k % 5 = 0 THEN 'dkim=pass,spf=fail' ELSE '' END AS checked, CAST(NULL AS VARCHAR) AS error FROM m""")
+def sanitized_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers say once they are safe; the number of the subject's link, which counts those of the text, is left out."""
+    rows = mail.sanitized(mail.raw(messages(spark, sf_dir)))
+    checked = F.array_join(F.transform(F.array_sort(F.map_entries("report.auth_results")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    report = ("reply_to_mismatch", "return_path_mismatch")
+    return rows.select("dedupe_key", "from_display", "from_domain", F.regexp_replace("subject", r"#\d+", "#").alias("subject"), *(F.col(f"report.{c}").alias(c) for c in report), checked.alias("checked"), "error")
+
+
 @query()
 def mail_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mail.run(messages(spark, sf_dir))
