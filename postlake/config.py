@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import tempfile
 import tomllib
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -117,3 +119,65 @@ def state_dir(config: Config, path: str | Path | None = None) -> str:
     """Where state lies: as configured, from the file's folder if relative; else beside the file."""
     base = Path(path).parent if path else Path()
     return str(base / Path(config.state_dir).expanduser()) if config.state_dir else str(base / "state")
+
+
+def toml_value(value: Any) -> str:
+    """A value as TOML. Texts are escaped as in JSON, which TOML reads alike but for the delete character."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int | float):
+        return repr(value)
+    if isinstance(value, str):
+        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\\u007F")
+    if isinstance(value, list | tuple):
+        return f"[{', '.join(map(toml_value, value))}]"
+    raise ConfigError(f"a {type(value).__name__} can't be written")
+
+
+def render(data: Mapping[str, Any]) -> str:
+    """The configuration as TOML: what has no section, then sections in the schema's order, and in them known fields in theirs; others keep their order."""
+
+    def ordered(names: list[str], known: list[str]) -> list[str]:
+        return sorted(names, key=lambda n: known.index(n) if n in known else len(known))
+
+    out = [f"{k} = {toml_value(v)}" for k, v in data.items() if not isinstance(v, dict)]
+    for name in ordered([k for k, v in data.items() if isinstance(v, dict)], list(_SECTIONS)):
+        known = [f.name for f in fields(_SECTIONS[name])] if name in _SECTIONS else []
+        out += ["", f"[{name}]", *(f"{k} = {toml_value(data[name][k])}" for k in ordered(list(data[name]), known))]
+    return "\n".join(out).lstrip("\n") + "\n"
+
+
+def write_private(path: str | Path, text: str) -> None:
+    """A file that only its owner reads, whole or not at all; a link in its place is replaced, not followed."""
+    path = Path(path)
+    handle, beside = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, path)
+    except BaseException:
+        Path(beside).unlink(missing_ok=True)
+        raise
+
+
+def write_folder(folder: str | Path, files: Mapping[str, str]) -> None:
+    """Files into a folder that is new or empty; names are plain ones."""
+    folder = Path(folder)
+    if bad := sorted(n for n in files if n != Path(n).name or n in ("", ".", "..")):
+        raise ConfigError(f"no plain names: {', '.join(bad)}")
+    if folder.is_symlink() or (folder.exists() and (not folder.is_dir() or any(folder.iterdir()))):
+        raise ConfigError(f"{folder} is not an empty folder")
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, text in files.items():
+        write_private(folder / name, text)
+
+
+def save(path: str | Path, data: Mapping[str, Any]) -> Config:
+    """Write a configuration that reads back as it is; one that wouldn't is refused, and the old file stays."""
+    config, text = load_dict(data, {}), render(data)
+    if load_dict(tomllib.loads(text), {}) != config:
+        raise ConfigError("the configuration does not read back")
+    write_private(path, text)
+    return config

@@ -6,8 +6,13 @@ is there, so a cycle that dies leaves the old state. Messages are in the outbox
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from functools import wraps
+from typing import ParamSpec, TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,26 @@ TABLES = {
 }
 
 
+P, R = ParamSpec("P"), TypeVar("R")
+
+
+class StateError(RuntimeError):
+    """State could not be read or written; the message names the action and the class of the cause, never a row."""
+
+
+def _told(f: Callable[P, R]) -> Callable[P, R]:
+    """Errors of the engine as errors of the state."""
+
+    @wraps(f)
+    def run(*args: P.args, **kwargs: P.kwargs) -> R:
+        try:
+            return f(*args, **kwargs)
+        except (PySparkException, Py4JJavaError, OSError) as e:
+            raise StateError(f"{f.__name__}: {type(e).__name__}") from e
+
+    return run
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -35,12 +60,14 @@ class Store:
         if found is None:
             self.set_meta("version", str(VERSION))
 
+    @_told
     def _versions(self, name: str) -> list[int]:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/v=*/_SUCCESS")
         found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
         return sorted(int(x.getPath().getParent().getName()[2:]) for x in found or [])
 
+    @_told
     def read(self, name: str) -> DataFrame:
         """The last finished version; columns that older ones lack are null."""
         known = self._versions(name)
@@ -48,6 +75,7 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}/v={known[-1]}")
 
+    @_told
     def replace(self, name: str, rows: DataFrame) -> None:
         known = self._versions(name)
         columns = [c.split()[0] for c in TABLES[name].split(", ")]
@@ -57,6 +85,7 @@ class Store:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/v={old}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    @_told
     def meta(self, key: str) -> str | None:
         row = self.read("meta").where(F.col("key") == key).first()
         return row.value if row else None
@@ -156,3 +185,22 @@ def cycle(store: Store, files: DataFrame, sink: Callable[[], Sink], now: int, na
     digest = send_digest(store, now, hour, name, limits)
     second = flush(store, sink, now, limits)
     return {"new": new, "digest": int(digest)} | {k: first[k] + second[k] for k in first}
+
+
+def run_forever(step: Callable[[], object], stop: threading.Event, every: float, failed: Callable[[Exception], float | None] = lambda e: None) -> int:
+    """Cycle after cycle until ``stop`` is set, which lets a running cycle end; how many there were.
+
+    ``failed`` gives the seconds to wait after a cycle that raised, or None if that ends the run. Waits end at once when stopped.
+    """
+    done = 0
+    while not stop.is_set():
+        wait: float | None = every
+        try:
+            step()
+        except Exception as e:
+            wait = failed(e)
+            if wait is None:
+                raise
+        done += 1
+        stop.wait(wait)
+    return done
