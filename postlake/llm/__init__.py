@@ -1 +1 @@
-"""Training-data operators: licences, toxicity, BPE, deduplication, mixing, chat, media, top-k and URL filters."""
+"""Training-data operators: licences, toxicity, BPE, deduplication, mixing, chat, media, top-k, URL filters, token counts, tokenizer alignment and whitening."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, knn, licenses, media, mixing, simhash, substring, toxicity, urls
+from . import alignment, bpe, chat, counts, knn, licenses, media, mixing, simhash, substring, toxicity, urls, whitening
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.bad_label()).drop("listed")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths, groups=False).drop("groups")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
     "op10_urls": op10_urls,
+    "op11_token_counts": op11_token_counts,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
     "licenses_base": licenses_base,
     "chat_digests": chat_digests,
 }

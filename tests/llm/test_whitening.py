@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+
+from postlake.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def integers(rows) -> dict:
+    return {i: [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for i, v in rows}
+
+
+def brute(rows) -> tuple[dict, np.ndarray, np.ndarray, float]:
+    """Deviations by Python's integers, and the eigenpairs of the whole covariance."""
+    x = integers(rows)
+    n, s = len(x), [sum(c) for c in zip(*x.values(), strict=True)]
+    d = {i: [n * a - b for a, b in zip(v, s, strict=True)] for i, v in x.items()}
+    y = np.array([[a / n for a in v] for v in d.values()])
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    return d, values[::-1], vectors[:, ::-1], float((y * y).sum() / n)
+
+
+def check(found, rows, k: int) -> None:
+    d, values, vectors, trace = brute(rows)
+    n = len(d)
+    assert len(found) == n * k
+    signs: dict[int, float] = {}
+    for r in found:
+        assert r.n == n and r.deviation == sum(a * a for a in d[r.vec_id])
+        j = r.component - 1
+        want = float(np.dot([a / n for a in d[r.vec_id]], vectors[:, j])) / math.sqrt(values[j])
+        sign = signs.setdefault(j, math.copysign(1, r.whitened * want)) if abs(want) > 1e-3 else signs.get(j, 0)
+        assert not sign or abs(sign * r.whitened - want) < 1e-7
+        assert abs(r.explained - values[j] / trace) < 1e-10 and r.identity_error < 1e-7 and r.residual <= 1e-11
+    assert {r.component for r in found} == set(range(1, k + 1))
+
+
+def test_table(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    check(whitening.whiten(df).collect(), rows, min(32, sum(v > 1e-11 * brute(rows)[1][0] for v in brute(rows)[1])))
+
+
+def test_iterations_in_a_wide_space():
+    """Far more dimensions than the block has columns: the answer takes iterations, and each pair is certified."""
+    rng = np.random.default_rng(1)
+    q = np.linalg.qr(rng.standard_normal((400, 400)))[0]
+    spectrum = 0.97 ** np.arange(400)
+    matrix = (q * spectrum) @ q.T
+    calls = []
+
+    def product(block):
+        calls.append(block.shape[1])
+        return matrix @ block
+
+    values, vectors, residuals = whitening.lobpcg(product, 400, 10)
+    assert np.allclose(values, spectrum[:10], rtol=1e-12) and residuals.max() <= 1e-11 and len(calls) > 6
+    assert np.allclose(np.abs(np.sum(vectors * q[:, :10], axis=0)), 1, atol=1e-12)
+    assert max(calls) <= 2 * 18  # residuals and previous directions
+
+
+def test_equal_eigenvalues_and_low_rank():
+    values, vectors, _ = whitening.lobpcg(lambda b: 3 * b, 50, 5)
+    assert np.allclose(values, 3) and np.allclose(vectors.T @ vectors, np.eye(5))
+    low = np.diag([5.0, 2.0] + [0.0] * 48)
+    values, _, _ = whitening.lobpcg(lambda b: low @ b, 50, 5)
+    assert np.allclose(values, [5, 2, 0, 0, 0], atol=1e-12)
+    assert whitening.lobpcg(lambda b: 0 * b, 4, 4)[0].tolist() == [0] * 4
+
+
+def test_what_is_not_certified_fails():
+    rng = np.random.default_rng(2)
+    with pytest.raises(whitening.NotConverged):
+        whitening.lobpcg(lambda b: b + 0.01 * rng.standard_normal(b.shape), 60, 5, iterations=8)
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    good = [(i, rng.standard_normal(5).astype(np.float32).tolist(), None) for i in range(40)]
+    bad = [(50, None, 1), (51, [], 1), (52, [1.0, None, 0.0, 0.0, 0.0], 1), (53, [math.nan] * 5, 1), (54, [math.inf, 0.0, 0.0, 0.0, 0.0], 1), (55, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(good + bad, SCHEMA)
+    more = df.selectExpr("*", "label as component", "label as n", "label as x", "label as whitened", "'d' as deviation").repartition(3)
+    check(whitening.whiten(more).collect(), [r[:2] for r in good], 5)
+    assert whitening.whiten(df, components=2).groupBy("component").count().orderBy("component").collect() == [(1, 40), (2, 40)]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(None, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 1.0], 0)]
+    found = whitening.whiten(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == 8 and sum(r.vec_id is None for r in found) == 2 and {r.n for r in found} == {4}
+    mine = [r.whitened for r in found if r.vec_id == 1 and r.component == 1]
+    assert len(mine) == 2 and mine[0] == mine[1]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0], 0)], [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)], [(1, None, 0)]])
+def test_without_variance(spark, rows):
+    df = whitening.whiten(spark.createDataFrame(rows, SCHEMA))
+    assert df.count() == 0 and df.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_offset_costs_no_digits(spark):
+    """One dimension varies by single units beside one that varies widely; a huge entry is capped and its deviation null."""
+    rows = [(i, [i / 64, (i % 7) * 1000.0, 0.5], 0) for i in range(-10, 11)]
+    check(whitening.whiten(spark.createDataFrame(rows, SCHEMA)).collect(), [r[:2] for r in rows], 2)
+    huge = [(1, [3e38, 0.0], 0), (2, [-3e38, 0.0], 0), (3, [0.0, 1.0], 0)]
+    found = whitening.whiten(spark.createDataFrame(huge, SCHEMA)).collect()
+    assert {r.deviation is None for r in found if r.vec_id == 1} == {True}
+    assert all(math.isfinite(r.whitened) for r in found)
+
+
+def test_exact_integers():
+    x = np.array([[2**53, -(2**53)], [5, 7]])
+    assert whitening.centred(x, 2**12, [1, 2]).tolist() == [[2**65 - 1, -(2**65) - 2], [5 * 2**12 - 1, 7 * 2**12 - 2]]
+    assert whitening.deviations(whitening.centred(x, 2**12, [1, 2]))[0] is None
+    assert whitening.deviations(np.array([[3, 4]])) == [25]
