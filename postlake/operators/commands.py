@@ -49,8 +49,8 @@ def answer_status(store: Store, folder: str, now: int, sink: str = "telegram") -
     text = f"Running. Folder: {scrub_plain(folder, FOLDER)}. {waiting(store, now)['waiting']} message(s) waiting to be delivered, {queued} mail(s) collected for the daily digest."
     parts = finalize(text, PART_CHARS.get(sink, 2000))
     row = store.spark.createDataFrame([(now * 1_000_000, f"status:{now}", "status", parts, 0, now, now)], TABLES["outbox"])
-    box = store.read("outbox")
-    store.replace("outbox", box.unionByName(row.join(box.select("key_hash"), "key_hash", "left_anti").select(row.columns)))
+    waits = store.read("outbox", row, 1).select("key_hash")
+    store.apply({"outbox": row.join(waits, "key_hash", "left_anti").select(row.columns)})
 
 
 def serve(store: Store, bot: Source, chat: str, folder: str, now: int, sink: str = "telegram") -> bool:

@@ -43,9 +43,50 @@ def _mapped(rows: DataFrame, one: Callable[[dict], dict], ddl: str) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
+def _read(r: dict, limits: Limits) -> dict:
+    """The raw row of a message. One of which only the header could be fetched is told by it, and fails."""
+    row = mime.raw_mail(r["content"] or b"", limits)
+    if r.get("whole") is False:
+        row |= {"ingest_failed": True, "content_hash": None, "mime_bytes": b""}
+    return row
+
+
+#: What a source may say of a message beside its content: its number in a mailbox.
+SOURCE = {"uid": "BIGINT"}
+
+
+def _given(files: DataFrame) -> tuple[DataFrame, list[str]]:
+    carried = [c for c in SOURCE if c in files.columns]
+    return files.select("content", *(c for c in ("whole",) if c in files.columns), *(F.col(c).cast("long").alias(c) for c in carried)), carried
+
+
 def raw(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``files(content)`` to raw rows; one that can't be read is a row with ``ingest_failed``."""
-    return _mapped(files.select("content"), lambda r: mime.raw_mail(r["content"] or b"", limits), schemas.RAW_MAIL)
+    """``files(content)`` to raw rows; one that can't be read is a row with ``ingest_failed``, and so is one that is not ``whole``.
+
+    The column ``uid`` of a mailbox stays.
+    """
+    given, carried = _given(files)
+    return _mapped(given, lambda r: _read(r, limits) | {c: r[c] for c in carried}, ", ".join([schemas.RAW_MAIL, *(f"{c} {SOURCE[c]}" for c in carried)]))
+
+
+#: Raw columns that go on beside the sanitized ones, and what tells rows of one pass apart.
+_HEAD = ("dedupe_key", "content_hash", "subject_raw")
+
+
+def opened(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """``files(content)`` read and sanitized in one pass, without any binary: sanitized columns and ``error`` in ``safe``, what claims need beside it.
+
+    ``rid`` numbers the rows; it is fixed once the result is written.
+    """
+    given, carried = _given(files)
+    kinds = T.StructType.fromDDL(schemas.SANITIZED_MAIL + ", error STRING").simpleString()
+
+    def one(r: dict) -> dict:
+        row = _read(r, limits)
+        return {c: row[c] for c in _HEAD} | {"arrived": row["date"], "safe": _sanitized(row, limits)} | {c: r[c] for c in carried}
+
+    columns = ["dedupe_key STRING", "content_hash STRING", "subject_raw STRING", "arrived TIMESTAMP", f"safe {kinds}", *(f"{c} {SOURCE[c]}" for c in carried)]
+    return _mapped(given, one, ", ".join(columns)).withColumn("rid", F.monotonically_increasing_id())
 
 
 def parts(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -59,23 +100,23 @@ def parts(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return _mapped(files.select("path", "content"), one, ddl).select("path", F.explode("parts").alias("p")).select("path", "p.*")
 
 
-def sanitized(raw_rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Raw rows to sanitized ones with (stage, error); where an error is set the content columns are empty."""
-    ddl = schemas.SANITIZED_MAIL + ", error STRING"
+def _sanitized(r: dict, limits: Limits) -> dict:
+    """The sanitized row of a raw one; where an error is set the content columns are empty."""
     blank = {"from_display": "", "subject": "", "body_text": "", "attachment_texts": [], "attachments": [], "links_found": [], "report": None}
+    base = {"dedupe_key": r["dedupe_key"], "from_domain": r["from_domain"], "date": r["date"], "date_offset_min": r["date_offset_min"]}
+    if r["ingest_failed"]:
+        return {**base, **blank, "error": "ingest_error"}
+    try:
+        out = mime.sanitize(r, limits)
+    except Exception:  # noqa: BLE001  fail closed, one mail at a time
+        return {**base, **blank, "error": "sanitize_error"}
+    out["report"] = {**out["report"], "auth_results": list(out["report"]["auth_results"].items())}
+    return {**out, "error": None}
 
-    def one(r: dict) -> dict:
-        base = {"dedupe_key": r["dedupe_key"], "from_domain": r["from_domain"], "date": r["date"], "date_offset_min": r["date_offset_min"]}
-        if r["ingest_failed"]:
-            return {**base, **blank, "error": "ingest_error"}
-        try:
-            out = mime.sanitize(r, limits)
-        except Exception:  # noqa: BLE001  fail closed, one mail at a time
-            return {**base, **blank, "error": "sanitize_error"}
-        out["report"] = {**out["report"], "auth_results": list(out["report"]["auth_results"].items())}
-        return {**out, "error": None}
 
-    return _mapped(raw_rows, one, ddl)
+def sanitized(raw_rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Raw rows to sanitized ones with (stage, error); where an error is set the content columns are empty."""
+    return _mapped(raw_rows, lambda r: _sanitized(r, limits), schemas.SANITIZED_MAIL + ", error STRING")
 
 
 def links(sanitized_rows: DataFrame) -> DataFrame:
@@ -141,23 +182,46 @@ def composed(rows: DataFrame, sink: str = "telegram", with_footnote: bool = Fals
     return _mapped(rows.drop("signals", "body_text", "attachment_texts"), one, "dedupe_key STRING, status STRING, importance STRING, is_warning BOOLEAN, parts ARRAY<STRING>")
 
 
+#: Numbers of claimed rows that are broadcast at most: 8 bytes and a key each.
+FEW = 1_000_000
+
+
+def _first(arrived: DataFrame, at: str, seen: DataFrame | None) -> DataFrame:
+    """(rid, final_key, collides) of the messages that are new, once each. Only their keys travel."""
+    narrow = arrived.select("rid", "dedupe_key", "content_hash", F.struct(at, "content_hash", "subject_raw", "rid").alias("arrival"))
+    new = settled(claim_with_rekey(narrow, "dedupe_key", "content_hash", "arrival", seen).where("result = 'CLAIMED'").select("rid", "final_key", F.col("id_collision").alias("collides")))
+    return F.broadcast(new) if new.count() <= FEW else new
+
+
 def claimed(files: DataFrame, seen: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Raw rows of the messages that are new, once each; ``seen(key_hash, content_hash)`` are those of earlier runs."""
-    read = settled(raw(files, limits))  # a message is parsed once, however often the claims look at it
-    columns = [F.col("final_key").alias(c) if c == "dedupe_key" else F.col("collides").alias(c) if c == "id_collision" else F.col(f"m.{c}").alias(c) for c in read.columns]
-    arrived = read.select(F.struct(*read.columns).alias("m"), "dedupe_key", "content_hash", F.struct("date", "content_hash", "subject_raw").alias("arrival"))
-    new = claim_with_rekey(arrived, "dedupe_key", "content_hash", "arrival", seen).where("result = 'CLAIMED'")
-    return new.groupBy("final_key").agg(F.min_by("m", "arrival").alias("m"), F.max("id_collision").alias("collides")).select(columns)
+    read = raw(files, limits)
+    rows = settled(read.withColumn("rid", F.monotonically_increasing_id()))  # a message is parsed once, however often the claims look at it
+    columns = [F.col("final_key").alias(c) if c == "dedupe_key" else F.col("collides").alias(c) if c == "id_collision" else F.col(c) for c in read.columns]
+    return rows.join(_first(rows, "date", seen), "rid").select(columns)
+
+
+def first_ones(arrived: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Sanitized rows, with content_hash, of those messages of ``opened`` (settled before) that are new, once each."""
+    new = arrived.join(_first(arrived, "arrived", seen), "rid")
+    columns = [c for c in arrived.schema["safe"].dataType.names if c not in ("dedupe_key", "report")]
+    report = F.col("safe.report").withField("id_collision", F.col("collides"))
+    return new.select(F.col("final_key").alias("dedupe_key"), *(F.col(f"safe.{c}").alias(c) for c in columns), report.alias("report"), "content_hash")
+
+
+def judged_safe(rows: DataFrame, threshold: str = "normal", limits: Limits = LIMITS) -> DataFrame:
+    """Sanitized rows with summary, verdict and status."""
+    return routed(offline_verdict(offline_summary(rows, limits), limits), threshold)
 
 
 def judged(raw_rows: DataFrame, threshold: str = "normal", limits: Limits = LIMITS) -> DataFrame:
     """Raw rows to sanitized ones with summary, verdict and status."""
-    return routed(offline_verdict(offline_summary(sanitized(raw_rows, limits), limits), limits), threshold)
+    return judged_safe(sanitized(raw_rows, limits), threshold, limits)
 
 
 def run(files: DataFrame, threshold: str = "normal", sink: str = "telegram", limits: Limits = LIMITS) -> DataFrame:
-    """All stages over ``files(content)``: read, claim each message once, sanitize, summarise, judge, route, compose."""
-    return composed(judged(claimed(files, None, limits), threshold, limits), sink)
+    """All stages over ``files(content)``: read and sanitize, claim each message once, summarise, judge, route, compose."""
+    return composed(judged_safe(first_ones(settled(opened(files, limits))), threshold, limits), sink)
 
 
 def stage_report(judged_rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import text as X
 from ..operators import checks, hosting, mail, providers, state
-from ..sources.tables import table
+from ..sources.tables import settled, table
 from .mail_queries import messages
 from .registry import query
 from .url_queries import HOST_SQL
@@ -190,4 +190,4 @@ def outbox_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of one run over all messages."""
-    return mail.stage_report(mail.judged(mail.claimed(messages(spark, sf_dir))))
+    return mail.stage_report(mail.judged_safe(mail.first_ones(settled(mail.opened(messages(spark, sf_dir))))))

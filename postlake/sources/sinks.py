@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Row
@@ -53,32 +55,77 @@ class ConsoleSink:
 SINKS: dict[str, Callable[[], Sink]] = {"console": ConsoleSink}
 
 
-def deliver(messages: DataFrame, sink: Callable[[], Sink], attempts: int = 3) -> DataFrame:
+class Ledger:
+    """Which parts of which messages have gone out: an empty file for each part, in a folder that driver and tasks share.
+
+    A part is numbered from the message's end, so a message that is queued again without its first parts keeps its numbers.
+    """
+
+    def __init__(self, folder: str) -> None:
+        from pyarrow import fs
+
+        self.fs, self.folder = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self._selector = fs.FileSelector
+
+    def _of(self, key: str) -> str:
+        name = hashlib.sha256(key.encode()).hexdigest()
+        return f"{self.folder}/{name[:2]}/{name}"
+
+    def noted(self, key: str) -> set[int]:
+        return {int(x.base_name) for x in self.fs.get_file_info(self._selector(self._of(key), allow_not_found=True)) if x.base_name.isdigit()}
+
+    def note(self, key: str, left: int) -> None:
+        self.fs.create_dir(self._of(key), recursive=True)
+        self.fs.open_output_stream(f"{self._of(key)}/{left}").close()
+
+    def forget(self, keys: Iterable[str]) -> None:
+        """What was booked elsewhere needs no note any more."""
+        for key in keys:
+            with contextlib.suppress(FileNotFoundError):
+                self.fs.delete_dir(self._of(key))
+
+
+Outcome = tuple[str, int, int, bool, str | None]
+OUTCOME = "dedupe_key string, sent int, n_parts int, ok boolean, error string"
+
+
+def send_all(out: Sink, key: str, parts: Sequence[str], attempts: int = 3, ledger: Ledger | None = None) -> Outcome:
+    """Send a message's parts in order, but for those that the ledger has; it stops at the first that fails."""
+    sent, error = 0, None
+    try:
+        noted = ledger.noted(key) if ledger else set()
+        for i, text in enumerate(parts):
+            if len(parts) - i not in noted:
+                with_retry(lambda i=i, text=text: out.send(key, i, text), attempts)
+                if ledger:
+                    ledger.note(key, len(parts) - i)
+            sent += 1
+    except Exception as e:  # noqa: BLE001  booked as a failed try
+        error = type(e).__name__
+    return key, sent, len(parts), error is None, error
+
+
+def deliver(messages: DataFrame, sink: Callable[[], Sink], attempts: int = 3, ledger: str | None = None) -> DataFrame:
     """Send each message's parts in order; (dedupe_key, sent, n_parts, ok, error).
 
     A message stops at its first part that fails (``error`` is the failure's class), and the rest can be retried from
     ``sent``. Everything is sent here and once: the result is a table of what happened, however often it is read.
-    A task that is lost and run again sends its parts again, which a sink can tell by key and part number.
+    With the folder of a ``ledger`` a task that is lost and run again goes on where the lost one was; only what died between a part
+    and its note goes out twice. Without one it sends its parts again. A copy of a running task would send them too, so
+    sessions that start such copies are refused.
     """
+    if messages.sparkSession.sparkContext.getConf().get("spark.speculation", "false") == "true":
+        raise ValueError("a message may not be sent by two copies of a task: spark.speculation is on")
 
     def run(rows: Iterator) -> Iterator:
         import pandas as pd
 
-        out = sink()
+        out, notes = sink(), Ledger(ledger) if ledger else None
         for frame in rows:
-            done = []
-            for key, parts in zip(frame["dedupe_key"], frame["parts"], strict=True):
-                sent, error = 0, None
-                try:
-                    for i, text in enumerate(parts):
-                        with_retry(lambda i=i, text=text, key=key: out.send(key, i, text), attempts)
-                        sent += 1
-                except Exception as e:  # noqa: BLE001  booked as a failed try
-                    error = type(e).__name__
-                done.append((key, sent, len(parts), error is None, error))
+            done = [send_all(out, key, parts, attempts, notes) for key, parts in zip(frame["dedupe_key"], frame["parts"], strict=True)]
             yield pd.DataFrame(done, columns=["dedupe_key", "sent", "n_parts", "ok", "error"])
 
-    return settled(messages.select("dedupe_key", "parts").mapInPandas(run, "dedupe_key string, sent int, n_parts int, ok boolean, error string"))
+    return settled(messages.select("dedupe_key", "parts").mapInPandas(run, OUTCOME))
 
 
 def log_line(row: Row) -> str:
