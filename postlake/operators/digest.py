@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import suffixes
 from ..limits import LIMITS, Limits
+from ..sources.tables import settled
 
 
 def low_digest(items: DataFrame, by: str, limits: Limits = LIMITS) -> DataFrame:
@@ -29,18 +30,36 @@ def daily_bucket(ts: Column, hour: int = 18) -> Column:
     return F.date_trunc("day", ts.cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hour))).cast("date")
 
 
+def sums_before(rows: DataFrame, by: str, order: list[str], measure: Column, name: str = "before", parts: int | None = None) -> DataFrame:
+    """``rows`` with the sum of ``measure`` over the earlier rows of their group, however large a group is.
+
+    Rows are dealt by range of group and order and written once. Each range sums its own part of a group; what lies
+    before it comes from the sums of the ranges before, of which only the groups that a border cuts need any: fewer than there are borders.
+    ``parts`` is the number of ranges, that of shuffles unless given.
+    """
+    ranged = rows.withColumn("_m", measure).repartitionByRange(*([parts] if parts else []), by, *order)
+    dealt = settled(ranged.withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(F.col(by).alias("_by"), "_part").agg(F.sum("_m").alias("_sum"))
+    cut = sums.groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_part", "_sum"))).alias("_runs")).where(F.size("_runs") > 1)
+    earlier = lambda r: F.aggregate(F.filter("_runs", lambda x: x["_part"] < r["_part"]), F.lit(0).cast("long"), lambda total, x: total + F.coalesce(x["_sum"], F.lit(0)))
+    offsets = cut.select("_by", F.explode(F.transform("_runs", lambda r: F.struct(r["_part"].alias("_of"), earlier(r).alias("_offset")))).alias("o")).select("_by", "o.*")
+    own = Window.partitionBy("_part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn(name, F.coalesce(F.sum("_m").over(own), F.lit(0)))
+    out = local.join(F.broadcast(offsets), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")), "left")  # two rows a border at most
+    return out.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).select(*rows.columns, name)
+
+
 def running_budget(rows: DataFrame, by: str, order: list[str], text: str, budget: int) -> DataFrame:
     """Texts in order, cut where the budget of their group ends."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)), F.lit(0))
-    out = rows.withColumn("left", left).withColumn("cut", F.length(text) > F.col("left"))
+    left = F.greatest(F.lit(budget) - F.col("_before"), F.lit(0))
+    out = sums_before(rows, by, order, F.length(text), "_before").withColumn("left", left).drop("_before").withColumn("cut", F.length(text) > F.col("left"))
     return out.withColumn("kept", F.when(F.col("cut"), F.rtrim(F.left(F.col(text), F.col("left").cast("int")))).otherwise(F.col(text)))
 
 
 def number_links(links: DataFrame, by: str, order: list[str], limits: Limits = LIMITS) -> DataFrame:
     """Links numbered within their mail; only the first count singly and fewer are listed."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return links.withColumn("link_no", n).withColumn("capped", F.col("link_no") > limits.links).withColumn("listed", F.col("link_no") <= limits.links_listed)
+    numbered = sums_before(links, by, order, F.lit(1), "_before").withColumn("link_no", (F.col("_before") + 1).cast("int")).drop("_before")
+    return numbered.withColumn("capped", F.col("link_no") > limits.links).withColumn("listed", F.col("link_no") <= limits.links_listed)
 
 
 def footnotes(numbered: DataFrame, by: str, limits: Limits = LIMITS) -> DataFrame:
