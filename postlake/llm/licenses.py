@@ -3,14 +3,16 @@
 Every rolling k-gram of words of every text is hashed and joined (in Spark) to the positions of the
 k-grams of licence phrases and notices. A hit votes for its diagonal: place in the text less place in the
 template. Votes are summed by diagonal; neighbouring diagonals, as words that were put in or left out
-leave them, are merged; and a span counts once the words themselves, compared k-gram by k-gram, agree
+leave them, are merged if they lie no further apart than half a notice, so that a notice said again is not taken for more of the first;
+and a span counts once the words themselves, compared k-gram by k-gram, agree
 with the template. Phrases are short and must stand whole on one diagonal. Notices are longer: they
-count when at least ``SHARE`` of their k-grams are found in one merged span that is no longer than the notice over ``SHARE``.
+count when at least ``SHARE`` of their k-grams are found in one merged span that is no longer than the notice over ``SHARE``, or
+on one diagonal, whatever lies beside it.
 
 The template table is fixed and small, so the join broadcasts it; the k-grams of a text are hit where they
 are made, and only hits reach the shuffle, summed before it. Words are runs of ASCII letters (lower-cased)
 and digits and of all characters beyond ASCII. Null texts have no words. Each row is scanned by itself,
-also rows that share a doc_id or have none.
+also rows that share a doc_id or have none. A long text is scanned whole; its hits of one template are merged in one task.
 """
 
 from __future__ import annotations
@@ -133,7 +135,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     )
     # neighbouring diagonals of a notice are one span
     own = Window.partitionBy("row", "template").orderBy("diagonal")
-    step = F.when(F.col("diagonal") - F.lag("diagonal").over(own) <= NEAR, 0).otherwise(1)
+    near = F.least(F.lit(NEAR), F.floor((F.col("size") + LONG - 1) / 2))
+    step = F.when(F.col("diagonal") - F.lag("diagonal").over(own) <= near, 0).otherwise(1)
+    alone = F.size("places") / F.col("size")
+    one = F.struct((F.col("diagonal") + F.array_min("places")).alias("first_word"), (F.col("diagonal") + F.array_max("places") + LONG - 1).alias("last_word"), alone.alias("part"))
     spans = votes.where("same > 0 or template is null").withColumn("step", step).withColumn("span", F.sum("step").over(own))
     merged = spans.groupBy("row", "template", "label", "phrase", "size", "span").agg(
         F.max("doc_id").alias("doc_id"), F.max("at").alias("n"),
@@ -142,12 +147,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         F.max(F.when(F.col("phrase") & (F.col("same") == F.col("size")), F.col("diagonal"))).alias("high"),
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.min(F.col("diagonal") + F.array_min("places")).alias("from_word"), F.max(F.col("diagonal") + F.array_max("places") + LONG - 1).alias("to_word"),
+        F.max(alone).alias("alone"), F.collect_list(F.when(alone >= share, one)).alias("whole"),
     )
     part = F.size("places") / F.col("size")
     # pieces that lie too far apart for the words of one notice are no notice, however many diagonals led from one to the next
     dense = (F.col("to_word") - F.col("from_word") + 1) * share <= F.col("size") + LONG - 1
-    counted = merged.withColumn("part", F.when(~F.col("phrase") & dense, part)).withColumn("good", F.when(F.col("phrase"), F.col("found") > 0).otherwise(F.coalesce(F.col("part") >= share, F.lit(False))))
-    spot = F.struct("label", F.col("from_word").alias("first_word"), F.col("to_word").alias("last_word"), "part")
+    counted = merged.withColumn("part", F.when(~F.col("phrase"), F.greatest(F.when(dense, part), F.col("alone")))).withColumn("good", F.when(F.col("phrase"), F.col("found") > 0).otherwise(F.coalesce(F.col("part") >= share, F.lit(False))))
+    merged_one = F.array(F.struct(F.col("from_word").alias("first_word"), F.col("to_word").alias("last_word"), part.alias("part")))
+    spots = F.transform(F.when(dense & (part >= share), merged_one).otherwise(F.col("whole")), lambda w: F.struct("label", w["first_word"].alias("first_word"), w["last_word"].alias("last_word"), w["part"].alias("part")))
     base = F.coalesce(F.col("phrase"), F.lit(False)) & F.coalesce(F.col("good"), F.lit(False))
     return counted.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -158,7 +165,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("good"), F.col("label")))), ",").alias("labels"),
         F.greatest(F.max(F.when(base, F.lit(1.0))), F.max(F.when(~F.col("phrase"), F.least(F.col("part"), F.lit(1.0)))), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(~F.col("phrase") & F.col("good"), spot))).alias("spans"),
+        F.array_sort(F.flatten(F.collect_list(F.when(~F.col("phrase") & F.col("good"), spots)))).alias("spans"),
     ).drop("row")
 
 

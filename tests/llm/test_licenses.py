@@ -72,6 +72,40 @@ def test_labels_against_word_lists(spark, docs):
         assert rows[r.doc_id].score == 1 or not rows[r.doc_id].base_labels
 
 
+def test_notices_said_again(spark):
+    """Each notice two and three times in a row, side by side and apart, with a word changed, put in or left out in one of them."""
+    rows, want = [], {}
+
+    def put(text, labels):
+        want[len(rows)] = set(labels)
+        rows.append((len(rows), text))
+
+    for label, notice in licenses.NOTICES.items():
+        words = notice.split()
+        for times in (1, 2, 3):
+            for between in ("", " x", " some words that lie between them"):
+                put((notice + between + " ") * times, [label])
+        if len(words) >= 16:
+            mid = len(words) // 2
+            for edited in (words[:mid] + ["new"] + words[mid:], words[:mid] + words[mid + 1 :], words[:mid] + ["other"] + words[mid + 1 :]):
+                put(f"{notice} {' '.join(edited)}", [label])
+                put(f"{' '.join(edited)} {' '.join(edited)}", [label])
+                put(f"{' '.join(edited)} {notice} {' '.join(edited)}", [label])
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert want[i] <= set(found[i].labels.split(",")), text
+        assert seen(found[i]) == brute(text)
+        line = f" {text} ".replace("  ", " ")
+        for label, notice in licenses.NOTICES.items():  # a label stands where its words do
+            if label in found[i].labels.split(",") and label not in want[i]:
+                assert f" {notice} " in line
+        spans = [s for s in found[i].spans if s.label in want[i]]
+        words = WORD.findall(text)
+        assert spans and all(0 <= s.first_word <= s.last_word < len(words) and s.part >= licenses.SHARE for s in spans)
+        whole = [j for label in want[i] for j in range(len(words)) if words[j : j + len(licenses.NOTICES[label].split())] == licenses.NOTICES[label].split()]
+        assert {s.first_word for s in spans} >= set(whole)
+
+
 def test_like_sql(spark, sf):
     import duckdb
 
