@@ -2,7 +2,7 @@
 
 Both vocabularies see a blank and the text. Where a single blank stands between two characters that are no white space, both
 cut in front of it whatever lies around, so a text is a row of words that don't depend on each other; a worker encodes a new
-word once and remembers it.
+word once, all new ones of a batch at a time, and remembers it. What comes of each text is written once; the rest works on that.
 
 Two tokens are linked where they end at the same byte. A pair of ids is one 64-bit integer, ``b << 32 | a``. Each task
 sums its own pairs (``np.unique``), the partial counts are dealt by range and sorted, and equal neighbours are summed in
@@ -24,6 +24,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import cut, slices
+from .common import cut, flat, slices
 
-#: Words that a worker remembers, the longest of them (longer ones only for a batch), bytes of text at once.
-REMEMBERED, LONGEST, CHUNK = 300_000, 256, 1 << 20
+#: Words that a worker remembers, the longest of them (longer ones only for a batch), bytes of text and new words at once.
+REMEMBERED, LONGEST, CHUNK, AT_ONCE = 200_000, 256, 1 << 20, 8_192
 #: Shards of the sorted counts.
 SHARDS = 8
 #: Where a text falls into words, for both vocabularies.
@@ -92,77 +93,88 @@ class Aligner:
         self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b)]
         self.forget()
 
+        names = [[str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b)]
+        #: Each id as it is written within a group and at its end.
+        self.within, self.last = [[f"{i}," for i in n] for n in names], [[f"{i}{end}" for i in n] for n, end in zip(names, "|;", strict=True)]
+        self.forget()
+
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        #: Of each word: its groups as text, (n_a, n_b, links), and its pairs; no pairs (None) if it doesn't come back.
+        #: Of each word: its groups as text, how many tokens of both kinds, where its pairs begin and how many there are; -1 if it doesn't come back.
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.pairs: list[np.ndarray | None] = []
+        self.n_a, self.n_b, self.first, self.n = (np.zeros(0, np.int64) for _ in range(4))
+        self.pairs = np.zeros(0, np.int64)
         self.long = False
 
-    def _word(self, word: str, ids_a: list[int], ids_b: list[int]) -> None:
-        raw = b" " + word.encode()
-        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            groups, counts, pairs = "", (0, 0, 0), None
-        else:
-            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            _, at_a, at_b = np.intersect1d(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]), assume_unique=True, return_indices=True)
-            groups, s, t = [], 0, 0
-            for i, j in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                groups.append(f"{','.join(map(str, ids_a[s:i]))}|{','.join(map(str, ids_b[t:j]))}")
-                s, t = i, j
-            groups, counts, pairs = ";".join(groups), (len(a), len(b), len(at_a)), b[at_b] << 32 | a[at_a]
-        self.number[word] = len(self.groups)
-        self.groups.append(groups)
-        self.counts.append(counts)
-        self.pairs.append(pairs)
-        self.long |= len(word) > LONGEST
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words and cut them into groups, all at once."""
+        texts = [" " + w for w in words]
+        ids = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode(words, num_threads=1)]
+        raw = [t.encode() for t in texts]
+        fine, stops = [True] * len(words), np.cumsum(list(map(len, raw)))
+        for x, tokens, sizes in zip(ids, (self.bytes_a, self.bytes_b), self.sizes, strict=True):
+            every = list(chain.from_iterable(x))
+            at = np.concatenate(([0], np.cumsum(sizes[np.array(every, np.int64)])))[np.cumsum(list(map(len, x)))]
+            if not np.array_equal(at, stops) or b"".join([tokens[i] for i in every]) != b"".join(raw):
+                fine = [f and b"".join([tokens[i] for i in w]) == r for f, w, r in zip(fine, x, raw, strict=True)]
+        base = len(self.groups)
+        self.number.update(zip(words, range(base, base + len(words)), strict=True))
+        self.long |= max(map(len, words)) > LONGEST
+        self.groups += [""] * len(words)
+        good = [i for i, f in enumerate(fine) if f]
+        n_a, n_b, first, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.full(len(words), -1)
+        if good:
+            pairs = self._group(base, good, [raw[i] for i in good], [[x[i] for i in good] for x in ids], n_a, n_b, first, n)
+            first += len(self.pairs)
+            self.pairs = np.concatenate((self.pairs, pairs))
+        self.n_a, self.n_b, self.first, self.n = (np.concatenate(x) for x in ((self.n_a, n_a), (self.n_b, n_b), (self.first, first), (self.n, n)))
+
+    def _group(self, base: int, good: list[int], raw: list[bytes], some: list[list[list[int]]], n_a: np.ndarray, n_b: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The pairs of words that both vocabularies give back; writes their groups and counts."""
+        counts = [np.fromiter(map(len, x), np.int64, len(x)) for x in some]
+        joined = [np.fromiter(chain.from_iterable(x), np.int64, int(c.sum())) for x, c in zip(some, counts, strict=True)]
+        ends = [np.cumsum(sizes[x]) for sizes, x in zip(self.sizes, joined, strict=True)]
+        joint, *at = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        pairs = joined[1][at[1]] << 32 | joined[0][at[0]]
+        words_end = np.searchsorted(joint, np.cumsum(list(map(len, raw))), "right")  # groups up to each word's end
+        # tokens in the order in which they are written: by group, those of the first vocabulary first
+        group = [np.searchsorted(joint, e) for e in ends]
+        order = np.argsort(np.concatenate((2 * group[0], 2 * group[1] + 1)), kind="stable").tolist()
+        written = []
+        for side in range(2):
+            closes = np.zeros(len(joined[side]), bool)
+            closes[at[side]] = True
+            within, last = self.within[side], self.last[side]
+            written += [last[i] if c else within[i] for i, c in zip(joined[side].tolist(), closes.tolist(), strict=True)]
+        written = [written[i] for i in order]
+        s = 0
+        for i, e in zip(good, np.cumsum(counts[0] + counts[1]).tolist(), strict=True):
+            self.groups[base + i] = "".join(written[s:e])[:-1]
+            s = e
+        n_a[good], n_b[good] = counts
+        n[good] = np.diff(words_end, prepend=0)
+        first[good] = words_end - n[good]
+        return pairs
 
     def words(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's words."""
         cuts = [JOINT.split(t) if t else [] for t in texts]
         known = self.number
         new = list({w: None for c in cuts for w in c if w not in known})
-        if new:
-            encoded = self.a.encode_batch([" " + w for w in new], add_special_tokens=False)
-            for w, x, y in zip(new, encoded, self.b.encode(new, num_threads=1), strict=True):
-                self._word(w, x.ids, y)
+        for i in range(0, len(new), AT_ONCE):
+            self._learn(new[i : i + AT_ONCE])
         get = known.__getitem__
         return [list(map(get, c)) for c in cuts]
 
+    def linked(self, numbers: np.ndarray) -> np.ndarray:
+        """The pairs of words, one after the other."""
+        n = self.n[numbers]
+        return self.pairs[np.repeat(self.first[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
     def full(self) -> bool:
         return self.long or len(self.groups) > REMEMBERED
 
 
-class Tally:
-    """Sums how often each word stood, and gives the sums of its pairs."""
-
-    def __init__(self) -> None:
-        self.n = np.zeros(0, np.int64)
-        self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, words: list[list[int]], aligner: Aligner) -> None:
-        pairs = aligner.pairs
-        if len(self.n) < len(pairs):
-            self.n = np.concatenate((self.n, np.zeros(2 * len(pairs) - len(self.n), np.int64)))
-        for w in words:
-            if w and all(pairs[i] is not None for i in set(w)):
-                at, n = np.unique(np.array(w), return_counts=True)
-                self.n[at] += n
-
-    def settle(self, aligner: Aligner) -> None:
-        """Move the words' sums to their pairs; the aligner may forget them then."""
-        there = np.flatnonzero(self.n)
-        if len(there):
-            parts = [aligner.pairs[i] for i in there.tolist()]
-            weights = np.repeat(self.n[there], [len(p) for p in parts])
-            self.pairs, at = np.unique(np.concatenate((self.pairs, *parts)), return_inverse=True)
-            sums = np.zeros(len(self.pairs), np.int64)
-            np.add.at(sums, at, np.concatenate((self.counts, weights)))
-            self.counts = sums
-        self.n = np.zeros(0, np.int64)
-
-
 _built: dict[bytes, Aligner] = {}
 
 
@@ -196,25 +208,54 @@ def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["pair", "n"])
 
 
-def pair_counts(docs: DataFrame, first: bytes, second: bytes, shards: int = SHARDS) -> DataFrame:
-    """(pair, n): how many links of all texts hold each pair of ids, as a table of sorted shards."""
+def encoded(docs: DataFrame, first: bytes, second: bytes, groups: bool = False) -> DataFrame:
+    """(doc_id, n_a, n_b, groups_sha256, groups, pairs) of each row's whole text, with its pairs as 64-bit integers, written once."""
     sources = docs.sparkSession.sparkContext.broadcast((first, second))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, tally = _aligner(*sources.value), Tally()
-        aligner.forget()  # the tally counts words by their number
+        aligner = _aligner(*sources.value)
         for b in batches:
-            for part in slices(b, 0, CHUNK):
-                tally.add(aligner.words(part.column(0).to_pylist()), aligner)
+            for part in slices(b, 1, CHUNK):
                 if aligner.full():
-                    tally.settle(aligner)
                     aligner.forget()
-        tally.settle(aligner)
-        for s in range(0, len(tally.pairs), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (tally.pairs, tally.counts)], ["pair", "n"])
+                texts = aligner.words(part.column(1).to_pylist())
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                number = np.fromiter(chain.from_iterable(texts), np.int64, int(sizes.sum()))
+                lost = np.unique(np.repeat(np.arange(len(texts)), sizes)[aligner.n[number] < 0])  # texts that don't come back
+                for i in lost.tolist():
+                    texts[i] = []
+                number = number[~np.isin(np.repeat(np.arange(len(sizes)), sizes), lost)]
+                sizes[lost] = 0
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                n_a, n_b, n = (np.diff(np.concatenate(([0], np.cumsum(x[number])))[ends]) for x in (aligner.n_a, aligner.n_b, aligner.n))
+                said = [";".join([aligner.groups[i] for i in w]) for w in texts]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if w else "" for t, w in zip(said, texts, strict=True)]
+                at = np.concatenate(([0], np.cumsum(8 * n)))
+                pairs = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(aligner.linked(number).astype("<i8"))]).cast(pa.binary())
+                columns = [pa.array(n_a), pa.array(n_b), pa.array(digests, pa.string()), pa.array(said if groups else [None] * len(said), pa.string()), pairs]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_a", "n_b", "groups_sha256", "groups", "pairs"])
 
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''")
-    partial = cut(texts.mapInArrow(run, "pair long, n long"))  # dealing by range reads its input twice
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return cut(texts.mapInArrow(run, "doc_id long, n_a long, n_b long, groups_sha256 string, groups string, pairs binary"))
+
+
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's own sum of each pair; their number is bounded by the vocabularies."""
+    pairs = counts = np.zeros(0, np.int64)
+    for b in batches:
+        for part in slices(b, 0, 8 * CHUNK):
+            new, n = np.unique(np.frombuffer(flat(part.column(0))[0], "<i8"), return_counts=True)
+            pairs, at = np.unique(np.concatenate((pairs, new)), return_inverse=True)
+            sums = np.zeros(len(pairs), np.int64)
+            np.add.at(sums, at, np.concatenate((counts, n)))
+            counts = sums
+    for s in range(0, len(pairs), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 16)]) for x in (pairs, counts)], ["pair", "n"])
+
+
+def pair_counts(texts: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(pair, n): how many links of all ``encoded`` texts hold each pair of ids, as a table of sorted shards."""
+    partial = cut(texts.select("pairs").mapInArrow(tallied, "pair long, n long"))  # dealing by range reads its input twice
     return cut(partial.repartitionByRange(shards, "pair").sortWithinPartitions("pair").mapInArrow(run_lengths, "pair long, n long"))
 
 
@@ -259,7 +300,7 @@ def _shards(block: bytes) -> Shards:
     return _mapped[key]
 
 
-NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 
 
 def align(docs: DataFrame, first: str, second: str, groups: bool = True) -> DataFrame:
@@ -269,36 +310,19 @@ def align(docs: DataFrame, first: str, second: str, groups: bool = True) -> Data
     ``groups`` (null unless asked for) lists the ids, as in ``a1,a2|b1;a3|b2,b3``. As two tokens end together exactly
     where a group does, there is one link to a group.
     """
-    sc = docs.sparkSession.sparkContext
     with open(first, "rb") as f, open(second, "rb") as g:
-        sources = f.read(), g.read()
-    found = pair_counts(docs, *sources).toArrow()  # bounded by most_pairs of the vocabularies
-    block = sc.broadcast((*sources, Shards.packed(*(found.column(i).to_numpy() for i in range(2)))))
+        texts = encoded(docs, f.read(), g.read(), groups)
+    found = pair_counts(texts).toArrow()  # bounded by most_pairs of the vocabularies
+    block = docs.sparkSession.sparkContext.broadcast(Shards.packed(*(found.column(i).to_numpy() for i in range(2))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *vocabularies, counts = block.value
-        aligner, shards = _aligner(*vocabularies), _shards(counts)
+        shards = _shards(block.value)
         for b in batches:
-            for part in slices(b, 1, CHUNK):
-                if aligner.full():
-                    aligner.forget()
-                rows, digests, texts = [], [], []
-                for w in aligner.words(part.column(1).to_pylist()):
-                    seen = set(w)
-                    if not w or any(aligner.pairs[i] is None for i in seen):
-                        rows.append((0,) * 6)
-                        digests.append("")
-                        texts.append("")
-                        continue
-                    n_a, n_b, links = np.array([aligner.counts[i] for i in w]).sum(axis=0).tolist()
-                    pairs = np.concatenate([aligner.pairs[i] for i in w])
-                    sums, best = shards.find(pairs)
-                    text = ";".join([aligner.groups[i] for i in w])
-                    rows.append((n_a, n_b, links, links, int(best.sum()), int(sums.sum())))
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-                    texts.append(text if groups else None)
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(digests, pa.string()), pa.array(texts if groups else [None] * len(texts), pa.string())], ["doc_id", *NAMES, "groups_sha256", "groups"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in NAMES) + ", groups_sha256 string, groups string")
+            for part in slices(b, 5, 8 * CHUNK):
+                data, at = flat(part.column(5))
+                sums, best = shards.find(np.frombuffer(data, "<i8"))
+                n, at = pa.array(np.diff(at // 8)), at // 8
+                total, most = (np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[at] for x in (sums, best))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], n, n, pa.array(np.diff(most)), pa.array(np.diff(total)), *part.columns[3:5]], OUT.replace(",", "").split()[::2])
+
+    return texts.select("doc_id", "n_a", "n_b", "groups_sha256", "groups", "pairs").mapInArrow(run, OUT)
