@@ -224,12 +224,12 @@ def run(files: DataFrame, threshold: str = "normal", sink: str = "telegram", lim
     return composed(judged_safe(first_ones(settled(opened(files, limits))), threshold, limits), sink)
 
 
-def stage_report(judged_rows: DataFrame) -> DataFrame:
-    """One row of counts for a run, without any content: what each stage took out, and how the mails were judged."""
+def report_columns() -> list[Column]:
+    """The aggregates of a run's report, without any content: what each stage took out, and how the mails were judged."""
     fine = F.col("error").isNull()
     total = lambda c: F.coalesce(F.sum(F.when(fine, c)), F.lit(0)).cast("long")
     is_ = lambda c, v: F.count_if(fine & (F.col(c) == v))
-    return judged_rows.agg(
+    return [
         F.count("*").alias("mails"),
         F.count_if(~fine).alias("failed"),
         total(F.length("body_text")).alias("characters"),
@@ -241,4 +241,9 @@ def stage_report(judged_rows: DataFrame) -> DataFrame:
         *(is_("summary.importance", v).alias(f"importance_{v}") for v in policy.IMPORTANCE),
         *(is_("verdict.phishing_risk", v).alias(f"risk_{v}") for v in policy.RISKS),
         F.count_if(fine & ~F.col("verdict.summary_accurate")).alias("inaccurate"),
-    )
+    ]
+
+
+def stage_report(judged_rows: DataFrame) -> DataFrame:
+    """One row of counts for a run; ``metrics.counted`` gives the same without a job of its own."""
+    return judged_rows.agg(*report_columns())

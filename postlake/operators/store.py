@@ -18,7 +18,7 @@ from ..kernels.output import PART_CHARS
 from ..limits import LIMITS, Limits
 from ..sources.sinks import Ledger, Sink, deliver
 from ..sources.tables import settled
-from . import mail, state
+from . import mail, metrics, state
 from .log import Conflict, Log, StateError, told
 
 __all__ = ["Conflict", "StateError", "Store"]
@@ -113,7 +113,9 @@ def flush(store: Store, sink: Callable[[], Sink], now: int, limits: Limits = LIM
     store.apply({"seen": booked, "outbox": kept}, {"outbox": after.where("outcome <> 'deferred'").select("key_hash", "kind")})
     Ledger(store.ledger).forget(names)  # booked, so the notes have done their work
     counted = {r.outcome: r["count"] for r in after.groupBy("outcome").count().collect()}
-    return {o: counted.get(o, 0) for o in ("delivered", "deferred", "abandoned")}
+    found = {o: counted.get(o, 0) for o in ("delivered", "deferred", "abandoned")}
+    metrics.event("flushed", **found)
+    return found
 
 
 def waiting(store: Store, now: int, limits: Limits = LIMITS) -> dict[str, int]:
@@ -137,6 +139,7 @@ def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", thr
     """Claim, judge and queue the new messages of ``files``; how many there were.
 
     ``files`` is read once. Where it has a ``uid``, ``mark`` gets those of all its messages (duplicates too) once their claims are durable.
+    The report of the batch is logged, as the pass that wrote its rows counted it.
     """
     arrived = settled(mail.opened(files, limits))
     key, content = F.coalesce("dedupe_key", F.lit("")), F.coalesce("content_hash", F.lit(""))
@@ -145,7 +148,8 @@ def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", thr
     rows = mail.judged_safe(mail.first_ones(arrived, seen.select("key_hash", "content_hash")), threshold, limits)
     work = f"work/{uuid.uuid4().hex}"
     keep = ["dedupe_key", "content_hash", "from_domain", "status", "error", F.col("summary.headline").alias("headline"), F.col("summary.category").alias("category")]
-    rows = settled(rows)
+    watched, seen_now = metrics.counted(rows)
+    rows = settled(watched)
     rows.select(*keep).join(mail.composed(rows, sink).select("dedupe_key", "parts"), "dedupe_key").withColumn("key_hash", state.dedupe_hash(F.col("dedupe_key"))).write.parquet(f"{store.folder}/{work}")
     book = store.spark.read.parquet(f"{store.folder}/{work}")
     number = F.abs(F.xxhash64("key_hash", F.lit(now)))  # numbers grow with time; keys, not numbers, tell messages apart
@@ -158,7 +162,9 @@ def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", thr
             "low_queue": book.where(low).select((at * 1_000_000 + number % 1_000_000).alias("id"), "key_hash", at.alias("received"), "headline", "category", "from_domain"),
         }
     )
-    n = book.count()
+    report = seen_now.get
+    n = report["mails"]
+    metrics.event("ingested", **report)
     store.log.files.delete(work)
     if mark is not None and "uid" in arrived.columns:
         mark(arrived.select("uid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import udfs
+from ..functions import tables, udfs
 from ..kernels.attachments import CONTROL, NAME_CHARS, SIGNATURES, SUFFIX_CHARS, WINDOW
 from ..operators import mail
 from ..sources.tables import table
@@ -132,11 +132,44 @@ def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.raw(messages(spark, sf_dir)).drop("mime_bytes", "reply_to_addresses", "to_addrs", "date")
 
 
-@query()
+#: The leaves that ``messages`` gives each mail, with their bytes.
+_PARTS = """
+m AS (SELECT '/mail/' || d.doc_id || '.eml' AS path, d.doc_id AS k, octet_length(encode(d.text)) AS plain, octet_length(encode(p.html)) AS html FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
+parts AS (
+  SELECT path, 1 AS part_no, 0 AS depth, 'text/plain' AS ctype, 'plain' AS role, plain + 32 AS size FROM m WHERE html IS NULL
+  UNION ALL SELECT path, 1, 0, 'text/html', 'html', html + 2 FROM m WHERE html IS NOT NULL AND k % 2 = 0
+  UNION ALL SELECT path, 2, 1, 'text/plain', 'plain', plain + 30 FROM m WHERE html IS NOT NULL AND k % 2 <> 0
+  UNION ALL SELECT path, 3, 1, 'text/html', 'html', html FROM m WHERE html IS NOT NULL AND k % 2 <> 0)"""
+_ALL_PARTS = f"""WITH {_PARTS}
+SELECT path, CAST(part_no AS INTEGER) AS part_no, CAST(depth AS INTEGER) AS depth, ctype, CAST(NULL AS VARCHAR) AS disposition, CAST(NULL AS VARCHAR) AS filename, role, CAST(size AS BIGINT) AS size FROM parts"""
+
+
+@query(_ALL_PARTS)
 def mail_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.parts(messages(spark, sf_dir))
 
 
+@query(_ALL_PARTS)
+def mail_parts_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function in SQL, beside each message's row."""
+    tables.register(spark)
+    messages(spark, sf_dir).createOrReplaceTempView("mail_messages")
+    return spark.sql("SELECT m.path, p.* FROM mail_messages m, LATERAL mail_parts(m.content) p")
+
+
+@query("""
+WITH a AS (SELECT source || '/' || (doc_id % 50) AS key, lang AS content, doc_id AS arrival FROM documents),
+f AS (SELECT key, arg_min(content, arrival) AS first, min(arrival) AS at FROM a GROUP BY key)
+SELECT sha256(a.key) AS key_hash, a.arrival, CASE WHEN a.arrival = f.at THEN 'CLAIMED' WHEN a.content = f.first THEN 'DUPLICATE' ELSE 'COLLISION' END AS result
+FROM a JOIN f USING (key)""")
+def claims_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents claim a key of fifty for each source; the function asks for its rows by key and in order."""
+    tables.register(spark)
+    rows = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id") % 50).alias("key"), F.col("lang").alias("content"), F.col("doc_id").alias("arrival"))
+    rows.createOrReplaceTempView("mail_arrivals")
+    return spark.sql("SELECT * FROM claim_arrivals(TABLE(mail_arrivals))")
+
+
 @query()
 def sanitized_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mail.sanitized(mail.raw(messages(spark, sf_dir)))
