@@ -7,6 +7,7 @@ import email.parser
 import email.policy
 import hashlib
 import re
+import time
 from dataclasses import dataclass, field
 from email.header import decode_header
 from email.headerregistry import HeaderRegistry
@@ -14,7 +15,8 @@ from email.message import Message
 from email.utils import getaddresses, parsedate_to_datetime
 
 from ..limits import LIMITS, Limits
-from .attachments import detect_kind, extract_pdf_text, sanitize_filename
+from . import pdf
+from .attachments import detect_kind, sanitize_filename
 from .html import TooComplex, html_to_text
 from .links import Links
 from .text import clean_text, header_text, neutralize_markers, one_line, strip_tag_like, unescape
@@ -340,6 +342,7 @@ def sanitize(raw: dict, limits: Limits = LIMITS) -> dict:
         body = raw_room.take("\n\n".join(mail.html(html)))
     body = mail.safe(body, room)
     attachments, texts, names, processed, blocked = [], [], set(), 0, 0
+    pdf_seconds = limits.pdf_seconds
     for p in [p for p in parts if p.role in ("attachment", "metadata")] + [Part(0, 0, "multipart/mixed", None, TOO_MANY, b"", "metadata")] * bool(skipped):
         base = name = p.filename if p.filename in (TOO_MANY, TOO_DEEP) else sanitize_filename(p.filename)
         n = 1
@@ -350,7 +353,12 @@ def sanitize(raw: dict, limits: Limits = LIMITS) -> dict:
         kind = "unknown" if p.role == "metadata" else detect_kind(p.ctype, p.data)
         text = None
         if kind in ("text", "pdf") and processed < limits.attachments_processed:
-            text = p.charset_text if kind == "text" else extract_pdf_text(p.data)
+            if kind == "text":
+                text = p.charset_text
+            else:
+                began = time.monotonic()
+                text = pdf.text_of(p.data, min(pdf.SECONDS, pdf_seconds))
+                pdf_seconds -= time.monotonic() - began
         if text:
             short = raw_room.take(text)
             text = mail.safe(short, room) if short else None

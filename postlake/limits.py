@@ -14,6 +14,7 @@ class Limits:
     mime_parts: int = 500
     attachments_processed: int = 20
     attachments_listed: int = 100
+    pdf_seconds: float = 30.0
     html_elements: int = 50_000
     html_bytes: int = 1024 * 1024
     html_parts: int = 4
