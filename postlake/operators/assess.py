@@ -14,6 +14,7 @@ from ..kernels.model import block, new_token, prompt, scrub_text
 from ..kernels.text import clamp, clean_text
 from ..limits import LIMITS, Limits
 from ..sources import models
+from ..sources.paced import Bucket, Pace, mapped, paced
 from . import policy
 from .mail import _mapped
 
@@ -66,37 +67,52 @@ SUMMARY_DDL = "headline: STRING, summary_text: STRING, importance: STRING, impor
 _VERDICT_DDL = "model_risk STRING, model_reasons ARRAY<STRING>, accurate BOOLEAN, notes STRING, suspicious BOOLEAN"
 
 
-def summarized(rows: DataFrame, maker: Callable[[], models.Complete], instructions: str = "", limits: Limits = LIMITS) -> DataFrame:
-    """Sanitized rows with ``summary``; a failure sets ``error`` and leaves it null. Rows that failed before are not asked about."""
+def _asked(rows: DataFrame, maker: Callable[[], models.Complete], one: Callable[[dict, models.Complete], dict], ddl: str, pace: Pace | None) -> DataFrame:
+    """``one`` of each row with a client, a call after the other or at a pace."""
+    if pace is None:
+        return _mapped(rows, lambda r: one(r, maker()), ddl)
+
+    def worker(bucket: Bucket) -> Callable[[dict], dict]:
+        ask = paced(maker(), bucket)
+        return lambda r: one(r, ask)
+
+    return mapped(rows, worker, ddl, pace)
+
+
+def summarized(rows: DataFrame, maker: Callable[[], models.Complete], instructions: str = "", limits: Limits = LIMITS, pace: Pace | None = None) -> DataFrame:
+    """Sanitized rows with ``summary``; a failure sets ``error`` and leaves it null. Rows that failed before are not asked about.
+
+    With a ``pace`` calls are made side by side, as many a second as the service allows.
+    """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def one(r: dict) -> dict:
+    def one(r: dict, ask: models.Complete) -> dict:
         if r["error"] is not None:
             return {**r, "summary": None}
         try:
-            return {**r, "summary": summary_of(r, maker(), instructions, limits)}
+            return {**r, "summary": summary_of(r, ask, instructions, limits)}
         except Exception as e:  # noqa: BLE001  fail closed, one mail at a time
             return {**r, "summary": None, "error": models.error_class(e)}
 
-    return _mapped(rows, one, f"{columns}, summary STRUCT<{SUMMARY_DDL}>")
+    return _asked(rows, maker, one, f"{columns}, summary STRUCT<{SUMMARY_DDL}>", pace)
 
 
-def reviewed(rows: DataFrame, maker: Callable[[], models.Complete], limits: Limits = LIMITS) -> DataFrame:
-    """Summarised rows with ``signals`` and ``verdict``: the model's, raised by what the code knows."""
+def reviewed(rows: DataFrame, maker: Callable[[], models.Complete], limits: Limits = LIMITS, pace: Pace | None = None) -> DataFrame:
+    """Summarised rows with ``signals`` and ``verdict``: the model's, raised by what the code knows. ``pace`` as in ``summarized``."""
     kinds = F.array_sort(F.array_distinct(F.transform(F.filter("attachments", lambda a: ~a["processed"]), lambda a: a["declared_mime"])))
     known = rows.withColumn("signals", policy.signals(F.col("report"), kinds))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
     blank = {"model_risk": "none", "model_reasons": [], "accurate": True, "notes": "", "suspicious": False}
 
-    def one(r: dict) -> dict:
+    def one(r: dict, ask: models.Complete) -> dict:
         if r["error"] is not None:
             return {**r, **blank}
         try:
-            return {**r, **verdict_of(r, maker(), limits)}
+            return {**r, **verdict_of(r, ask, limits)}
         except Exception as e:  # noqa: BLE001  fail closed, one mail at a time
             return {**r, **blank, "error": models.error_class(e).replace("summarize_error", "critic_error")}
 
-    judged = _mapped(known, one, f"{columns}, {_VERDICT_DDL}")
+    judged = _asked(known, maker, one, f"{columns}, {_VERDICT_DDL}", pace)
     v = policy.verdict(F.col("model_risk"), F.col("model_reasons"), F.col("suspicious"), F.col("signals"), limits)
     out = judged.withColumn("v", v).withColumn("verdict", F.struct(F.col("v.risk").alias("phishing_risk"), F.col("v.reasons").alias("risk_reasons"), F.col("accurate").alias("summary_accurate"), "notes"))
     return out.drop("v", "model_risk", "model_reasons", "accurate", "notes", "suspicious")
