@@ -1,172 +1,147 @@
-"""Rules that SQL can't say, on literal cases: what each should give stands in the table itself, by the rules and not by the code."""
+"""Rules that SQL can't say, over whole tables: each text stands in a known wrapping, and SQL says what the rule has to make of both.
 
-from __future__ import annotations
+Literal cases of the same rules are in ``tests/test_cases.py``.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import links as L
 from ..functions import udfs
 from ..operators import mail
+from ..sources.tables import table
 from .registry import query
+from .url_queries import HOST_SQL
 
-Cases = tuple[tuple[str, str], ...]
-
-
-def _text(value: str) -> str:
-    """A literal that both engines read alike."""
-    pieces = [f"chr({ord(c)})" if ord(c) < 32 or c in "'\\" else f"'{c}'" for c in value]
-    return "concat('', " + ", ".join(pieces) + ")" if pieces else "''"
-
-
-def _expected(cases: Cases) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(want)})" for i, (_, want) in enumerate(cases)) + ") AS c(case_no, result)"
-
-
-def _given(spark: SparkSession, cases: Cases) -> DataFrame:
-    return spark.createDataFrame([(i, given) for i, (given, _) in enumerate(cases)], "case_no int, given string")
-
-
-def _table(name: str, cases: Cases, rule: Callable[[Column], Column]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _given(spark, cases).select("case_no", rule(F.col("given")).alias("result"))
-
-    run.__name__ = name
-    query(_expected(cases))(run)
-
-
-def _html(c: Column) -> Column:
-    h = udfs.html_to_text(c)
-    return F.coalesce(h["rejected"], F.concat(h["hidden"].cast("string"), F.lit("|"), F.replace(h["text"], F.lit("\n"), F.lit("/"))))
-
-
-#: What is seen of a document, after the number of hidden elements that had text.
-HTML: Cases = (
-    ("", "0|"),
-    ("<b>one</b>", "0|one"),
-    ("a<!-- no -->b", "0|a/b"),
-    ("<p>x</p><script>no()</script><style>p{}</style><template>t</template><svg>s</svg>", "0|x"),
-    ("<span hidden>h</span>seen", "1|seen"),
-    ("<span style='DISPLAY : None'>h</span>seen", "1|seen"),
-    ("<div style='visibility:collapse'>h<b>i</b></div>seen", "1|seen"),
-    ("<div style='visibility:hidden'> </div>seen", "0|seen"),
-    ("<i style='opacity:0.0'>h</i><i style='opacity:0.5'>seen</i>", "1|seen"),
-    ("<i style='font-size:0px'>h</i><i style='font-size:10px'>seen</i>", "1|seen"),
-    ("<i style='color:#FFF'>h</i><i style='color:white;background-color:black'>seen</i>", "1|seen"),
-    ("<i style='color:rgb(255, 255, 255);background:#ffffff'>h</i>seen", "1|seen"),
-    ("<div hidden>a<p hidden>b</p></div><div hidden>c</div>seen", "2|seen"),
-    ("<img src=x alt=' pic '><img src=y width=1 height=1 alt=no><img src=z>", "0|[Bild: pic]"),
-    ("<img src=x width=1 height=40 alt=wide>", "0|[Bild: wide]"),
-    ("<a href='http://a.example/x'>go</a>", "0|go/(http://a.example/x)"),
-    ("<a href='http://a.example'>see http://a.example now</a>", "0|see http://a.example now"),
-    ("<a href='#top'>up</a>", "0|up"),
-    ("a &amp; b &#65;", "0|a & b A"),
-    ("<div>" * 2100, "html_depth"),
-    ("<br>" * 60_000, "html_elements"),
-    ("x" * (1 << 20) + "y", "html_bytes"),
-)
-#: Bare names and addresses, in disguise and plain, and what stands for them.
-LINKS: Cases = (
-    ("", "0|"),
-    ("nothing here 1.5 e.g.", "0|nothing here 1.5 e.g."),
-    ("go http://evil.example/x.", "1|go [Link #1: evil.example]."),
-    ("hxxps://konto-check(.)example/login", "1|[Link #1: konto-check.example]"),
-    ("h t t p s : / / verify . example . org", "1|[Link #1: verify.example.org]"),
-    ("www.shop.example and www.shop.example", "2|[Link #1: shop.example] and [Link #2: shop.example]"),
-    ("http://user@evil.example:8080/x?y#z", "1|[Link #1: evil.example]"),
-    ("mailto:a@b.example tel: +49 123 4567", "2|[Mail #1: b.example] [Tel #2]"),
-    ("backup.zip README.md", "0|backup.zip README.md"),
-)
-#: Entities come undone up to eight deep.
-ENTITIES: Cases = (("a &amp;amp;lt;b&gt;", "a <b>"), ("&#x41;&#66;", "AB"), ("plain & simple", "plain & simple"), ("&" + "amp;" * 8 + "lt;", "&lt;"), ("", ""))
-#: Names in punycode as their readers would see them; none is left as it is.
-PUNYCODE: Cases = (("xn--pypal-4ve.com", "pаypal.com"), ("xn--mnchen-3ya.example", "münchen.example"))
-#: Running text: no tags, marks or live links, and nothing that looks like the engine's own lines.
-FIELDS: Cases = (
-    ("", ""),
-    ("plain words, 3 of them", "plain words, 3 of them"),
-    ("see <b>http://evil.example/x</b> now", "see  [Link #1: evil.example]  now"),
-    ("**bold** __under__ snake_case", "bold under snake_case"),
-    ("# Title", "Title"),
-    ("> quoted", "quoted"),
-    ("- item", "• item"),
-    ("1. first", "1 · first"),
-    ("From: boss", "From · boss"),
-    ("Betreff : x", "Betreff · x"),
-    ("⚠️ SUSPECTED PHISHING: x", "SUSPECTED PHISHING · x"),
-    ("@everyone look @here", "(at)everyone look (at)here"),
-    ("a\n\n\n\nb", "a\n\nb"),
-)
-#: Whole messages with nothing left to click.
-GUARDED: Cases = (
-    ("http://a.example", "hxxp[:]//a[.]example"),
-    ("H T T P S : / / x", "hxxps[:]// x"),
-    ("ftps://x ftp://y", "fxps[:]//x fxp[:]//y"),
-    ("foo ://x", "foo[:]//x"),
-    ("javascript:alert data:x javascript: x", "javascript[:]alert data[:]x javascript: x"),
-    ("www .x", "www[.]x"),
-    ("a <b> c", "a b c"),
-    ("[x](y)", "[x] (y)"),
-    ("evil.com 3.14 v1.2b 10.0.0.1 1.2.3", "evil[.]com 3.14 v1.2b 10[.]0[.]0[.]1 1.2.3"),
-    ("evil。com", "evil[.]com"),
-    ("@Everyone", "(at)Everyone"),
-)
-#: The first object of a reply; an empty result stands for none.
-REPLIES: Cases = (
-    ('Sure: {"a": 1} and {"b": 2}', '{"a": 1}'),
-    ('x ```json\n{"a": {"b": 1}}\n``` {"c": 2}', '{"a": {"b": 1}}'),
-    ('{no} {"a": "}"}', '{"a": "}"}'),
-    ("{broken", ""),
-    ("", ""),
-)
-
-_table("html_cases", HTML, _html)
-_table("link_cases", LINKS, lambda c: F.concat(udfs.scrub_links(c)["removed"].cast("string"), F.lit("|"), udfs.scrub_links(c)["text"]))
-_table("entity_cases", ENTITIES, udfs.unescape_entities)
-_table("punycode_cases", PUNYCODE, udfs.punycode_unicode)
-_table("field_cases", FIELDS, udfs.scrub_field)
-_table("guard_cases", GUARDED, udfs.final_guard)
-_table("reply_cases", REPLIES, lambda c: F.coalesce(udfs.extract_json(c), F.lit("")))
-
-
-def _mail(*lines: str, body: str = "Hello") -> str:
-    return "\r\n".join((*lines, "", body)) + "\r\n"
-
-
-#: Headers of raw mails: sender as shown, address, domain, subject, time zone in minutes, results of sender checks.
-HEADS: Cases = (
-    (_mail('From: "Boss, Big" <a@Bank.example>', "Subject: Hi", "Date: Mon, 15 Jan 2024 10:00:00 +0100"), "Boss, Big <a@Bank.example>|a@Bank.example|bank.example|Hi|60"),
-    (_mail("From: a@b.example", "Subject: =?utf-8?q?R=C3=A9sum=C3=A9?=", "Date: Mon, 15 Jan 2024 10:00:00 -0330"), "a@b.example|a@b.example|b.example|Résumé|-210"),
-    (_mail("From: nobody", "Subject: two\r\n lines"), "nobody|||two lines|"),
-    (_mail("Subject: none"), "|||none|"),
-    (_mail("From: " + "x" * 5000 + "@y.example", "Subject: long"), "(unreadable)|||long|"),
-)
-#: Mails made safe: sender, subject, text, whether replies go elsewhere, and what failed.
-SAFE: Cases = (
-    (_mail("From: A <a@b.example>", "Subject: Hi <b>you</b>", body="see http://evil.example/x"), "A|Hi you|see [Link #1: evil.example]|false"),
-    (_mail("From: a@b.example", "Reply-To: c@d.example", "Subject: =?utf-8?q?=E2=80=8BX?=", body="a &amp; b"), "a@b.example|X|a &amp; b|true"),
-    (_mail("Subject: x", body=""), "(unknown sender)|x||false"),
-)
-
-
-@query(_expected(HEADS))
+#: A text's words of ASCII letters, never without one, and the text with its special characters as entities; both engines read them alike.
+_WORDS = "concat('text ', trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' '{flags})))"
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+#: Of the same kinds by the driver's SQL and by Spark's: replacing everywhere needs a flag in one of them.
+_SQL_WORDS, _SPARK_WORDS = _WORDS.format(flags=", 'g'"), _WORDS.format(flags="")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("w", F.expr(_SPARK_WORDS)).withColumn("e", F.expr(_ESCAPED.format("coalesce(text, '')"))).withColumn("lang", F.coalesce("lang", F.lit("xx"))).withColumn("source", F.coalesce("source", F.lit("none")))
+
+
+_D = f"d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS source, {_SQL_WORDS} AS w FROM documents)"
+
+
+def _by(n: int, *made: Column) -> Column:
+    """The made column whose turn it is by doc_id."""
+    out = made[-1]
+    for i, c in reversed(list(enumerate(made[:-1]))):
+        out = F.when(F.col("doc_id") % n == i, c).otherwise(out)
+    return out
+
+
+def _c(*parts: str) -> Column:
+    """Literals and, in braces, columns, joined."""
+    return F.concat(*(F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in parts))
+
+
+@query(f"""
+WITH {_D},
+s AS (SELECT doc_id, CASE doc_id % 8 WHEN 3 THEN lang WHEN 7 THEN '[Bild: ' || lang || ']' || t ELSE t END AS seen,
+  CASE doc_id % 8 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 7 THEN 0 WHEN 3 THEN CASE WHEN trim(t) = '' THEN 0 ELSE 1 END ELSE 1 END AS hidden FROM d)
+SELECT doc_id, CAST(hidden AS BIGINT) AS hidden, sha256(regexp_replace(seen, '[ \\t\\r\\n]+', '', 'g')) AS seen_sha256 FROM s""")
+def html_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in markup that hides something of them or beside them; white space aside."""
+    made = _by(
+        8, _c("<p>", "{e}", "</p>"), _c("<span hidden>", "{lang}", "</span>", "{e}"), _c("<span style='DISPLAY : None'>", "{source}", "</span><p>", "{e}", "</p>"), _c("<div style='visibility:hidden'>", "{e}", "</div>", "{lang}"),
+        _c("<p>", "{e}", "</p><script>no()</script><style>p{}</style>"), _c("<i style='font-size:0px'>", "{lang}", "</i><i style='font-size:10px'>", "{e}", "</i>"), _c("<i style='color:#FFF'>", "{lang}", "</i>", "{e}"),
+        _c("<img src=x alt='", "{lang}", "'><img src=y width=1 height=1 alt=no>", "{e}"),
+    )
+    rows = _docs(spark, sf_dir).select("doc_id", udfs.html_to_text(made).alias("h"))
+    return rows.select("doc_id", "h.hidden", F.sha2(F.regexp_replace("h.text", r"[ \t\r\n]+", ""), 256).alias("seen_sha256"))
+
+
+@query(f"""
+WITH {_D} SELECT doc_id, CAST(CASE doc_id % 3 WHEN 2 THEN 3 ELSE 2 END AS BIGINT) AS removed, sha256(CASE doc_id % 3
+  WHEN 0 THEN w || ' go [Link #1: ' || lang || '.evil.example] and [Link #2: ' || source || '.example] end'
+  WHEN 1 THEN '[Link #1: ' || source || '.konto-check.example] ' || w || ' [Link #2: ' || lang || '.example.org]'
+  ELSE '[Mail #2: ' || source || '.example] ' || w || ' [Tel #3] and [Link #1: ' || lang || '.evil.example]' END) AS text_sha256 FROM d""")
+def link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of whole texts between links, addresses and numbers in several disguises; links with a scheme are numbered first, telephones last."""
+    made = _by(3, _c("{w}", " go http://", "{lang}", ".evil.example/x and www.", "{source}", ".example end"), _c("hxxps://", "{source}", ".konto-check(.)example/login ", "{w}", " h t t p s : / / ", "{lang}", " . example . org"), _c("mailto:a@", "{source}", ".example ", "{w}", " tel: +49 123 4567 and http://user@", "{lang}", ".evil.example:8080/x?y#z"))
+    rows = _docs(spark, sf_dir).select("doc_id", udfs.scrub_links(made).alias("s"))
+    return rows.select("doc_id", "s.removed", F.sha2("s.text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def entity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts whose special characters are escaped once, twice or three times; none of them holds an entity of its own."""
+    twice, thrice = (_ESCAPED.format(_ESCAPED.format(x)) for x in ("coalesce(text, '')", _ESCAPED.format("coalesce(text, '')")))
+    rows = _docs(spark, sf_dir).select("doc_id", udfs.unescape_entities(_by(3, F.col("e"), F.expr(twice), F.expr(thrice))).alias("t"))
+    return rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'münchen.' ELSE 'pаypal.' END || {HOST_SQL} AS shown FROM pages")
+def punycode_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of all pages below two names in punycode, as their readers would see them."""
+    first = F.when(F.col("page_id") % 2 == 0, "xn--mnchen-3ya.").otherwise("xn--pypal-4ve.")
+    return table(spark, sf_dir, "pages").select("page_id", udfs.punycode_unicode(F.concat(first, L.host_of(F.col("url")))).alias("shown"))
+
+
+@query(f"""
+WITH {_D} SELECT doc_id, sha256(CASE doc_id % 8 WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN w WHEN 3 THEN '• ' || w WHEN 4 THEN '1 · ' || w WHEN 5 THEN 'From · ' || w
+  WHEN 6 THEN w || chr(10) || chr(10) || w ELSE 'see  [Link #1: ' || lang || '.example]  ' || w || ' (at)everyone' END) AS text_sha256 FROM d""")
+def field_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of whole texts as running text with marks, tags and what looks like the engine's own lines."""
+    made = _by(
+        8, _c("**", "{w}", "**"), _c("# ", "{w}"), _c("> ", "{w}"), _c("- ", "{w}"), _c("1. ", "{w}"), _c("From: ", "{w}"), _c("{w}", "\n\n\n\n", "{w}"),
+        _c("see <b>http://", "{lang}", ".example/x</b> ", "{w}", " @everyone"),
+    )
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(udfs.scrub_field(made), 256).alias("text_sha256"))
+
+
+@query(f"""
+WITH {_D} SELECT doc_id, sha256(w || CASE doc_id % 6 WHEN 0 THEN ' hxxp[:]//' || lang || '[.]example ' WHEN 1 THEN ' hxxps[:]// x ' WHEN 2 THEN ' fxps[:]//x fxp[:]//y javascript[:]alert ' WHEN 3 THEN ' www[.]x a b c (at)Everyone '
+  WHEN 4 THEN ' ' || source || '[.]com 3.14 v1.2b 10[.]0[.]0[.]1 1.2.3 ' ELSE ' [x] (y) evil[.]com ' END || w) AS text_sha256 FROM d""")
+def guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of whole texts before and behind what the last guard has to break."""
+    made = _by(6, _c(" http://", "{lang}", ".example "), _c(" H T T P S : / / x "), _c(" ftps://x ftp://y javascript:alert "), _c(" www .x a <b> c @Everyone "), _c(" ", "{source}", ".com 3.14 v1.2b 10.0.0.1 1.2.3 "), _c(" [x](y) evil。com "))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(udfs.final_guard(F.concat("w", made, "w")), 256).alias("text_sha256"))
+
+
+@query(f"""
+WITH {_D} SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL WHEN 1 THEN '{{"a": {{"b": "' || w || '"}}}}' WHEN 2 THEN '{{"a": "}}' || w || '"}}' ELSE '{{"a": "' || w || '"}}' END AS json FROM d""")
+def reply_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that hold the words of whole texts in an object, before others, fenced, behind a broken one, or in none that ends."""
+    made = _by(4, F.concat(F.lit('Sure: {"a": "'), F.col("w"), F.lit('"} and {"b": 2}')), F.concat(F.lit('x ```json\n{"a": {"b": "'), F.col("w"), F.lit('"}}\n``` {"c": 2}')), F.concat(F.lit('{no} {"a": "}'), F.col("w"), F.lit('"}')), F.concat(F.lit("{broken "), F.col("w")))
+    return _docs(spark, sf_dir).select("doc_id", udfs.extract_json(made).alias("json"))
+
+
+@query(f"""
+WITH {_D}, h AS (SELECT *, trim(left(w, 60)) AS subject FROM d)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Boss, ' || lang || ' <a@' || upper(source) || '.example>' ELSE 'a@' || source || '.example' END AS from_addr,
+  'a@' || CASE doc_id % 3 WHEN 0 THEN upper(source) ELSE source END || '.example' AS from_address, source || '.example' AS from_domain,
+  CASE doc_id % 3 WHEN 2 THEN subject || ' Résumé' ELSE subject END AS subject_raw, CAST(CASE doc_id % 3 WHEN 0 THEN 60 WHEN 1 THEN -210 END AS INTEGER) AS date_offset_min, doc_id % 3 = 2 AS no_date FROM h""")
 def header_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_case(spark, HEADS, lambda rows: mail.raw(rows).select("content_hash", F.concat_ws("|", "from_addr", "from_address", "from_domain", "subject_raw", F.coalesce(F.col("date_offset_min").cast("string"), F.lit(""))).alias("result")))
-
-
-@query(_expected(SAFE))
+    """Senders, subjects and dates from the texts' own words, quoted, encoded and left out."""
+    subject = F.trim(F.left("w", F.lit(60)))
+    given = F.concat(
+        _by(3, F.concat(F.lit('From: "Boss, '), F.col("lang"), F.lit('" <a@'), F.upper("source"), F.lit(".example>\r\n")), _c("From: a@", "{source}", ".example\r\n"), _c("From: a@", "{source}", ".example\r\n")),
+        F.lit("Subject: "), subject, _by(3, F.lit(""), F.lit(""), F.lit(" =?utf-8?q?R=C3=A9sum=C3=A9?=")),
+        _by(3, F.lit("\r\nDate: Mon, 15 Jan 2024 10:00:00 +0100"), F.lit("\r\nDate: Mon, 15 Jan 2024 10:00:00 -0330"), F.lit("")),
+        F.lit("\r\nMessage-ID: <"), F.col("doc_id").cast("string"), F.lit("@x>\r\n\r\n"), F.col("w"), F.lit("\r\n"),
+    )
+    raw = mail.raw(_docs(spark, sf_dir).select(given.cast("binary").alias("content")))
+    return raw.select(F.regexp_extract("message_id", r"(-?\d+)@", 1).cast("long").alias("doc_id"), "from_addr", "from_address", "from_domain", "subject_raw", "date_offset_min", F.col("date").isNull().alias("no_date"))
+
+
+@query(f"""
+WITH {_D}, b AS (SELECT *, w || ' see [Link #1: ' || lang || '.evil.example] end' AS body FROM d)
+SELECT doc_id, 'A' AS from_display, 'Hi ' || trim(left(w, 20)) || ' you' AS subject, doc_id % 2 = 1 AS reply_to_mismatch, length(body) > 30000 AS truncated,
+  CASE WHEN length(body) > 30000 THEN 'cut' ELSE sha256(body) END AS body_sha256 FROM b""")
 def safe_mail_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def shown(rows: DataFrame) -> DataFrame:
-        raw = mail.raw(rows)
-        safe = mail.sanitized(raw).join(raw.select("dedupe_key", "content_hash"), "dedupe_key")
-        return safe.select("content_hash", F.concat_ws("|", "from_display", "subject", F.regexp_replace("body_text", r"\s+$", ""), F.col("report.reply_to_mismatch").cast("string")).alias("result"))
-
-    return _by_case(spark, SAFE, shown)
-
-
-def _by_case(spark: SparkSession, cases: Cases, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Mails of the cases through ``rule``, which knows them by their content."""
-    rows = _given(spark, cases).select("case_no", F.col("given").cast("binary").alias("content"))
-    numbers = rows.select("case_no", F.sha2("content", 256).alias("content_hash"))
-    return rule(rows).join(numbers, "content_hash").select("case_no", "result")
+    """Mails of the words of whole texts with a link, tags in the subject and a foreign address for replies; those beyond the bound say so."""
+    given = F.concat(
+        F.lit("Message-ID: <"), F.col("doc_id").cast("string"), F.lit("@x>\r\nFrom: A <a@"), F.col("source"), F.lit(".example>\r\n"), _by(2, F.lit(""), F.lit("Reply-To: c@other.example\r\n")),
+        F.lit("Subject: Hi <b>"), F.trim(F.left("w", F.lit(20))), F.lit("</b> you\r\n\r\n"), F.col("w"), F.lit(" see http://"), F.col("lang"), F.lit(".evil.example/x end\r\n"),
+    )
+    safe = mail.sanitized(mail.raw(_docs(spark, sf_dir).select(given.cast("binary").alias("content"))))
+    body = F.when(F.col("report.truncated"), "cut").otherwise(F.sha2(F.regexp_replace("body_text", r"\s+$", ""), 256))
+    return safe.select(F.regexp_extract("dedupe_key", r"(-?\d+)@", 1).cast("long").alias("doc_id"), "from_display", "subject", "report.reply_to_mismatch", "report.truncated", body.alias("body_sha256"))

@@ -113,13 +113,13 @@ def typed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '  ' || chr(13) || chr(10)) WHEN 1 THEN chr(27) || text || chr(7) || chr(7) WHEN 2 THEN chr(10) || ' ' || left(text, 900) || chr(9) || chr(13) || chr(10) ELSE text END AS x FROM documents),
+WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '  ' || chr(13) || chr(10)) WHEN 1 THEN chr(27) || text || chr(7) || chr(7) WHEN 2 THEN chr(10) || ' ' || text || chr(9) || chr(13) || chr(10) ELSE text END AS x FROM documents),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, chr(13) || chr(10) || '?', chr(10), 'g'), '[ \\t]+' || chr(10), chr(10), 'g'), '^[ \\t\\n]+|[ \\t\\n]+$', '', 'g') AS x FROM t),
 b AS (SELECT *, list_sort(list_distinct(regexp_extract_all(x, '[\\x00-\\x08\\x0B-\\x1F\\x7F]'))) AS bad FROM c)
 SELECT doc_id, sha256(x) AS text_sha256, CASE WHEN len(bad) > 0 THEN 'control characters: ' || array_to_string(list_transform(bad, lambda y: 'U+' || printf('%04X', ord(y))), ', ') WHEN length(x) > 2000 THEN 'too long' END AS problem FROM b""")
 def instruction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("doc_id") % 4, F.col("text")
-    typed = F.when(k == 0, F.replace(t, F.lit(" "), F.lit("  \r\n"))).when(k == 1, F.concat(F.lit("\x1b"), t, F.lit("\x07\x07"))).when(k == 2, F.concat(F.lit("\n "), F.left(t, F.lit(900)), F.lit("\t\r\n"))).otherwise(t)
+    typed = F.when(k == 0, F.replace(t, F.lit(" "), F.lit("  \r\n"))).when(k == 1, F.concat(F.lit("\x1b"), t, F.lit("\x07\x07"))).when(k == 2, F.concat(F.lit("\n "), t, F.lit("\t\r\n"))).otherwise(t)
     return table(spark, sf_dir, "documents").select("doc_id", checks.instructions(typed).alias("i")).select("doc_id", F.sha2("i.text", 256).alias("text_sha256"), "i.problem")
 
 

@@ -80,25 +80,38 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("doc_id", r["importance"].alias("importance"), r["status"].alias("status"))
 
 
-@query("""
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'dkim=pass,spf=fail' WHEN 2 THEN 'dmarc=none,spf=softfail' ELSE 'spf=pass' END AS results,
-       c_custkey % 4 IN (1, 2) AS failed FROM customer""")
+_RESULTS = "['pass', 'fail', 'softfail', 'none', 'neutral', 'policy', 'permerror']"
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, {_RESULTS}[length(coalesce(text, '')) % 7 + 1] AS a, {_RESULTS}[length(coalesce(lang, '')) * doc_id % 7 + 1] AS b, {_RESULTS}[coalesce(n_chars, 0) % 5 + 1] AS c, length(coalesce(text, '')) % 2 = 0 AS two FROM documents)
+SELECT doc_id, CASE WHEN two THEN 'dkim=' || b || ',dmarc=' || c || ',' ELSE '' END || 'spf=' || a AS results,
+  list_contains(['fail', 'softfail', 'permerror'], a) OR (two AND (list_contains(['fail', 'softfail', 'permerror'], b) OR list_contains(['fail', 'softfail', 'permerror'], c))) AS failed FROM r""")
 def auth_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") % 4
-    header = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "mx.example; spf = FAIL; dkim=pass; spf=pass").when(k == 2, "mx; spf=softfail dmarc=none").otherwise("spf=pass (ok)")
-    found = policy.parse_auth(header)
+    """Headers whose results come from the texts' lengths: one check or three, in odd spelling, one of them said again."""
+    results = F.array(*(F.lit(x) for x in ("pass", "fail", "softfail", "none", "neutral", "policy", "permerror")))
+    size = F.length(F.coalesce("text", F.lit("")))
+    at = lambda n: F.element_at(results, (n + 1).cast("int"))
+    a, b, c = at(size % 7), at(F.length(F.coalesce("lang", F.lit(""))) * F.col("doc_id") % 7), at(F.coalesce("n_chars", F.lit(0)) % 5)
+    one = F.concat(F.lit("mx."), F.coalesce("source", F.lit("none")), F.lit(".example; spf = "), F.upper(a))
+    header = F.when(size % 2 == 0, F.concat(one, F.lit(" (ok) ;dmarc="), c, F.lit("; DKIM= "), b, F.lit("; spf=pass"))).otherwise(one)
+    found = policy.parse_auth(F.lower(header))
     bad = F.exists(found, lambda x: ~F.substring_index(x, "=", -1).isin(*policy.AUTH_FINE))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(found, ",").alias("results"), bad.alias("failed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("results"), bad.alias("failed"))
 
 
-@query("SELECT c_custkey, c_custkey % 5 IN (1, 2, 4) AS reply_mismatch FROM customer")
+@query("""
+WITH a AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'n' || c_nationkey || '@bank.example' END AS own, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'n' || s_nationkey || '@bank.example' END AS other, c_custkey % 3 = 0 AS none
+  FROM customer JOIN supplier ON c_custkey % (SELECT count(*) FROM supplier) = s_suppkey)
+SELECT c_custkey, s_suppkey, NOT none AND (own <> '' OR other <> '') AND (other = '' OR other <> own) AS reply_mismatch FROM a""")
 def reply_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No Reply-To, another address, one unknown side, two unknown sides, and a second address that differs."""
-    k = F.col("c_custkey") % 5
-    sender = F.when(k.isin(2, 3), "").otherwise("A@Bank.example ")
-    reply = F.when(k == 0, F.lit(None).cast("string")).otherwise("x")
-    replies = F.when(k == 1, F.array(F.lit("b@other.example"))).when(k == 2, F.array(F.lit("a@bank.example"))).when(k == 3, F.array(F.lit(""))).otherwise(F.array(F.lit("a@bank.example"), F.lit("c@x.example")))
-    return table(spark, sf_dir, "customer").select("c_custkey", policy.reply_mismatch(sender, reply, replies).alias("reply_mismatch"))
+    """Customers answer to suppliers: addresses are equal where the nations are, some are unknown on either side, a third names no other."""
+    suppliers = table(spark, sf_dir, "supplier")
+    rows = table(spark, sf_dir, "customer").withColumn("s_suppkey", F.col("c_custkey") % suppliers.count()).join(suppliers, "s_suppkey")
+    own = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("@Bank.example ")))
+    other = F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.concat(F.lit(" n"), F.col("s_nationkey").cast("string"), F.lit("@bank.Example")))
+    given = F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("string")).otherwise("x")
+    return rows.select("c_custkey", "s_suppkey", policy.reply_mismatch(own, given, F.array(other)).alias("reply_mismatch"))
 
 
 @query("SELECT c_custkey, s_suppkey, c_custkey % 3 = 1 OR (c_custkey % 3 = 2 AND c_nationkey <> s_nationkey) AS path_mismatch FROM customer JOIN supplier ON c_custkey % (SELECT count(*) FROM supplier) = s_suppkey")

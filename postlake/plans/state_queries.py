@@ -46,32 +46,33 @@ def collision_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.claim_with_rekey(_arrivals(spark, sf_dir), "key", "content", "doc_id").select("doc_id", "final_key", "result", "id_collision")
 
 
-_SEEN = "s AS (SELECT sha256(source || '-' || (n_chars % 50)) AS key_hash, arg_min(sha256(text), doc_id) AS content_hash FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
+_SEEN = "s AS (SELECT sha256(source || '-' || (n_chars % 50)) AS key_hash, arg_min(sha256(text), doc_id) AS content_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)"
 
 
-def _seen(rows: DataFrame) -> DataFrame:
-    return rows.where("doc_id % 3 = 0").groupBy(state.dedupe_hash(F.col("key")).alias("key_hash")).agg(F.min_by("content", "doc_id").alias("content_hash"))
+def _seen(rows: DataFrame, sf_dir: str) -> DataFrame:
+    """An earlier batch: the documents that ``labels`` knows."""
+    return rows.join(table(rows.sparkSession, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").groupBy(state.dedupe_hash(F.col("key")).alias("key_hash")).agg(F.min_by("content", "doc_id").alias("content_hash"))
 
 
 @query(f"WITH {_A}, {_SEEN} SELECT doc_id FROM a WHERE sha256(key) IN (SELECT key_hash FROM s)")
 def seen_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrivals(spark, sf_dir)
-    return rows.withColumn("key_hash", state.dedupe_hash(F.col("key"))).join(_seen(rows), "key_hash", "left_semi").select("doc_id")
+    return rows.withColumn("key_hash", state.dedupe_hash(F.col("key"))).join(_seen(rows, sf_dir), "key_hash", "left_semi").select("doc_id")
 
 
 @query(f"WITH {_A}, {_SEEN} SELECT doc_id FROM a WHERE sha256(key) NOT IN (SELECT key_hash FROM s)")
 def seen_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrivals(spark, sf_dir)
-    return rows.withColumn("key_hash", state.dedupe_hash(F.col("key"))).join(_seen(rows), "key_hash", "left_anti").select("doc_id")
+    return rows.withColumn("key_hash", state.dedupe_hash(F.col("key"))).join(_seen(rows, sf_dir), "key_hash", "left_anti").select("doc_id")
 
 
 @query(f"""
-WITH {_A}, b AS (SELECT * FROM a WHERE doc_id % 3 <> 0), {_SEEN}, f AS (SELECT key, min(doc_id) AS first, arg_min(content, doc_id) AS fc FROM b GROUP BY key)
+WITH {_A}, {_SEEN}, f AS (SELECT key, min(doc_id) AS first, arg_min(content, doc_id) AS fc FROM a GROUP BY key)
 SELECT doc_id, CASE WHEN s.key_hash IS NULL AND doc_id = first THEN 'CLAIMED' WHEN content = coalesce(s.content_hash, fc) THEN 'DUPLICATE' ELSE 'COLLISION' END AS result
-FROM b JOIN f USING (key) LEFT JOIN s ON s.key_hash = sha256(b.key)""")
+FROM a JOIN f USING (key) LEFT JOIN s ON s.key_hash = sha256(a.key)""")
 def claim_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _arrivals(spark, sf_dir)
-    return state.claim(rows.where("doc_id % 3 <> 0"), "key", "content", "doc_id", _seen(rows)).select("doc_id", "result")
+    return state.claim(rows, "key", "content", "doc_id", _seen(rows, sf_dir)).select("doc_id", "result")
 
 
 _STATES = "['pending', 'sanitized', 'summarized', 'checked', 'delivered', 'skipped_low', 'failed']"
@@ -156,12 +157,15 @@ def flush_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END AS n_parts, CASE event_id % 3 WHEN 0 THEN 'high' ELSE 'normal' END AS importance, event_id % 3 = 0 AS is_warning FROM events""")
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_parts, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE sha256(coalesce(text, '')) END AS first_sha256,
+  CASE WHEN doc_id % 5 <> 0 AND lang IN ('en', 'de') THEN CASE lang WHEN 'en' THEN 'high' ELSE 'low' END ELSE 'normal' END AS importance, doc_id % 5 <> 0 AND n_chars % 2 = 0 AS is_warning FROM documents""")
 def decode_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    payload = F.when(k == 0, F.lit('{"parts": ["a", "b"], "importance": "high", "is_warning": true}')).when(k == 1, F.lit('{"parts": "no')).otherwise(F.lit('{"importance": "urgent"}'))
-    d = state.decode_payload(payload)
-    return _events(spark, sf_dir).select("event_id", F.size(d["parts"]).alias("n_parts"), d["importance"].alias("importance"), d["is_warning"].alias("is_warning"))
+    """Payloads of whole texts: whole ones, some with a value that no one knows, and such as were cut off."""
+    level = F.when(F.col("lang") == "en", "high").when(F.col("lang") == "de", "low").otherwise(F.concat(F.lit("so "), F.coalesce("lang", F.lit("so"))))
+    whole = F.to_json(F.struct(F.array(F.coalesce("text", F.lit("")), "lang").alias("parts"), level.alias("importance"), (F.col("n_chars") % 2 == 0).alias("is_warning")), {"ignoreNullFields": "false"})
+    d = state.decode_payload(F.when(F.col("doc_id") % 5 == 0, F.left(whole, F.length(whole) - 7)).otherwise(whole))
+    rows = table(spark, sf_dir, "documents").select("doc_id", d.alias("d"))
+    return rows.select("doc_id", F.size("d.parts").alias("n_parts"), F.sha2(F.try_element_at("d.parts", F.lit(1)), 256).alias("first_sha256"), "d.importance", "d.is_warning")
 
 
 _LINES = """

@@ -177,9 +177,12 @@ def guard_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH h AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pаypal.com' WHEN 1 THEN 'bank.example' WHEN 2 THEN 'πaris.example' ELSE 'кот.example' END AS host FROM documents)
+WITH w AS (SELECT doc_id, lower(regexp_extract(coalesce(text, ''), '[A-Za-zÄÖÜäöüß]+')) AS one, lower(coalesce(lang, '')) AS two FROM documents),
+h AS (SELECT doc_id, one || CASE doc_id % 4 WHEN 0 THEN 'а' WHEN 1 THEN '' WHEN 2 THEN '.πολη' ELSE '-кот' END || '.' || two || CASE doc_id % 3 WHEN 0 THEN 'π' ELSE '' END || '.example' AS host FROM w)
 SELECT doc_id, host, len(list_filter(string_split(host, '.'), lambda x: CAST(regexp_matches(x, '\p{Latin}') AS INT) + CAST(regexp_matches(x, '\p{Cyrillic}') AS INT) + CAST(regexp_matches(x, '\p{Greek}') AS INT) > 1)) > 0 AS mixed FROM h""")
 def mixed_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    host = F.when(k == 0, "pаypal.com").when(k == 1, "bank.example").when(k == 2, "πaris.example").otherwise("кот.example")
-    return _docs(spark, sf_dir).select("doc_id", host.alias("host"), T.mixed_script(host).alias("mixed"))
+    """Hosts of each text's first word and language, with letters of other scripts in them and beside them."""
+    k = F.col("doc_id")
+    one, two = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-zÄÖÜäöüß]+", 0)), F.lower(F.coalesce("lang", F.lit("")))
+    host = F.concat(one, F.when(k % 4 == 0, "а").when(k % 4 == 1, "").when(k % 4 == 2, ".πολη").otherwise("-кот"), F.lit("."), two, F.when(k % 3 == 0, "π").otherwise(""), F.lit(".example"))
+    return table(spark, sf_dir, "documents").select("doc_id", host.alias("host"), T.mixed_script(host).alias("mixed"))
