@@ -23,7 +23,7 @@ import mmap
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_characters
+from .bpe import PATTERN, byte_characters
 from .common import cut, flat, slices
 
 #: Words that a worker remembers, the longest of them (longer ones only for a batch), bytes of text and new words at once.
@@ -76,6 +76,19 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
     return held(b, a, 0) + held(a, b, 1)  # equal ones count in the first
 
 
+def ascii_encoder(source: bytes, tokens: list[bytes]) -> Callable[[str], list[int]] | None:
+    """Another encoder for the same vocabulary, if its ids stand in the order of its merges; for ASCII texts, which all splitting rules see alike."""
+    from tiktoken import Encoding
+
+    spec = json.loads(source)
+    vocab, added = spec["model"]["vocab"], {t["id"] for t in spec.get("added_tokens", [])}
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    singles = [i for i in vocab.values() if i not in added and len(tokens[i]) == 1]
+    if made != sorted(set(made)) or not made or max(singles) > made[0] or len(singles) + len(made) != len(set(vocab.values()) - added):
+        return None
+    return Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks={tokens[i]: i for i in vocab.values() if i not in added}, special_tokens={}).encode_ordinary
+
+
 class Aligner:
     """Encodes words with both vocabularies and remembers what came of it."""
 
@@ -90,6 +103,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=second)
         self.bytes_a, self.bytes_b = byte_tokens(first), piece_tokens(self.b)
+        self.fast = ascii_encoder(first, self.bytes_a)
         self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b)]
         self.forget()
 
@@ -106,10 +120,20 @@ class Aligner:
         self.pairs = np.zeros(0, np.int64)
         self.long = False
 
+    def _first(self, texts: list[str]) -> list[list[int]]:
+        """The first vocabulary's ids; those of ASCII texts come from the faster encoder, if there is one."""
+        if self.fast is None:
+            return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        out: list = [self.fast(t) if t.isascii() else None for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.a.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words and cut them into groups, all at once."""
         texts = [" " + w for w in words]
-        ids = [[e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode(words, num_threads=1)]
+        ids = [self._first(texts), self.b.encode(words, num_threads=1)]
         raw = [t.encode() for t in texts]
         fine, stops = [True] * len(words), np.cumsum(list(map(len, raw)))
         for x, tokens, sizes in zip(ids, (self.bytes_a, self.bytes_b), self.sizes, strict=True):

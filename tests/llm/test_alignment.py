@@ -64,6 +64,20 @@ def test_hard_texts(text):
     assert by_words(text) == said(plain(text))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=60))
+def test_both_encoders_of_ascii(text):
+    assert ALIGNER.fast(" " + text) == ALIGNER.a.encode(" " + text, add_special_tokens=False).ids
+
+
+def test_other_orders_have_no_second_encoder():
+    import json
+
+    spec = json.loads(FIRST)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    assert alignment.ascii_encoder(json.dumps(spec).encode(), ALIGNER.bytes_a) is None
+
+
 def brute(rows) -> list[tuple]:
     groups = [(i, plain(t)) for i, t in rows]
     links = Counter((a[-1], b[-1]) for _, g in groups for a, b in g)
