@@ -160,6 +160,13 @@ def body_prefix(data: bytes, limits: Limits = LIMITS) -> str:
     return decoded(part)[:512] if part is not None else ""
 
 
+def without_head(msg: Message) -> bytes:
+    """A message of which only the headers were parsed, less those that say nothing of its body."""
+    raw = lambda x: str(x).encode("ascii", "surrogateescape") if not isinstance(x, bytes) else x
+    kept = b"".join(raw(k) + b": " + raw(v) + b"\r\n" for k, v in msg.raw_items() if k.lower().startswith(("content-", "mime-")))
+    return kept + b"\r\n" + raw(msg._payload)  # the bytes as they came; the public way decodes them
+
+
 def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
     """The raw row of a message; one that can't be read gives a row that says so."""
     empty = dict.fromkeys(("message_id", "reply_to", "reply_to_address", "return_path_domain", "date", "date_offset_min", "auth_results_header"))
@@ -178,7 +185,7 @@ def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
         offset = date.utcoffset() if date is not None else None
         back = one("Return-Path")
         # only a mail without Message-ID is parsed as a whole here
-        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, body_prefix(data, limits))
+        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, body_prefix(without_head(msg), limits))
         return {
             "message_id": one("Message-ID"), "dedupe_key": key, "from_addr": shown, "from_domain": host, "reply_to": reply, "from_address": address,
             "reply_to_address": reply_address if reply else None, "reply_to_addresses": replies, "return_path_domain": (domain_of(back) or None) if back else None,
