@@ -167,6 +167,17 @@ def without_head(msg: Message) -> bytes:
     return kept + b"\r\n" + raw(msg._payload)  # the bytes as they came; the public way decodes them
 
 
+def prefix_of(msg: Message, limits: Limits = LIMITS) -> str:
+    """``body_prefix`` of a message of which only the headers were parsed; one without parts is not parsed again."""
+    try:
+        simple = msg.get_content_maintype() not in ("multipart", "message")
+    except Exception:  # noqa: BLE001  a broken header must not cost the mail
+        simple = False
+    if simple:
+        return decoded(msg)[:512] if content_type(msg) in ("text/plain", "text/html") else ""
+    return body_prefix(without_head(msg), limits)
+
+
 def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
     """The raw row of a message; one that can't be read gives a row that says so."""
     empty = dict.fromkeys(("message_id", "reply_to", "reply_to_address", "return_path_domain", "date", "date_offset_min", "auth_results_header"))
@@ -185,7 +196,7 @@ def raw_mail(data: bytes, limits: Limits = LIMITS) -> dict:
         offset = date.utcoffset() if date is not None else None
         back = one("Return-Path")
         # only a mail without Message-ID is parsed as a whole here
-        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, body_prefix(without_head(msg), limits))
+        key = one("Message-ID") or fallback_key(shown, date_raw or "", subject, prefix_of(msg, limits))
         return {
             "message_id": one("Message-ID"), "dedupe_key": key, "from_addr": shown, "from_domain": host, "reply_to": reply, "from_address": address,
             "reply_to_address": reply_address if reply else None, "reply_to_addresses": replies, "return_path_domain": (domain_of(back) or None) if back else None,
