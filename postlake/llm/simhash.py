@@ -8,12 +8,18 @@ be close. A small bucket is compared whole by one task; a larger one is dealt ou
 pair of its tiles is a row of its own, so no task ever holds a large bucket.
 Links leave a comparison as a spanning forest: components, not all pairs, are what is asked for.
 
+``one_of_near`` serves a filter of near copies by similarity: five-word shingles, a wide radius, and links that are confirmed. At such a
+radius no block of bits need agree, so buckets are samples of bits instead, as many as find ``RECALL`` of the pairs that are ``FAR`` bits apart.
+In each component of close fingerprints the smallest doc_id leads, what has ``SIMILARITY`` of its shingles in common with it goes, and
+of the rest the smallest leads next: a document per round and component is compared with all others of it, never all with all.
+
 Rows without a doc_id have a fingerprint and no component; rows that repeat one are rows each. Texts without words share
 the fingerprint zero. A text of any length is one row: its shingles are hashed and counted a bounded number at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, groups
+from .common import ASCII_LOWER, cut, forget, groups
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Near copies by similarity: words of a shingle, shared share of both documents' shingles, radius of candidates, and the share found of pairs so far apart.
+NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 15, 12, 0.95
+#: Fingerprints that a sample of bits leaves together, about.
+TOGETHER = 32
 #: Fingerprints of a tile, and of the largest bucket that one task compares.
 TILE, BUCKET = 1024, 4096
 
@@ -93,12 +103,44 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect exactly what chains of fingerprints within ``radius`` bits connect. ``fps(fp)`` has no repeats."""
+def samples(n: int, far: int = FAR, recall: float = RECALL, together: int = TOGETHER) -> list[list[int]]:
+    """Places of bits that are looked at together: so many that ``n`` fingerprints fall into small buckets, so often that pairs ``far`` apart meet."""
+    bits = min(32, max(8, math.ceil(math.log2(max(n, 1) / together))))
+    agree = math.comb(64 - far, bits) / math.comb(64, bits)
+    rng = np.random.default_rng(9)
+    return [sorted(rng.choice(64, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
+
+
+def sampled(fps: DataFrame, places: list[list[int]]) -> DataFrame:
+    """(fp, ones, block, value): each fingerprint's bits in each of the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            ones = np.bitwise_count(fp).astype(np.int32)
+            for t, bits in enumerate(places):
+                value = np.zeros(len(fp), np.uint64)
+                for i, at in enumerate(bits):
+                    value |= (fp >> np.uint64(at) & np.uint64(1)) << np.uint64(i)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ones), pa.array(np.full(len(fp), t, np.int32)), pa.array(value.view(np.int64))], ["fp", "ones", "block", "value"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, ones int, block int, value long")
+
+
+def blocked(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, ones, block, value): the fingerprint in blocks of bits, of which close ones share at least one."""
     n_blocks = radius + 1
     edges = [64 * i // n_blocks for i in range(n_blocks + 1)]
     blocks = [F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << (e - s)) - 1)) for s, e in zip(edges, edges[1:], strict=False)]
-    rows = fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*blocks)).alias("block", "value"))
+    return fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*blocks)).alias("block", "value"))
+
+
+def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET, rows: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect exactly what chains of fingerprints within ``radius`` bits connect. ``fps(fp)`` has no repeats.
+
+    ``rows`` are other buckets than blocks of bits; then what meets in none of them isn't connected.
+    """
+    rows = blocked(fps, radius) if rows is None else rows
     large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
     dealt = cut(rows.join(large, ["block", "value"], "left"))
 
@@ -188,3 +230,72 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     schema = held.select("row", "doc_id", F.lit(0).cast("long").alias("fp")).schema
     apart = held.mapInArrow(run, schema).join(first, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("row.*")
     return named.unionByName(apart).unionByName(docs.where("doc_id is null"))
+
+
+def shingles(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The sorted set of hashes of a text's word shingles: of the whole if it has fewer words, none of a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+    h = xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= shingle:
+        return np.array([h(b" ".join(words), seed)], np.uint64)
+    return np.unique(np.array([h(b" ".join(words[i : i + shingle]), seed) for i in range(len(words) - shingle + 1)], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared hashes of two sets as a part of all of theirs; two empty sets are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` without those rows that share ``least`` of their shingles with one that stays and has a smaller doc_id.
+
+    Each row is one of its own, also of those that repeat a doc_id: copies of a row go, unlike texts of one id stay. Rows without a
+    doc_id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = rows.where("doc_id is not null")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "doc_id", "fp"])
+
+    fp = cut(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "_row long, doc_id long, fp long"))
+    distinct = cut(fp.groupBy("fp").agg(F.count("*").alias("n")))
+    links = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())))
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    # groups of more than one row; the others are nobody's copies
+    near = cut(fp.join(distinct, "fp").join(roots, "fp", "left").where("root is not null or n > 1").select("_row", "doc_id", F.coalesce("root", "fp").alias("group")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                made = [shingles(t.as_py(), shingle, seed).astype("<u8").tobytes() for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], ["_row", "doc_id", "group", "set"])
+
+    left = cut(near.join(own.select("_row", F.col("text").cast("string").alias("text")), "_row").select("_row", "doc_id", "group", "text").mapInArrow(sets, "_row long, doc_id long, group long, set binary"))
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that are no copies of their group's leader."""
+        for b in batches:
+            given = ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+            apart = pa.array([similarity(x, y) < least for x, y in given], pa.bool_())
+            yield b.select(["_row", "doc_id", "group", "set"]).filter(apart)
+
+    gone = None
+    while not left.isEmpty():
+        first = left.groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select("group", F.col("f._row").alias("_row"))
+        leaders = left.join(first.select("_row"), "_row", "left_semi").select("group", F.col("set").alias("leader"), F.col("_row").alias("_leads"))
+        others = left.join(leaders, "group").where("_row <> _leads").select("_row", "doc_id", "group", "set", "leader")
+        after = cut(others.mapInArrow(unlike, "_row long, doc_id long, group long, set binary"))
+        taken = cut(left.join(first, "_row", "left_anti").join(after.select("_row"), "_row", "left_anti").select("_row"))
+        gone = taken if gone is None else gone.union(taken)
+        forget(left)
+        left = after
+    return (rows if gone is None else rows.join(gone, "_row", "left_anti")).select(docs.columns)
