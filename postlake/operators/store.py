@@ -20,6 +20,7 @@ from ..sources.sinks import Ledger, Sink, deliver
 from ..sources.tables import settled
 from . import mail, metrics, state
 from .log import Conflict, Log, StateError, told
+from .stages import Stages, offline
 
 __all__ = ["Conflict", "StateError", "Store"]
 
@@ -135,22 +136,24 @@ def lookup(store: Store, key_hash: str) -> dict | None:
     return row.asDict() if row else None
 
 
-def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", threshold: str = "normal", limits: Limits = LIMITS, mark: Callable[[DataFrame], object] | None = None) -> int:
+def ingest(store: Store, files: DataFrame, now: int, sink: str = "telegram", threshold: str = "normal", limits: Limits = LIMITS, mark: Callable[[DataFrame], object] | None = None, stages: Stages | None = None) -> int:
     """Claim, judge and queue the new messages of ``files``; how many there were.
 
     ``files`` is read once. Where it has a ``uid``, ``mark`` gets those of all its messages (duplicates too) once their claims are durable.
+    ``stages`` judge and compose; without any, no model is asked, and ``threshold`` and ``sink`` say how.
     The report of the batch is logged, as the pass that wrote its rows counted it.
     """
+    stages = stages or offline(threshold, sink, limits)
     arrived = settled(mail.opened(files, limits))
     key, content = F.coalesce("dedupe_key", F.lit("")), F.coalesce("content_hash", F.lit(""))
     asked = arrived.select(F.explode(F.array(state.dedupe_hash(key), state.dedupe_hash(state.collision_key(key, content)))).alias("key_hash"))
     seen = store.read("seen", asked, 2 * arrived.count())  # of all that were ever seen, those that may be meant
-    rows = mail.judged_safe(mail.first_ones(arrived, seen.select("key_hash", "content_hash")), threshold, limits)
+    rows = stages.assess(mail.first_ones(arrived, seen.select("key_hash", "content_hash")))
     work = f"work/{uuid.uuid4().hex}"
     keep = ["dedupe_key", "content_hash", "from_domain", "status", "error", F.col("summary.headline").alias("headline"), F.col("summary.category").alias("category")]
     watched, seen_now = metrics.counted(rows)
     rows = settled(watched)
-    rows.select(*keep).join(mail.composed(rows, sink).select("dedupe_key", "parts"), "dedupe_key").withColumn("key_hash", state.dedupe_hash(F.col("dedupe_key"))).write.parquet(f"{store.folder}/{work}")
+    rows.select(*keep).join(stages.compose(rows).select("dedupe_key", "parts"), "dedupe_key").withColumn("key_hash", state.dedupe_hash(F.col("dedupe_key"))).write.parquet(f"{store.folder}/{work}")
     book = store.spark.read.parquet(f"{store.folder}/{work}")
     number = F.abs(F.xxhash64("key_hash", F.lit(now)))  # numbers grow with time; keys, not numbers, tell messages apart
     at = F.lit(now).cast("long")
@@ -186,10 +189,10 @@ def send_digest(store: Store, now: int, hour: int = 18, sink: str = "telegram",
     return total > 0
 
 
-def cycle(store: Store, files: DataFrame, sink: Callable[[], Sink], now: int, name: str = "telegram", threshold: str = "normal", hour: int = 18, limits: Limits = LIMITS, mark: Callable[[DataFrame], object] | None = None) -> dict[str, int]:
-    """What is due, what is new, what that queued, and the digest; counts of all. ``mark`` as in ``ingest``."""
+def cycle(store: Store, files: DataFrame, sink: Callable[[], Sink], now: int, name: str = "telegram", threshold: str = "normal", hour: int = 18, limits: Limits = LIMITS, mark: Callable[[DataFrame], object] | None = None, stages: Stages | None = None) -> dict[str, int]:
+    """What is due, what is new, what that queued, and the digest; counts of all. ``mark`` and ``stages`` as in ``ingest``."""
     first = flush(store, sink, now, limits)
-    new = ingest(store, files, now, name, threshold, limits, mark)
+    new = ingest(store, files, now, name, threshold, limits, mark, stages)
     digest = send_digest(store, now, hour, name, limits)
     second = flush(store, sink, now, limits)
     return {"new": new, "digest": int(digest)} | {k: first[k] + second[k] for k in first}

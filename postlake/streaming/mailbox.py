@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..limits import LIMITS, Limits
+from ..operators.stages import Stages
 from ..operators.store import Store, cycle
 from ..sources.mailbox import Mailbox
 from ..sources.sinks import Sink
@@ -17,6 +18,7 @@ from ..sources.sinks import Sink
 def run_mailbox(
     spark: SparkSession, options: dict[str, str], folder: str, sink: Callable[[], Sink], checkpoint: str, name: str = "telegram", threshold: str = "normal",
     hour: int = 18, limits: Limits = LIMITS, every: str | None = "120 seconds", now: Callable[[], float] = time.time, done: Callable[[int, dict[str, int]], object] | None = None,
+    stages: Stages | None = None,
 ) -> StreamingQuery:
     """Each batch of new messages is a cycle over the state in ``folder``; without ``every`` what is there now is worked off and the query ends.
 
@@ -26,7 +28,7 @@ def run_mailbox(
     spark.dataSource.register(Mailbox)
 
     def batch(rows: DataFrame, number: int) -> None:
-        counts = cycle(Store(rows.sparkSession, folder), rows, sink, int(now()), name, threshold, hour, limits)
+        counts = cycle(Store(rows.sparkSession, folder), rows, sink, int(now()), name, threshold, hour, limits, stages=stages)
         if done is not None:
             done(number, counts)
 
