@@ -10,8 +10,9 @@ Links leave a comparison as a spanning forest: components, not all pairs, are wh
 
 ``one_of_near`` serves a filter of near copies by similarity: five-word shingles, a wide radius, and links that are confirmed. At such a
 radius no block of bits need agree, so buckets are samples of bits instead, as many as find ``RECALL`` of the pairs that are ``FAR`` bits apart.
-In each component of close fingerprints the smallest doc_id leads, what has ``SIMILARITY`` of its shingles in common with it goes, and
-of the rest the smallest leads next: a document per round and component is compared with all others of it, never all with all.
+In a bucket the closest are linked first, so each text's shortest links are there. Then, in rounds, each text's shortest link out of its
+group is confirmed by the shingles themselves or struck out, until no link leads out of a group: at such a radius many texts are
+close by chance alone, and no group is made before its links are known to hold.
 
 Rows without a doc_id have a fingerprint and no component; rows that repeat one are rows each. Texts without words share
 the fingerprint zero. A text of any length is one row: its shingles are hashed and counted a bounded number at a time.
@@ -28,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, forget, groups
+from .common import ASCII_LOWER, cut, groups
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Near copies by similarity: words of a shingle, shared share of both documents' shingles, radius of candidates, and the share found of pairs so far apart.
-NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 15, 12, 0.95
+NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 14, 12, 0.95
+#: Radii in turn, so that close ones are linked before far ones, and the largest bucket whose distances are sorted instead.
+LEVELS, SORTED = (2, 4, 6, 8, 10, 12), 2048
 #: Fingerprints that a sample of bits leaves together, about.
 TOGETHER = 32
 #: Fingerprints of a tile, and of the largest bucket that one task compares.
@@ -71,34 +74,61 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int) -> tuple[list[int], list[int]]:
-    """Links that connect what is within ``radius`` bits, between two sets or (right None) within one; both sorted by population count."""
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, tile: int, levels: tuple[int, ...] = ()) -> tuple[list[int], list[int]]:
+    """Links that connect what is within ``radius`` bits, between two sets or (right None) within one; both sorted by population count.
+
+    With ``levels``, smaller radii, what they connect is linked first.
+    """
     all_fp = left if right is None else np.concatenate((left, right))
     label = np.arange(len(all_fp))
     tiles = [(o + i, min(len(side), i + tile) + o) for o, side in ((0, left), (len(left), right)) if side is not None for i in range(0, len(side), tile)]
     cut_at = len(left)
     ones = np.bitwise_count(all_fp).astype(np.int64)
     out_a, out_b = [], []
-    for x, (s, e) in enumerate(tiles):
-        for t, u in tiles[x:]:
-            if right is not None and (s >= cut_at or t < cut_at):
-                continue
-            if ones[t] - ones[e - 1] > radius or ones[s] - ones[u - 1] > radius:
-                continue
-            close = np.bitwise_count(all_fp[s:e, None] ^ all_fp[None, t:u]) <= radius
-            for i in np.flatnonzero(close.sum(axis=1) > (s == t)).tolist():
-                near = t + np.flatnonzero(close[i])
-                apart = near[label[near] != label[s + i]]
-                while len(apart):
-                    j = int(apart[0])
-                    out_a.append(s + i)
-                    out_b.append(j)
-                    label[label == label[j]] = label[s + i]
-                    apart = apart[label[apart] != label[s + i]]
+    pairs = ((s, e, t, u, within) for within in (*levels, radius) for x, (s, e) in enumerate(tiles) for t, u in tiles[x:])
+    for s, e, t, u, within in pairs:
+        if right is not None and (s >= cut_at or t < cut_at):
+            continue
+        if ones[t] - ones[e - 1] > within or ones[s] - ones[u - 1] > within:
+            continue
+        close = np.bitwise_count(all_fp[s:e, None] ^ all_fp[None, t:u]) <= within
+        for i in np.flatnonzero(close.sum(axis=1) > (s == t)).tolist():
+            near = t + np.flatnonzero(close[i])
+            apart = near[label[near] != label[s + i]]
+            while len(apart):
+                j = int(apart[0])
+                out_a.append(s + i)
+                out_b.append(j)
+                label[label == label[j]] = label[s + i]
+                apart = apart[label[apart] != label[s + i]]
     signed = all_fp.view(np.int64)
     return signed[out_a].tolist(), signed[out_b].tolist()
 
 
+def shortest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links that connect what is within ``radius`` bits, the shortest that do."""
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    i, j = np.nonzero(np.triu(apart <= radius, 1))
+    order = np.argsort(apart[i, j], kind="stable")
+    root, out_a, out_b = list(range(len(fps))), [], []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            out_a.append(a)
+            out_b.append(b)
+            if len(out_a) == len(fps) - 1:
+                break
+    signed = fps.view(np.int64)
+    return signed[out_a].tolist(), signed[out_b].tolist()
+
+
 def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -135,7 +165,7 @@ def blocked(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*blocks)).alias("block", "value"))
 
 
-def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET, rows: DataFrame | None = None) -> DataFrame:
+def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET, rows: DataFrame | None = None, levels: tuple[int, ...] = ()) -> DataFrame:
     """Links (a, b) that connect exactly what chains of fingerprints within ``radius`` bits connect. ``fps(fp)`` has no repeats.
 
     ``rows`` are other buckets than blocks of bits; then what meets in none of them isn't connected.
@@ -149,7 +179,8 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
         for g in groups(batches, 2):
             if g.num_rows > 1:
                 fp = np.sort(g.column(3).to_numpy().view(np.uint64))
-                x, y = forest(fp[np.argsort(np.bitwise_count(fp), kind="stable")], None, radius, tile)
+                ordered = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
+                x, y = shortest(fp, radius) if levels and len(fp) <= SORTED else forest(ordered, None, radius, tile, levels)
                 a += x
                 b += y
             if len(a) > 50_000:
@@ -174,7 +205,7 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
         for batch in batches:
             for x, y, same in zip(*batch.columns, strict=True):
                 left, right = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                yield _links(*forest(left, None if same.as_py() else right, radius, tile))
+                yield _links(*forest(left, None if same.as_py() else right, radius, tile, levels))
 
     return found.union(pairs.mapInArrow(pair, "a long, b long"))
 
@@ -251,11 +282,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def confirmed(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``links(a, b, bits)`` that hold by ``sets(fp, set)`` and connect what all of them that hold connect by shortest links.
+
+    A link is looked at while it leads from one group to another, and for one of its ends no shorter one does.
+    """
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([similarity(x, y) >= least for x, y in given], pa.bool_())], ["a", "b", "holds"])
+
+    def looked_at(some: DataFrame) -> DataFrame:
+        x, y = sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), sets.select(F.col("fp").alias("b"), F.col("set").alias("y"))
+        return cut(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, holds boolean"))
+
+    good, open_ = None, links
+    while True:
+        ends = open_.select("a", "b", "bits").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+        best = ends.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+        tried = looked_at(best)
+        if tried.isEmpty():
+            return good if good is not None else tried.select("a", "b")
+        held = tried.where("holds").select("a", "b")
+        good = cut(held if good is None else good.union(held))
+        roots = components(good)
+        of = lambda end: F.coalesce(F.col(f"root_{end}"), F.col(end))
+        rest = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        open_ = cut(rest.where(of("a") != of("b")).select("a", "b", "bits"))
+
+
 def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` without those rows that share ``least`` of their shingles with one that stays and has a smaller doc_id.
+    """Of each group of rows that chains of near copies connect, the one with the smallest doc_id; a near copy shares ``least`` of both texts' shingles.
 
-    Each row is one of its own, also of those that repeat a doc_id: copies of a row go, unlike texts of one id stay. Rows without a
-    doc_id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
+    Equal fingerprints count as near copies. Each row is one of its own, also of those that repeat a doc_id: copies of a row go, unlike texts of one
+    id stay. Rows without a doc_id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
     """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     own = rows.where("doc_id is not null")
@@ -265,37 +328,19 @@ def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE,
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "doc_id", "fp"])
 
-    fp = cut(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "_row long, doc_id long, fp long"))
-    distinct = cut(fp.groupBy("fp").agg(F.count("*").alias("n")))
-    links = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())))
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    # groups of more than one row; the others are nobody's copies
-    near = cut(fp.join(distinct, "fp").join(roots, "fp", "left").where("root is not null or n > 1").select("_row", "doc_id", F.coalesce("root", "fp").alias("group")))
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                made = [shingles(t.as_py(), shingle, seed).astype("<u8").tobytes() for t in part.column(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], ["_row", "doc_id", "group", "set"])
-
-    left = cut(near.join(own.select("_row", F.col("text").cast("string").alias("text")), "_row").select("_row", "doc_id", "group", "text").mapInArrow(sets, "_row long, doc_id long, group long, set binary"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), shingle, seed).astype("<u8").tobytes() for t in part.column(1)], pa.binary())], ["fp", "set"])
 
-    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows that are no copies of their group's leader."""
-        for b in batches:
-            given = ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
-            apart = pa.array([similarity(x, y) < least for x, y in given], pa.bool_())
-            yield b.select(["_row", "doc_id", "group", "set"]).filter(apart)
-
-    gone = None
-    while not left.isEmpty():
-        first = left.groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("f")).select("group", F.col("f._row").alias("_row"))
-        leaders = left.join(first.select("_row"), "_row", "left_semi").select("group", F.col("set").alias("leader"), F.col("_row").alias("_leads"))
-        others = left.join(leaders, "group").where("_row <> _leads").select("_row", "doc_id", "group", "set", "leader")
-        after = cut(others.mapInArrow(unlike, "_row long, doc_id long, group long, set binary"))
-        taken = cut(left.join(first, "_row", "left_anti").join(after.select("_row"), "_row", "left_anti").select("_row"))
-        gone = taken if gone is None else gone.union(taken)
-        forget(left)
-        left = after
-    return (rows if gone is None else rows.join(gone, "_row", "left_anti")).select(docs.columns)
+    fp = cut(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "_row long, doc_id long, fp long"))
+    distinct = cut(fp.groupBy("fp").agg(F.min(F.struct("doc_id", "_row")).alias("first")))
+    found = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())), levels=LEVELS)
+    links = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
+    linked = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    texts = distinct.join(linked, "fp", "left_semi").select("fp", F.col("first._row").alias("_row")).join(own.select("_row", F.col("text").cast("string").alias("text")), "_row")
+    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
+    roots = components(confirmed(links, held, least)).select(F.col("node").alias("fp"), "root")
+    groups_ = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(groups_.select(F.col("first._row").alias("_row")), "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(docs.columns)
