@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, groups
+from .common import ASCII_LOWER, cut, forget, groups
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Near copies by similarity: words of a shingle, shared share of both documents' shingles, radius of candidates, and the share found of pairs so far apart.
-NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 14, 12, 0.95
+NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 12, 11, 0.95
 #: Radii in turn, so that close ones are linked before far ones, and the largest bucket whose distances are sorted instead.
 LEVELS, SORTED = (2, 4, 6, 8, 10, 12), 2048
 #: Fingerprints that a sample of bits leaves together, about.
@@ -192,9 +192,9 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
 
     # a large bucket: tiles of one population count each, and a row for each pair of tiles within the radius
     per_count = dealt.where("n is not null").groupBy("block", "value", "ones").agg(F.count("*").alias("m"))
-    tiles = cut(dealt.where("n is not null").join(per_count, ["block", "value", "ones"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / tile))).groupBy("block", "value", "ones", "part").agg(F.collect_list("fp").alias("fps")))
+    made = cut(dealt.where("n is not null").join(per_count, ["block", "value", "ones"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("m") / tile))).groupBy("block", "value", "ones", "part").agg(F.collect_list("fp").alias("fps")))
     # tile numbers meet first; their fingerprints are fetched once the pairs are spread
-    tiles = tiles.withColumn("tile", F.struct("block", "value", "ones", "part"))
+    tiles = made.withColumn("tile", F.struct("block", "value", "ones", "part"))
     one = tiles.select("block", "value", "ones", "part", "tile")
     other = one.select("block", "value", F.col("ones").alias("ones2"), F.col("part").alias("part2"), F.col("tile").alias("tile2"))
     pairs = one.join(other, ["block", "value"]).where((F.col("ones2") - F.col("ones")).between(0, radius) & ((F.col("ones2") > F.col("ones")) | (F.col("part2") >= F.col("part"))))
@@ -207,10 +207,40 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
                 left, right = (z.values.to_numpy().view(np.uint64) for z in (x, y))
                 yield _links(*forest(left, None if same.as_py() else right, radius, tile, levels))
 
-    return found.union(pairs.mapInArrow(pair, "a long, b long"))
+    out = found.union(pairs.mapInArrow(pair, "a long, b long"))
+    out._made = (dealt, made)  # tables of its own, which no one needs once the links are written
+    return out
 
 
-def _classes(docs: DataFrame, radius: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _near_links(docs: DataFrame, distinct: DataFrame, radius: int, shingle: int, seed: int, least: float) -> DataFrame:
+    """Links (a, b) of ``distinct(fp, least)`` that the shingles of texts with these fingerprints confirm."""
+    found = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())), levels=LEVELS)
+    links = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
+    for made in found._made:
+        forget(made)
+    linked = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    wanted = distinct.join(linked, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                fps, made = [], []
+                for fp, t in zip(b.column(0)[i : i + 64].to_pylist(), b.column(1)[i : i + 64], strict=True):
+                    if np.uint64(fingerprint(t.as_py(), shingle, seed)).view(np.int64) == fp:  # an id may have several texts
+                        fps.append(fp)
+                        made.append(shingles(t.as_py(), NEAR_SHINGLE, seed).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(made, pa.binary())], ["fp", "set"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
+    once = held if held.groupBy("fp").count().where("count > 1").isEmpty() else held.dropDuplicates(["fp"])
+    good = confirmed(links, once, least)
+    forget(held)
+    forget(links)
+    return good
+
+
+def _classes(docs: DataFrame, radius: int, shingle: int, seed: int, least: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint with a doc_id.
 
     Components are of pairs (smallest doc_id, fingerprint), so their smallest pair holds the id that is asked for and no
@@ -219,7 +249,7 @@ def _classes(docs: DataFrame, radius: int, shingle: int, seed: int) -> tuple[Dat
     fp = cut(fingerprints(docs, shingle, seed))
     distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
     node = distinct.select(F.col("fp"), F.struct("least", "fp").alias("node"))
-    links = close_links(distinct.select("fp"), radius)
+    links = close_links(distinct.select("fp"), radius) if least is None else _near_links(docs, distinct, radius, shingle, seed, least)
     for end in ("a", "b"):
         links = links.join(node.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
     roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
@@ -238,9 +268,21 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, one row for each doc_id and component, and all rows without a doc_id."""
-    fp, classes = _classes(docs, radius, shingle, seed)
+def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Of each group of documents that chains of near copies connect the one with the smallest doc_id, and all rows without a doc_id.
+
+    A near copy shares ``least`` of both texts' five-word shingles; fingerprints (of ``shingle`` words) find candidates, and equal ones count as near
+    copies. Copies of a row go, unlike texts of one id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
+    """
+    return one_of_each(docs, radius, shingle, seed, least)
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, least: float | None = None) -> DataFrame:
+    """The documents whose doc_id is the smallest of their component, one row for each doc_id and component, and all rows without a doc_id.
+
+    With ``least``, links hold only between texts that share so much of their shingles.
+    """
+    fp, classes = _classes(docs, radius, shingle, seed, least)
     own = fp.where("doc_id is not null").join(classes, "fp").where("doc_id = component_id")
     rows = docs.where("doc_id is not null")
     # ids of rows with unlike fingerprints, if there are any: such rows are told apart by them
@@ -305,42 +347,13 @@ def confirmed(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if tried.isEmpty():
             return good if good is not None else tried.select("a", "b")
         held = tried.where("holds").select("a", "b")
-        good = cut(held if good is None else good.union(held))
+        last, good = good, cut(held if good is None else good.union(held))
         roots = components(good)
         of = lambda end: F.coalesce(F.col(f"root_{end}"), F.col(end))
         rest = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         for end in ("a", "b"):
             rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        open_ = cut(rest.where(of("a") != of("b")).select("a", "b", "bits"))
-
-
-def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> DataFrame:
-    """Of each group of rows that chains of near copies connect, the one with the smallest doc_id; a near copy shares ``least`` of both texts' shingles.
-
-    Equal fingerprints count as near copies. Each row is one of its own, also of those that repeat a doc_id: copies of a row go, unlike texts of one
-    id stay. Rows without a doc_id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
-    """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    own = rows.where("doc_id is not null")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "doc_id", "fp"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), shingle, seed).astype("<u8").tobytes() for t in part.column(1)], pa.binary())], ["fp", "set"])
-
-    fp = cut(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "_row long, doc_id long, fp long"))
-    distinct = cut(fp.groupBy("fp").agg(F.min(F.struct("doc_id", "_row")).alias("first")))
-    found = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())), levels=LEVELS)
-    links = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
-    linked = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    texts = distinct.join(linked, "fp", "left_semi").select("fp", F.col("first._row").alias("_row")).join(own.select("_row", F.col("text").cast("string").alias("text")), "_row")
-    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
-    roots = components(confirmed(links, held, least)).select(F.col("node").alias("fp"), "root")
-    groups_ = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(groups_.select(F.col("first._row").alias("_row")), "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(docs.columns)
+        before, open_ = open_, cut(rest.where(of("a") != of("b")).select("a", "b", "bits"))
+        for done in (tried, last, before if before is not links else None):
+            if done is not None:
+                forget(done)
