@@ -23,3 +23,48 @@ def test_fields_of_texts_without_ascii_letters(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted((r.doc_id, r.text_sha256) for r in QUERIES["field_cases"](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(f"SELECT doc_id, text_sha256 FROM ({ORACLE['field_cases']})").fetchall())
+
+
+def test_few_rows_of_a_batch_are_objects():
+    """A batch of 40 MB: besides Arrow's bytes, which tracemalloc doesn't see, only a few rows are held."""
+    batch = pa.array(["é" * 10_000, None] * 1000)
+    tracemalloc.start()
+    got = udfs._stepped(lambda x: x, StringType(), batch)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got.equals(batch) and peak < 4_000_000
+    assert udfs._stepped(lambda x: x, StringType(), pa.array([], pa.string())).equals(pa.array([], pa.string()))
+
+
+def test_all_rows_of_a_batch_in_order(spark):
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "if(id % 7 = 0, null, concat('a', id, '.com')) AS t")
+    assert [r.g for r in rows.select("id", udfs.final_guard("t").alias("g")).orderBy("id").collect()] == [None if i % 7 == 0 else f"a{i}[.]com" for i in range(1000)]
+    cleaned = rows.select("id", udfs.clean_text("t").alias("c"), udfs.split_parts("t", udfs_limit()).alias("p")).orderBy("id").collect()
+    assert [(r.c.text, r.c.removed, r.p) for r in cleaned] == [("", 0, [""]) if i % 7 == 0 else (f"a{i}.com", 0, [f"a{i}[.]com"]) for i in range(1000)]
+
+
+def udfs_limit():
+    from pyspark.sql import functions as F
+
+    return F.lit(2000)
+
+
+def test_words_cost_the_guard_nothing():
+    plain = "words 12 and 3.14 numbers-only e\\u017f " * 100
+    assert not [m[0] for m in output.NAMES.finditer(plain) if m[0] != "3.14"] and not output.NUMBERS.search(plain)
+    assert output.final_guard("x a..b.com 1.2.3 1.2.3.4 -a.bc") == "x a..b[.]com 1.2.3 1[.]2[.]3[.]4 -a[.]bc"
+
+
+def test_a_character_is_looked_up_once(monkeypatch):
+    class Counting:
+        calls = 0
+        normalize, name = staticmethod(unicodedata.normalize), staticmethod(unicodedata.name)
+
+        @classmethod
+        def category(cls, c):
+            cls.calls += 1
+            return unicodedata.category(c)
+
+    monkeypatch.setattr(text, "unicodedata", Counting)
+    assert text.strip_control("é​\n\tb" * 10_000) == ("é\n\tb" * 10_000, 10_000) and Counting.calls < 10
+    assert text.strip_control("".join(map(chr, range(40))) + "é") == ("\t\n" + "".join(map(chr, range(32, 40))) + "é", 30)
