@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Control and invisible characters that ``clean_controls`` takes out; the exact rule, with NFKC, is ``udfs.clean_text``.
 CONTROLS = "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\u00AD\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\uFEFF]"
 TAG_LIKE = r"</?[a-zA-Z][^<>]{0,200}>"
-#: Fixed value: characters that foreign text may have.
-FOREIGN = "[^\\n\\x20-\\x7EÄÖÜäöüß—–…„“”‘’§·]"
+#: Fixed value: characters that foreign text may not have. Plain ones are told first, as most are.
+FOREIGN = "[[^\\n\\x20-\\x7E]&&[^ÄÖÜäöüß—–…„“”‘’§·]]"
 #: Fixed value: characters that are taken out of names that a server gave.
 NAME = "[^0-9A-Za-zÄÖÜäöüß _./-]"
 #: Fixed value: phrases that only make sense as orders to a language model.
@@ -59,14 +59,15 @@ def foreign_text(c: Column, limit: int = 400) -> Column:
 
 
 def terminal_text(c: Column, limit: int = 4000) -> Column:
-    """A finished message for a terminal: foreign characters go, its own line ends stay."""
-    return F.left(F.regexp_replace(unix_lines(c), FOREIGN, "·"), F.lit(limit))
+    """A finished message for a terminal: foreign characters go, its own line ends stay. A line end is two characters at most, so no more than these are looked at."""
+    return F.left(F.regexp_replace(unix_lines(F.left(c, F.lit(2 * limit))), FOREIGN, "·"), F.lit(limit))
 
 
 def safe_name(c: Column, limit: int = 80) -> Column:
-    """A name that a server gave, of plain characters on one line."""
-    flat = F.trim(F.regexp_replace(F.translate(c, "\r\n", "  "), NAME, "·"))
-    return F.when(F.coalesce(flat, F.lit("")) == "", F.lit("(unnamed)")).otherwise(F.left(flat, F.lit(limit)))
+    """A name that a server gave, of plain characters on one line. Each character stands for one, so no more are looked at than the name has."""
+    kept = F.left(F.trim(c, F.lit(" \r\n")), F.lit(limit))
+    flat = F.regexp_replace(F.translate(kept, "\r\n", "  "), NAME, "·")
+    return F.when(F.coalesce(flat, F.lit("")) == "", F.lit("(unnamed)")).otherwise(flat)
 
 
 def toml_string(c: Column) -> Column:
@@ -102,7 +103,8 @@ def mask_secrets(c: Column, secrets: list[str], least: int = 8) -> Column:
 
 
 def has_orders(c: Column) -> Column:
-    return c.rlike("(?iu)(?:" + ORDERS + r")(?![\p{L}\p{N}_])")
+    first = r"(?=[ifdvmyIFDVMY\x{130}\x{131}])"  # all that an order can begin with, told before any word is tried
+    return c.rlike(first + "(?iu)(?:" + ORDERS + r")(?![\p{L}\p{N}_])")
 
 
 def content_words(c: Column) -> Column:

@@ -128,9 +128,9 @@ WITH t AS (SELECT doc_id, trim(regexp_replace(replace(replace(text, chr(13), ' '
   left(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[^\\n\\x20-\\x7EÄÖÜäöüß—–…„“”‘’§·]', '·', 'g'), 4000) AS message, to_json(text) AS toml FROM documents)
 SELECT doc_id, CASE WHEN coalesce(name, '') = '' THEN '(unnamed)' ELSE left(name, 80) END AS name, sha256(message) AS message_sha256, sha256(replace(toml, chr(127), '\\u007F')) AS toml_sha256 FROM t""")
 def operator_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as names that a server gave, as messages for a terminal and as TOML strings."""
+    """Texts as names that a server gave, as messages for a terminal and as TOML strings; dealt out by their ids, as files may have few row groups."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.safe_name(t).alias("name"), F.sha2(X.terminal_text(t), 256).alias("message_sha256"), F.sha2(X.toml_string(t), 256).alias("toml_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", X.safe_name(t).alias("name"), F.sha2(X.terminal_text(t), 256).alias("message_sha256"), F.sha2(X.toml_string(t), 256).alias("toml_sha256"))
 
 
 MAIL_HOSTS = (("example.com", "alpha", "imap.alpha.example", True), ("org", "beta", "imap.beta.example", True), ("example.net", "gamma", "imap.gamma.example", False))
