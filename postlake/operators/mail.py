@@ -134,7 +134,9 @@ def without_body(attachments: Column) -> Column:
 
 def offline_summary(sanitized_rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """A summary without any model: the beginning of the text, always of normal importance."""
-    body = X.one_line(F.col("body_text"))
+    # a column of its own, or each of its uses would go through the whole text again
+    sanitized_rows = sanitized_rows.withColumn("line", X.one_line(F.col("body_text")))
+    body = F.col("line")
     excerpt = F.when(body == "", without_body(F.col("attachments"))).otherwise(X.clamp(body, limits.excerpt_chars))
     files = F.filter(F.col("attachment_texts"), lambda a: F.trim(a["text"]) != "")
     summaries = F.transform(files, lambda a: F.struct(a["name"].alias("name"), F.concat(F.lit("Excerpt: "), X.clamp(X.one_line(a["text"]), limits.excerpt_chars - 9)).alias("text")))
@@ -150,7 +152,7 @@ def offline_summary(sanitized_rows: DataFrame, limits: Limits = LIMITS) -> DataF
             summaries.alias("attachment_summaries"),
             (F.size(evidence) > 0).alias("injection_suspected"),
         ),
-    )
+    ).drop("line")
 
 
 def offline_verdict(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -14,8 +14,11 @@ from .url_queries import _FANG, HOST_SQL
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw message for each document, with a page's HTML beside the text of some."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    """A raw message for each document, with a page's HTML beside the text of some.
+
+    Documents are dealt out by their ids: what is done to a message costs far more than to move it, and files may have few row groups.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html", "url")
     rows = docs.join(pages, "doc_id", "left")
     k = F.col("doc_id")
