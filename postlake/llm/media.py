@@ -7,9 +7,8 @@ frames; each of sixteen filters gives two bits, so every frame yields a packed 3
 Recordings are aligned by a histogram of offsets, a Spark aggregate: each integer of a query votes with each equal one of another
 recording for their offset, unless what lies a filter's span before and behind differs too much. A vote weighs more
 the fewer places its integer has. The offsets with at least ``KEEP`` of a query's highest weight are judged, all of them, by the bit errors of
-the whole overlap. Two kinds of integers would vote without end: still ones, which are equal to both neighbours (silence, held
-notes), never vote; an offset that only they agree on is no alignment. Hot ones, with more than ``RARE`` places, vote only for
-queries that consist of them to ``HOT`` or more, such as one of thousands of near copies: those can't be told otherwise.
+the whole overlap. Still integers, which are equal to both neighbours (silence, held notes), never vote: an offset that only
+they agree on is no alignment. All others vote for every query, however many places they have; a vote of a frequent one weighs least.
 
 Recordings with equal fingerprints are one class, told by its smallest id. Recordings that are null, broken or shorter than a
 filter have no integers and match nothing; rows without id take no part; of rows that repeat an id the one with the smallest
@@ -35,9 +34,9 @@ RATE, FRAME = 4000, 128
 #: Frames that a filter spans, and the largest share of wrong bits that is a match.
 SPAN, ERRORS = 8, 0.2
 CLASSES = 12
-#: Places of an integer that votes for every query, the share of hotter ones from which a query needs them, wrong bits of the surroundings
-#: (of 32 on each side) up to which two places vote, and the share of the highest weight from which an offset is judged.
-RARE, HOT, AROUND, KEEP = 256, 0.25, 10, 0.25
+#: Places from which an integer's votes are dealt out over tasks, wrong bits of the surroundings (of 32 on each side) up to which two places
+#: vote, and the share of the highest weight from which an offset is judged.
+RARE, AROUND, KEEP = 256, 10, 0.25
 
 
 def filters() -> list[tuple[int, int, int, int, int]]:
@@ -193,21 +192,26 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["class", "other", "offset", "votes", "overlap", "bit_errors"])
 
 
-def histogram(classes: DataFrame, rare: int = RARE, hot: float = HOT, around: int = AROUND) -> DataFrame:
-    """(class, other, offset, weight): the votes of ``classes(class, asked, prints)`` for the offsets of those that are asked for."""
+def histogram(classes: DataFrame, rare: int = RARE, around: int = AROUND) -> DataFrame:
+    """(class, other, offset, weight): the votes of ``classes(class, asked, prints)`` for the offsets of those that are asked for.
+
+    Of an integer with more than ``rare`` places those of queries lie in groups of about ``rare``, each of which meets all its places.
+    """
     places = classes.select("class", "asked", "prints").mapInArrow(_places, "class long, asked boolean, at int, value int, before int, behind int")
     total = max(1, classes.agg(F.sum(F.length("prints"))).first()[0] or 0) / 4
-    counts = places.groupBy("value").agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).where("q > 0").select("value", "n")
+    counts = places.groupBy("value").agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).where("q > 0")
+    counts = cut(counts.select("value", "n", F.when(F.col("n") > rare, F.ceil(F.col("q") / rare)).otherwise(1).alias("parts")))
     asked = cut(places.where("asked").drop("asked").join(counts, "value"))  # a row for each place of a query
-    needing = asked.where(F.col("n") > rare).groupBy("class").agg(F.count("*").alias("hot"))
-    needing = needing.join(classes.where("asked").select("class", (F.length("prints") / 4).alias("size")), "class").where(F.col("hot") >= hot * F.col("size")).select("class", F.lit(True).alias("needs"))
-    asking = asked.where("n > 1").join(needing, "class", "left").where((F.col("n") <= rare) | F.col("needs"))
+    asking = asked.where("n > 1").withColumn("part", F.pmod(F.xxhash64("class", "at"), F.col("parts")))
     other = places.select(F.col("class").alias("other"), F.col("at").alias("there"), "value", F.col("before").alias("before_there"), F.col("behind").alias("behind_there"))
+    # only places of an integer that lies in several groups are repeated
+    several = counts.where("parts > 1").select("value", F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("every"))
+    other = other.join(several, "value", "left").withColumn("part", F.explode(F.coalesce("every", F.array(F.lit(0).cast("long"))))).drop("every")
     wrong, room = F.lit(0), F.lit(0)
     for side in ("before", "behind"):
         bits = F.bit_count(F.col(side).bitwiseXOR(F.col(f"{side}_there")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
         wrong, room = wrong + F.coalesce(bits, F.lit(0)), room + F.when(bits.isNotNull(), around).otherwise(0)
-    votes = asking.join(other, "value").where((F.col("class") != F.col("other")) & (wrong <= room))
+    votes = asking.join(other, ["value", "part"]).where((F.col("class") != F.col("other")) & (wrong <= room))
     return votes.groupBy("class", "other", (F.col("at") - F.col("there")).alias("offset")).agg(F.sum(1 + F.log2(F.lit(total) / F.col("n"))).alias("weight"))
 
 

@@ -247,3 +247,15 @@ def test_still_integers_never_vote():
     (out,) = media._places(iter([batch]))
     assert out.column(2).to_pylist() == [0, 19, 20, 21, 22] and out.column(3).to_pylist() == [7, 7, 1, 2, 3]
     assert out.column(4).to_pylist()[:2] == [None, 7] and out.column(5).to_pylist() == [7, None, None, None, None]
+
+
+def test_frequent_integers_vote_for_every_query(spark):
+    """A passage that all hold and that is a small part of each is all that they share; its offsets are found for all pairs."""
+    from pyspark.sql import functions as F
+
+    shared = words(20, 900)
+    rows = [(i, media.sing(f"{words(40 + i, 3000 + i)} {shared} {words(40, 4000 + i)}")) for i in range(12)]
+    prints = media.fingerprints(spark.createDataFrame(rows, "id long, media binary"), "id")
+    classes = prints.select(F.col("id").alias("class"), (F.col("id") == 0).alias("asked"), "prints").cache()
+    few, many = ({(r["class"], r.other, r.offset): round(r.weight, 6) for r in media.histogram(classes, rare=n).collect()} for n in (2, 1000))
+    assert few == many and {(0, i, -i) for i in range(1, 12)} <= set(few)
