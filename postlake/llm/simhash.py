@@ -8,11 +8,8 @@ be close. A small bucket is compared whole by one task; a larger one is dealt ou
 pair of its tiles is a row of its own, so no task ever holds a large bucket.
 Links leave a comparison as a spanning forest: components, not all pairs, are what is asked for.
 
-``one_of_near`` serves a filter of near copies by similarity: five-word shingles, a wide radius, and links that are confirmed. At such a
-radius no block of bits need agree, so buckets are samples of bits instead, as many as find ``RECALL`` of the pairs that are ``FAR`` bits apart.
-In a bucket the closest are linked first, so each text's shortest links are there. Then, in rounds, each text's shortest link out of its
-group is confirmed by the shingles themselves or struck out, until no link leads out of a group: at such a radius many texts are
-close by chance alone, and no group is made before its links are known to hold.
+``one_of_near`` serves a filter of near copies by similarity: five-word shingles, and links that are confirmed by them. Links of few bits come first;
+the prefix join of ``near`` finds all others, however far apart their fingerprints are.
 
 Rows without a doc_id have a fingerprint and no component; rows that repeat one are rows each. Texts without words share
 the fingerprint zero. A text of any length is one row: its shingles are hashed and counted a bounded number at a time.
@@ -31,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, cut, forget, groups
 from .components import components
+from .near import digest, near_links, shingles, sketches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Near copies by similarity: words of a shingle, shared share of both documents' shingles, radius of candidates, and the share found of pairs so far apart.
-NEAR_SHINGLE, SIMILARITY, WIDE, FAR, RECALL = 5, 0.8, 12, 11, 0.95
-#: Radii in turn, so that close ones are linked before far ones, and the largest bucket whose distances are sorted instead.
-LEVELS, SORTED = (2, 4, 6, 8, 10, 12), 2048
+#: Near copies by similarity: shared share of both documents' shingles.
+SIMILARITY = 0.8
+#: Of samples of bits, which no query uses any more: radius, and the share found of pairs so far apart.
+WIDE, FAR, RECALL = 12, 11, 0.95
 #: Fingerprints that a sample of bits leaves together, about.
 TOGETHER = 32
 #: Fingerprints of a tile, and of the largest bucket that one task compares.
@@ -141,22 +139,6 @@ def samples(n: int, far: int = FAR, recall: float = RECALL, together: int = TOGE
     return [sorted(rng.choice(64, bits, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
 
 
-def sampled(fps: DataFrame, places: list[list[int]]) -> DataFrame:
-    """(fp, ones, block, value): each fingerprint's bits in each of the samples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            ones = np.bitwise_count(fp).astype(np.int32)
-            for t, bits in enumerate(places):
-                value = np.zeros(len(fp), np.uint64)
-                for i, at in enumerate(bits):
-                    value |= (fp >> np.uint64(at) & np.uint64(1)) << np.uint64(i)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ones), pa.array(np.full(len(fp), t, np.int32)), pa.array(value.view(np.int64))], ["fp", "ones", "block", "value"])
-
-    return fps.select("fp").mapInArrow(run, "fp long, ones int, block int, value long")
-
-
 def blocked(fps: DataFrame, radius: int) -> DataFrame:
     """(fp, ones, block, value): the fingerprint in blocks of bits, of which close ones share at least one."""
     n_blocks = radius + 1
@@ -165,12 +147,9 @@ def blocked(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*blocks)).alias("block", "value"))
 
 
-def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET, rows: DataFrame | None = None, levels: tuple[int, ...] = ()) -> DataFrame:
-    """Links (a, b) that connect exactly what chains of fingerprints within ``radius`` bits connect. ``fps(fp)`` has no repeats.
-
-    ``rows`` are other buckets than blocks of bits; then what meets in none of them isn't connected.
-    """
-    rows = blocked(fps, radius) if rows is None else rows
+def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that connect exactly what chains of fingerprints within ``radius`` bits connect. ``fps(fp)`` has no repeats."""
+    rows = blocked(fps, radius)
     large = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
     dealt = cut(rows.join(large, ["block", "value"], "left"))
 
@@ -180,7 +159,7 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
             if g.num_rows > 1:
                 fp = np.sort(g.column(3).to_numpy().view(np.uint64))
                 ordered = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
-                x, y = shortest(fp, radius) if levels and len(fp) <= SORTED else forest(ordered, None, radius, tile, levels)
+                x, y = forest(ordered, None, radius, tile)
                 a += x
                 b += y
             if len(a) > 50_000:
@@ -205,38 +184,22 @@ def close_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, bucket:
         for batch in batches:
             for x, y, same in zip(*batch.columns, strict=True):
                 left, right = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                yield _links(*forest(left, None if same.as_py() else right, radius, tile, levels))
-
-    out = found.union(pairs.mapInArrow(pair, "a long, b long"))
-    out._made = (dealt, made)  # tables of its own, which no one needs once the links are written
-    return out
+                yield _links(*forest(left, None if same.as_py() else right, radius, tile))
 
+    return found.union(pairs.mapInArrow(pair, "a long, b long"))
 
-def _near_links(docs: DataFrame, distinct: DataFrame, radius: int, shingle: int, seed: int, least: float) -> DataFrame:
-    """Links (a, b) of ``distinct(fp, least)`` that the shingles of texts with these fingerprints confirm."""
-    found = close_links(distinct.select("fp"), radius, rows=sampled(distinct, samples(distinct.count())), levels=LEVELS)
-    links = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))))
-    for made in found._made:
-        forget(made)
-    linked = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = distinct.join(linked, "fp", "left_semi").select("fp", F.col("least").alias("doc_id"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                fps, made = [], []
-                for fp, t in zip(b.column(0)[i : i + 64].to_pylist(), b.column(1)[i : i + 64], strict=True):
-                    if np.uint64(fingerprint(t.as_py(), shingle, seed)).view(np.int64) == fp:  # an id may have several texts
-                        fps.append(fp)
-                        made.append(shingles(t.as_py(), NEAR_SHINGLE, seed).astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(made, pa.binary())], ["fp", "set"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    held = cut(texts.select("fp", "text").mapInArrow(sets, "fp long, set binary"))
-    once = held if held.groupBy("fp").count().where("count > 1").isEmpty() else held.dropDuplicates(["fp"])
-    good = confirmed(links, once, least)
-    forget(held)
+def _near_links(distinct: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of ``distinct(fp, bits, least, n, front)``: SimHash's as far as the shingles confirm them, and all others by the shingles."""
+    same = cut(distinct.groupBy("bits").agg(F.min("fp").alias("b")))
+    found = close_links(same.select(F.col("bits").alias("fp")))
+    links = distinct.join(same, "bits").select(F.col("fp").alias("a"), "b")
+    for end in ("a", "b"):
+        found = found.join(same.select(F.col("bits").alias(end), F.col("b").alias(f"of_{end}")), end)
+    links = cut(links.union(found.select("of_a", "of_b")))
+    good = near_links(docs, distinct.select("fp", F.col("least").alias("doc_id"), "n", "front"), links, least)
     forget(links)
+    forget(same)
     return good
 
 
@@ -244,17 +207,22 @@ def _classes(docs: DataFrame, radius: int, shingle: int, seed: int, least: float
     """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint with a doc_id.
 
     Components are of pairs (smallest doc_id, fingerprint), so their smallest pair holds the id that is asked for and no
-    aggregate over a component is needed.
+    aggregate over a component is needed. With ``least``, a text's fingerprint is the digest of its shingles.
     """
-    fp = cut(fingerprints(docs, shingle, seed))
-    distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    if least is None:
+        fp = cut(fingerprints(docs, shingle, seed))
+        distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")))
+        links = close_links(distinct.select("fp"), radius)
+    else:
+        fp = cut(sketches(docs, least, lambda t: fingerprint(t, shingle, seed)))
+        distinct = cut(fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.min("n").alias("n"), F.first("front").alias("front")))
+        links = _near_links(distinct, docs, least)
     node = distinct.select(F.col("fp"), F.struct("least", "fp").alias("node"))
-    links = close_links(distinct.select("fp"), radius) if least is None else _near_links(docs, distinct, radius, shingle, seed, least)
     for end in ("a", "b"):
         links = links.join(node.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
     roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     named = node.join(roots.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "node"))
-    return fp, cut(named.select("fp", F.col("root.fp").alias("root"), F.col("root.least").alias("component_id")))
+    return fp.select("doc_id", "fp"), cut(named.select("fp", F.col("root.fp").alias("root"), F.col("root.least").alias("component_id")))
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -271,8 +239,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
 def one_of_near(docs: DataFrame, least: float = SIMILARITY, radius: int = WIDE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Of each group of documents that chains of near copies connect the one with the smallest doc_id, and all rows without a doc_id.
 
-    A near copy shares ``least`` of both texts' five-word shingles; fingerprints (of ``shingle`` words) find candidates, and equal ones count as near
-    copies. Copies of a row go, unlike texts of one id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
+    A near copy shares ``least`` of both texts' five-word shingles, whatever their fingerprints (of ``shingle`` words) are: ``radius`` is taken for
+    older callers and leaves nothing out. Copies of a row go, unlike texts of one id stay. Texts without words are copies of each other. Long texts are one row each, and hashed whole.
     """
     return one_of_each(docs, radius, shingle, seed, least)
 
@@ -297,63 +265,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["row", "doc_id", "fp"])
+            fp = [digest(shingles(t.as_py())) for t in b.column(2)] if least is not None else np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["row", "doc_id", "fp"])
 
     schema = held.select("row", "doc_id", F.lit(0).cast("long").alias("fp")).schema
     apart = held.mapInArrow(run, schema).join(first, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"]).select("row.*")
     return named.unionByName(apart).unionByName(docs.where("doc_id is null"))
-
-
-def shingles(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The sorted set of hashes of a text's word shingles: of the whole if it has fewer words, none of a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
-    h = xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= shingle:
-        return np.array([h(b" ".join(words), seed)], np.uint64)
-    return np.unique(np.array([h(b" ".join(words[i : i + shingle]), seed) for i in range(len(words) - shingle + 1)], np.uint64))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared hashes of two sets as a part of all of theirs; two empty sets are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def confirmed(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``links(a, b, bits)`` that hold by ``sets(fp, set)`` and connect what all of them that hold connect by shortest links.
-
-    A link is looked at while it leads from one group to another, and for one of its ends no shorter one does.
-    """
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            given = ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([similarity(x, y) >= least for x, y in given], pa.bool_())], ["a", "b", "holds"])
-
-    def looked_at(some: DataFrame) -> DataFrame:
-        x, y = sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), sets.select(F.col("fp").alias("b"), F.col("set").alias("y"))
-        return cut(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, holds boolean"))
-
-    good, open_ = None, links
-    while True:
-        ends = open_.select("a", "b", "bits").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-        best = ends.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-        tried = looked_at(best)
-        if tried.isEmpty():
-            return good if good is not None else tried.select("a", "b")
-        held = tried.where("holds").select("a", "b")
-        last, good = good, cut(held if good is None else good.union(held))
-        roots = components(good)
-        of = lambda end: F.coalesce(F.col(f"root_{end}"), F.col(end))
-        rest = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        before, open_ = open_, cut(rest.where(of("a") != of("b")).select("a", "b", "bits"))
-        for done in (tried, last, before if before is not links else None):
-            if done is not None:
-                forget(done)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from postlake.llm import simhash
+from postlake.llm import near, simhash
 
 
 def jaccard(a: str | None, b: str | None, k: int = 5) -> float:
@@ -125,3 +126,52 @@ def test_samples(n, least):
         wrong = set(rng.choice(64, simhash.FAR, replace=False).tolist())
         met += any(not wrong & set(p) for p in places)
     assert met >= 0.88 * 300
+
+
+@pytest.mark.parametrize("often", [2, 64])
+def test_no_pair_is_left_out(spark, often):
+    """All pairs from 0.8 on are linked, however far apart their fingerprints are, in small groups, large ones and beside a passage that all hold."""
+    rng = np.random.default_rng(12)
+    shared, rows = [f"s{i}" for i in range(30)], []
+    for i in range(0, 240, 2):
+        words = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(12, 60)))] + (shared if i % 3 == 0 else [])
+        rows += [(i, " ".join(words)), (i + 1, changed(words, rng.uniform(0.02, 0.12), rng))]
+    base = [f"b{i}" for i in range(150)]
+    rows += [(1000 + i, changed(base, rng.uniform(0.02, 0.12), rng)) for i in range(90)]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sketched = near.sketches(df, 0.8, simhash.fingerprint)
+    distinct = sketched.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("front").alias("front")).cache()
+    none = spark.createDataFrame([], "a long, b long")
+    id_of = {r.fp: r.doc_id for r in distinct.collect()}
+    found = [(id_of[r.a], id_of[r.b]) for r in near.near_links(df, distinct, none, 0.8, often).collect()]
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in found)
+    found += [(r.doc_id, id_of[r.fp]) for r in sketched.collect()]  # equal sets are one
+    assert {frozenset(g) for g in linked(texts, found)} == {frozenset(g) for g in chained(texts)}
+    wide = [a for a in range(0, 240, 2) if jaccard(texts[a], texts[a + 1]) >= 0.8 and (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[a + 1])).bit_count() > simhash.WIDE]
+    kept = {r.doc_id for r in simhash.one_of_near(df).collect()}
+    assert wide and kept == {min(g) for g in chained(texts)}
+
+
+def linked(texts: dict, links: list) -> list[set]:
+    group = {i: {i} for i in texts}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return list({id(g): g for g in group.values()}.values())
+
+
+def test_fronts_of_alike_sets_meet():
+    """Of any two sets from the threshold on the fronts share an element, whichever elements come last."""
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        n = int(rng.integers(1, 40))
+        own = np.unique(rng.integers(0, 60, n).astype(np.uint64))
+        other = np.unique(np.concatenate((own[rng.random(len(own)) < 0.95], rng.integers(0, 60, int(rng.integers(0, 4))).astype(np.uint64))))
+        late = np.unique(rng.integers(0, 60, 20).astype(np.uint64))
+        ranks = rng.permutation(len(late))
+        if near.similarity(own, other) >= 0.8 and len(other):
+            assert set(near.front(own, 0.8, (late, ranks)).tolist()) & set(near.front(other, 0.8, (late, ranks)).tolist())
+    assert [near.length(n, 0.8) for n in (0, 1, 5, 10)] == [0, 1, 2, 3]
