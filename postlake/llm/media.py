@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 RATE, FRAME = 4000, 128
 #: Frames that a filter spans, and the largest share of wrong bits that is a match.
@@ -192,17 +192,26 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["class", "other", "offset", "votes", "overlap", "bit_errors"])
 
 
+def asked_places(classes: DataFrame) -> DataFrame:
+    """(class, asked, at, value, before, behind) of each integer of ``classes(class, asked, prints)`` that a query has too: no other one meets any."""
+    kind = "class long, asked boolean, at int, value int, before int, behind int"
+    rows = classes.select("class", "asked", "prints")
+    wanted = cut(rows.where("asked").mapInArrow(_places, kind).select("value").distinct())
+    made = cut(rows.mapInArrow(_places, kind).join(wanted, "value", "left_semi").select("class", "asked", "at", "value", "before", "behind"))
+    forget(wanted)
+    return made
+
+
 def histogram(classes: DataFrame, rare: int = RARE, around: int = AROUND) -> DataFrame:
     """(class, other, offset, weight): the votes of ``classes(class, asked, prints)`` for the offsets of those that are asked for.
 
     Of an integer with more than ``rare`` places those of queries lie in groups of about ``rare``, each of which meets all its places.
     """
-    places = classes.select("class", "asked", "prints").mapInArrow(_places, "class long, asked boolean, at int, value int, before int, behind int")
+    places = asked_places(classes)
     total = max(1, classes.agg(F.sum(F.length("prints"))).first()[0] or 0) / 4
-    counts = places.groupBy("value").agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).where("q > 0")
-    counts = cut(counts.select("value", "n", F.when(F.col("n") > rare, F.ceil(F.col("q") / rare)).otherwise(1).alias("parts")))
-    asked = cut(places.where("asked").drop("asked").join(counts, "value"))  # a row for each place of a query
-    asking = asked.where("n > 1").withColumn("part", F.pmod(F.xxhash64("class", "at"), F.col("parts")))
+    counts = places.groupBy("value").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"))
+    counts = cut(counts.where("n > 1").select("value", "n", F.when(F.col("n") > rare, F.ceil(F.col("q") / rare)).otherwise(1).alias("parts")))
+    asking = places.where("asked").drop("asked").join(counts, "value").withColumn("part", F.pmod(F.xxhash64("class", "at"), F.col("parts")))
     other = places.select(F.col("class").alias("other"), F.col("at").alias("there"), "value", F.col("before").alias("before_there"), F.col("behind").alias("behind_there"))
     # only places of an integer that lies in several groups are repeated
     several = counts.where("parts > 1").select("value", F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("every"))

@@ -259,3 +259,21 @@ def test_frequent_integers_vote_for_every_query(spark):
     classes = prints.select(F.col("id").alias("class"), (F.col("id") == 0).alias("asked"), "prints").cache()
     few, many = ({(r["class"], r.other, r.offset): round(r.weight, 6) for r in media.histogram(classes, rare=n).collect()} for n in (2, 1000))
     assert few == many and {(0, i, -i) for i in range(1, 12)} <= set(few)
+
+
+def test_only_places_that_queries_ask_for_travel(spark):
+    """Integers of which no query has an equal one reach no exchange; all places of the others do, and their votes are those of all pairs."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, media.sing(f"{words(30 + i, 5000 + i)} {words(20, 5100 + i % 2)}")) for i in range(10)]
+    prints = media.fingerprints(spark.createDataFrame(rows, "id long, media binary"), "id")
+    classes = prints.select(F.col("id").alias("class"), (F.col("id") == 0).alias("asked"), "prints").cache()
+    every = {r["class"]: np.frombuffer(r.prints, "<i4") for r in classes.collect()}
+    own = Counter(every[0].tolist())
+    got = media.asked_places(classes).collect()
+    assert sorted((r["class"], r.at, r.value) for r in got) == sorted((c, i, v) for c, x in every.items() for i, v in enumerate(x.tolist()) if v in own)
+    assert 0 < len(got) < 0.5 * sum(map(len, every.values()))
+    votes = {(r.other, r.offset) for r in media.histogram(classes).collect()}
+    assert {(i, -i) for i in range(2, 10, 2)} <= votes <= {(c, i - j) for c, x in every.items() if c for i, v in enumerate(every[0].tolist()) for j, w in enumerate(x.tolist()) if v == w}
