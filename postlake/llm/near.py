@@ -5,10 +5,11 @@ shared part is at least ``least`` have an element in common within each one's fr
 order that all texts share. So texts meet by the elements of their fronts, and nothing that meets the threshold is left out. The order is that
 of the hashes, except that elements found in many fronts come last; which they are decides speed only.
 
-Pairs are not counted out where groups are large. First SimHash's links, and in the buckets of frequent elements each text with one of them
-(its bucket's leader), are confirmed by the sets themselves, and what they connect becomes a group. Then all pairs that still lead from one group to another
-are counted by the elements which both fronts hold: sets share at most these and what lies behind the front of one, so few pairs are left to look at.
-These are confirmed too, the likeliest first, then all others. What chains of near copies connect is one group.
+No pair of a large bucket is a row. First SimHash's links, and in the buckets of frequent elements each text with one of them
+(its bucket's leader), are confirmed by the sets themselves, and what they connect becomes a group. Then the texts of frequent elements are dealt out as
+tiles, and a row for each two tiles: what still leads from one group to another is compared within a task, all with all, and leaves as a forest of links.
+Only pairs that meet in small buckets are rows. They are counted by the elements which both fronts hold: sets share at most these and what lies behind the
+front of one, so few pairs are left to look at. These are confirmed too, the likeliest first, then all others. What chains of near copies connect is one group.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, forget
+from .common import ASCII_LOWER, cut, forget, groups
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -30,6 +31,10 @@ SHINGLE, SEED = 5, 42
 OFTEN, LISTED = 64, 1 << 20
 #: Times that fronts are taken anew for frequent elements, and rounds of leaders and of the likeliest pairs; then all others are looked at.
 AGAIN, LEADERS, LIKELIEST = 2, 3, 2
+#: Texts and bytes of their sets in a tile, about, and the most bits of a set's mark.
+TILE, TILE_BYTES, MARK = 1024, 8 << 20, 1 << 13
+#: Texts that frequent elements connect are compared all with all unless their pairs are so many times those of the elements' buckets.
+WIDER = 4
 #: Room for rounding: bounds let this much more through, never less.
 ROOM = 1e-6
 
@@ -162,6 +167,74 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[c for c in pairs.columns if c not in ("a", "b")])
 
 
+def tile_links(large: DataFrame, sets: DataFrame, roots: DataFrame, least: float, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Links (a, b) of near copies that connect, with the groups of ``roots(node, root)``, all near copies that meet in a bucket of ``large(token, fp)``.
+
+    Texts that frequent elements connect lie together once, not once for each element, unless that makes far more pairs. A tile holds sets of like size, and either
+    only texts of its bucket's largest group or only others; sizes too far apart, and two tiles of one group, are not compared.
+    """
+    family = cut(components(large.select(F.col("token").alias("a"), F.col("fp").alias("b"))))
+    known = large.join(family.select(F.col("node").alias("fp"), F.col("root").alias("family")), "fp")
+    per_token = known.groupBy("token").agg(F.min("family").alias("family"), F.count("*").cast("double").alias("m"))
+    by_token = per_token.groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("met"))
+    members = known.select("family", "fp").distinct()
+    size = members.groupBy("family").agg(F.count("*").cast("double").alias("m"))
+    whole = cut(by_token.join(size, "family").select("family", (F.col("m") * F.col("m") <= WIDER * F.col("met")).alias("whole")))
+    keyed = members.join(whole.where("whole"), "family").select(F.col("family").alias("key"), "fp").union(known.join(whole.where("not whole"), "family").select("token", "fp"))
+    keyed = cut(_grouped(keyed, roots).join(sets.select("fp", "n"), "fp"))
+    of_root = keyed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    first = of_root.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    several = keyed.join(first, "key").select("key", "fp", "root", "n", (F.col("root") == F.col("largest")).alias("inside"), F.floor(3 * F.log2("n")).alias("size"))
+    at = ["key", "inside", "size"]
+    parts = several.groupBy(at).agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(8 * F.sum("n") / tile_bytes)).alias("parts"))
+    placed = cut(several.join(parts, at).withColumn("tile", F.struct("inside", "size", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))).select("key", "tile", "fp", "root", "n"))
+    tiles = cut(placed.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("low_root"), F.max("root").alias("high_root")))
+    x, y = (tiles.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "lo", "hi", "low_root", "high_root")]) for s in "xy")
+    sized = (F.col("lo_x") * least <= F.col("hi_y") + ROOM) & (F.col("lo_y") * least <= F.col("hi_x") + ROOM)
+    one = F.least("low_root_x", "low_root_y") == F.greatest("high_root_x", "high_root_y")
+    pairs = cut(x.join(y, "key").where((F.col("tile_x") <= F.col("tile_y")) & sized & ~one).select("key", "tile_x", "tile_y", F.monotonically_increasing_id().alias("pair")))
+    sides = pairs.select("key", "pair", F.col("tile_x").alias("tile"), F.lit(0).cast("long").alias("side")).union(pairs.where("tile_x <> tile_y").select("key", "pair", "tile_y", F.lit(1).cast("long")))
+    dealt = sides.join(placed, ["key", "tile"]).join(sets.select("fp", "set"), "fp").select("pair", "side", "fp", "root", "set")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, 1):
+            side, fp, root = (g.column(i).to_numpy() for i in (1, 2, 3))
+            own = [np.frombuffer(x.as_py(), "<u8") for c in g.column(4).chunks for x in c]
+            first = int((side == 0).sum())
+            links = close_sets(own, root, least, first if first < len(side) else None)
+            yield pa.RecordBatch.from_arrays([pa.array([fp[i] for i, _ in links], pa.int64()), pa.array([fp[j] for _, j in links], pa.int64())], ["a", "b"])
+
+    found = cut(dealt.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(compared, "a long, b long"))
+    for x in (family, whole, keyed, placed, tiles, pairs):
+        forget(x)
+    return found
+
+
+def marks(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: whether an odd number of its elements falls on the bit. Rows differ in no more bits than sets in elements."""
+    bits = 1 << min(MARK.bit_length() - 1, max(8, (4 * max(map(len, sets))).bit_length()))
+    odd = np.array([np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1 for s in sets])
+    return np.packbits(odd, axis=1).view(np.uint64)
+
+
+def close_sets(sets: list[np.ndarray], groups_of: np.ndarray, least: float, cut_at: int | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is close and in unlike groups: among all sets, or (``cut_at``) between those before that place and those from it on."""
+    n = len(sets)
+    sizes, bits = np.array([len(s) for s in sets], np.int64), marks(sets)
+    label, out = np.unique(groups_of, return_inverse=True)[1], []
+    for i in range(n if cut_at is None else cut_at):
+        s = i + 1 if cut_at is None else cut_at
+        apart = s + np.flatnonzero(label[s:] != label[i])
+        apart = apart[np.minimum(sizes[apart], sizes[i]) >= least * np.maximum(sizes[apart], sizes[i]) - ROOM]
+        wrong = np.bitwise_count(bits[apart] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = wrong <= (1 - least) / (1 + least) * (sizes[apart] + sizes[i]) + ROOM
+        for j in apart[ok][np.argsort(wrong[ok], kind="stable")].tolist():
+            if label[j] != label[i] and similarity(sets[i], sets[j]) >= least:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def near_links(docs: DataFrame, distinct: DataFrame, first: DataFrame, least: float, often: int = OFTEN) -> DataFrame:
     """Links (a, b) that connect exactly what chains of near copies connect, each of them one of these.
 
@@ -191,23 +264,27 @@ def near_links(docs: DataFrame, distinct: DataFrame, first: DataFrame, least: fl
         held, roots, done = *_more(held, tried), (held, roots)
         for x in (*done, tried):
             forget(x)
-    if hasattr(sets, "_cut"):
-        forget(sets)
-    forget(large)
-
-    # pairs of groups that meet in a bucket, then their texts; all elements that a pair's fronts share are counted, as each of them leads out of a group
-    own = cut(_grouped(buckets.select("token", "fp", "n"), roots))
-    in_bucket = own.select("token", "root").distinct()
-    several = cut(in_bucket.join(in_bucket.groupBy("token").count().where("count > 1").select("token"), "token"))
-    met = several.select("token", F.col("root").alias("root_a")).join(several.select("token", F.col("root").alias("root_b")), "token").where("root_a < root_b")
-    a = own.select("token", F.col("root").alias("root_a"), F.col("fp").alias("a"), F.col("n").alias("n_a"))
-    b = own.select("token", F.col("root").alias("root_b"), F.col("fp").alias("b"), F.col("n").alias("n_b"))
+    # the rest of the large buckets, tile by tile
+    found = tile_links(large, sets, roots, least)
+    lots = cut(large.groupBy("fp").agg(F.count("*").alias("lots")))
+    if not found.isEmpty():
+        held, roots, done = *_more(held, found.withColumn("holds", F.lit(True))), (held, roots)
+        for x in done:
+            forget(x)
+    for x in (large, found, *([sets] if hasattr(sets, "_cut") else [])):
+        forget(x)
+
+    # pairs of texts of several groups that meet in a small bucket: all elements of small buckets that a pair's fronts share are counted, and frequent ones bounded
+    own = _grouped(buckets.where(F.col("m") <= often).select("token", "fp", "n"), roots).join(lots, "fp", "left")
+    own = cut(own.select("token", "fp", "n", "root", F.coalesce("lots", F.lit(0)).alias("lots")))
+    sides = [own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root", "lots")]) for x in "ab"]
     small, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    pairs = met.join(a, ["token", "root_a"]).join(b, ["token", "root_b"]).where(small >= least * most - ROOM)
-    behind = F.ceil(F.lit(least) * most - ROOM) - 1  # what lies behind the longer front
+    pairs = sides[0].join(sides[1], "token").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & (small >= least * most - ROOM))
+    pairs = pairs.groupBy(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), "n_a", "n_b", "lots_a", "lots_b").agg(F.count("*").alias("k"))
+    behind = F.ceil(F.lit(least) * most - ROOM) - 1 + F.least("lots_a", "lots_b")  # what lies behind the longer front, and frequent elements
     enough = F.col("k") + behind >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - ROOM
-    pairs = cut(_ordered(pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k")).where(enough).select("a", "b", "k")))
-    for x in (own, several, buckets, shared):
+    pairs = cut(pairs.where(enough).select("a", "b", "k"))
+    for x in (own, lots, buckets, shared):
         forget(x)
 
     wanted = cut(of.join(ends(pairs).distinct(), "fp", "left_semi"))

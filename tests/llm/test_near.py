@@ -175,3 +175,54 @@ def test_fronts_of_alike_sets_meet():
         if near.similarity(own, other) >= 0.8 and len(other):
             assert set(near.front(own, 0.8, (late, ranks)).tolist()) & set(near.front(other, 0.8, (late, ranks)).tolist())
     assert [near.length(n, 0.8) for n in (0, 1, 5, 10)] == [0, 1, 2, 3]
+
+
+def test_no_pair_of_a_large_group_is_a_row(spark, monkeypatch):
+    """No table between the steps grows with the square of a group of which most pairs lie below 0.8."""
+    rng = np.random.default_rng(15)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, changed(base, 0.06, rng)) for i in range(400)]
+    texts, counts, cut = dict(rows), [], near.cut
+    some = [(a, b) for a in range(100) for b in range(a)]
+    assert sum(jaccard(texts[a], texts[b]) < 0.8 for a, b in some) > 0.8 * len(some)
+
+    def counted(df):
+        made = cut(df)
+        counts.append(made.count())
+        return made
+
+    monkeypatch.setattr(near, "cut", counted)
+    kept = {r.doc_id for r in simhash.one_of_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {min(g) for g in chained(texts)} and max(counts) < 40 * len(rows)
+
+
+@pytest.mark.parametrize("cut_at", [None, 70])
+def test_close_sets(cut_at):
+    """Links of two tiles connect what comparing all with all connects, and each of them is close and leads to another group."""
+    rng = np.random.default_rng(16)
+    base = np.unique(rng.integers(0, 1 << 63, 150).astype(np.uint64))
+    sets = [np.unique(np.concatenate((rng.choice(base, len(base) - int(rng.integers(3, 25)), replace=False), rng.integers(0, 1 << 63, int(rng.integers(1, 12))).astype(np.uint64)))) for _ in range(140)]
+    given = np.array([i if i % 5 else -1 for i in range(140)])
+    links = near.close_sets(sets, given, 0.8, cut_at)
+    close = [(i, j) for i in range(140) for j in range(i + 1, 140) if near.similarity(sets[i], sets[j]) >= 0.8 and (cut_at is None or i < cut_at <= j)]
+    ids, same = {i: None for i in range(140)}, [(0, i) for i in range(140) if i % 5 == 0]
+    assert 0 < len(links) < 140 and set(links) <= set(close) and len(close) > 3 * len(links)
+    assert {frozenset(g) for g in linked(ids, links + same)} == {frozenset(g) for g in linked(ids, close + same)}
+    assert not any(given[i] == given[j] for i, j in links)
+
+
+@pytest.mark.parametrize("wider", [0, 4])
+def test_tiles(spark, monkeypatch, wider):
+    """Tiles of a few texts, dealt by element or by what elements connect: with the groups given, all near copies of a bucket are connected."""
+    monkeypatch.setattr(near, "WIDER", wider)
+    rng = np.random.default_rng(17)
+    texts = {i: changed([f"b{i // 60}x{j}" for j in range(120)], rng.uniform(0.02, 0.08), rng) for i in range(120)}
+    own = {i: near.shingles(t) for i, t in texts.items()}
+    sets = spark.createDataFrame([(i, len(s), bytearray(s.astype("<u8").tobytes())) for i, s in own.items()], "fp long, n int, set binary")
+    large = spark.createDataFrame([(-1 - 7 * (i // 60) - x, i) for i in texts for x in range(3) if x == 0 or i % (x + 1)], "token long, fp long")
+    roots = spark.createDataFrame([(i, 1) for i in range(1, 40)], "node long, root long")
+    links = [(r.a, r.b) for r in near.tile_links(large, sets, roots, 0.8, tile=8).collect()]
+    given = [(1, i) for i in range(1, 40)]
+    close = [(a, b) for a in texts for b in range(a) if a // 60 == b // 60 and near.similarity(own[a], own[b]) >= 0.8]
+    assert links and all(near.similarity(own[a], own[b]) >= 0.8 for a, b in links)
+    assert {frozenset(g) for g in linked(texts, links + given)} == {frozenset(g) for g in linked(texts, close + given)}
