@@ -37,6 +37,8 @@ CLASSES = 12
 #: Places from which an integer's votes are dealt out over tasks, wrong bits of the surroundings (of 32 on each side) up to which two places
 #: vote, and the share of the highest weight from which an offset is judged.
 RARE, AROUND, KEEP = 256, 10, 0.25
+#: Bits of the mark by which most integers that no query holds are left where they are; a full mark costs exchanges, never places.
+MARK = 26
 
 
 def filters() -> list[tuple[int, int, int, int, int]]:
@@ -163,13 +165,21 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return stop - start, int(np.bitwise_count(a[start:stop] ^ b[start - offset : stop - offset]).sum())
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, asked, at, value, before, behind) of each integer that is not still."""
+def _bits(x: np.ndarray) -> np.ndarray:
+    """The bit of the mark that an integer falls on."""
+    return (x.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - MARK)
+
+
+def _places(batches: Iterator[pa.RecordBatch], mark: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(class, asked, at, value, before, behind) of each integer that is not still and, if a mark is given, falls on a bit of it that is set."""
     for b in batches:
         for c, asked, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             x = np.frombuffer(data.as_py(), "<i4")
             still = np.zeros(len(x), bool)
             still[1:-1] = (x[1:-1] == x[:-2]) & (x[1:-1] == x[2:])
+            if mark is not None:
+                bit = _bits(x)
+                still |= (mark[bit >> np.uint32(3)] >> (bit & np.uint32(7)).astype(np.uint8) & 1) == 0
             for at in np.array_split(np.flatnonzero(~still), len(x) // (1 << 18) + 1):
                 if not len(at):
                     continue
@@ -197,11 +207,27 @@ def asked_places(classes: DataFrame) -> DataFrame:
     kind = "class long, asked boolean, at int, value int, before int, behind int"
     rows = classes.select("class", "asked", "prints")
     wanted = cut(rows.where("asked").mapInArrow(_places, kind).select("value").distinct())
-    made = cut(rows.mapInArrow(_places, kind).join(wanted, "value", "left_semi").select("class", "asked", "at", "value", "before", "behind"))
+    spread = classes.sparkSession.sparkContext.broadcast(_mark(wanted))
+    marked = rows.mapInArrow(lambda batches: _places(batches, spread.value), kind)
+    made = cut(marked.join(wanted, "value", "left_semi").select("class", "asked", "at", "value", "before", "behind"))
     forget(wanted)
     return made
 
 
+def _mark(wanted: DataFrame) -> np.ndarray:
+    """The bits on which the integers of ``wanted(value)`` fall, eight to a byte; 2 to the power of MARK in all, however many integers there are."""
+
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(b.column(0).to_numpy()).astype(np.int64) + 1)], ["place"])
+
+    bits = wanted.select("value").mapInArrow(fall, "place long")  # Spark counts places from 1
+    made = np.zeros(1 << MARK - 3, np.uint8)
+    for r in bits.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toLocalIterator():
+        made[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return made
+
+
 def histogram(classes: DataFrame, rare: int = RARE, around: int = AROUND) -> DataFrame:
     """(class, other, offset, weight): the votes of ``classes(class, asked, prints)`` for the offsets of those that are asked for.
 
@@ -238,6 +264,8 @@ def matches(prints: DataFrame, is_query: Column, errors: float = ERRORS, keep: f
     wanted = member.where(is_query).select("class").distinct().withColumn("asked", F.lit(True))
     classes = known.join(named.select(F.col("class").alias("id")), "id").where(F.length("prints") > 0).select(F.col("id").alias("class"), "prints")
     classes = cut(classes.join(wanted, "class", "left").select("class", F.coalesce("asked", F.lit(False)).alias("asked"), "prints"))
+    forget(known)
+    forget(named)
 
     votes = cut(histogram(classes, rare))
     leads = votes.join(votes.groupBy("class").agg(F.max("weight").alias("most")), "class").where(F.col("weight") >= keep * F.col("most"))

@@ -277,3 +277,18 @@ def test_only_places_that_queries_ask_for_travel(spark):
     assert 0 < len(got) < 0.5 * sum(map(len, every.values()))
     votes = {(r.other, r.offset) for r in media.histogram(classes).collect()}
     assert {(i, -i) for i in range(2, 10, 2)} <= votes <= {(c, i - j) for c, x in every.items() if c for i, v in enumerate(every[0].tolist()) for j, w in enumerate(x.tolist()) if v == w}
+
+
+def test_mark_of_the_integers_that_queries_hold(spark):
+    """Integers of which no query has an equal one are nearly all left out before any exchange, and no other one is."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(21)
+    asked, others = rng.integers(-(1 << 31), 1 << 31, 5000).astype(np.int32), rng.integers(-(1 << 31), 1 << 31, 50_000).astype(np.int32)
+    mark = media._mark(spark.createDataFrame([(int(v),) for v in [*asked, 0, -1, -(1 << 31), (1 << 31) - 1]], "value int").repartition(3))
+    x = np.concatenate((others, asked, np.array([0, -1, -(1 << 31), (1 << 31) - 1], np.int32)))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([False]), pa.array([x.astype("<i4").tobytes()], pa.binary())], ["class", "asked", "prints"])
+    every, left = (pa.Table.from_batches(list(media._places([batch], m))).to_pylist() for m in (None, mark))
+    wanted = {int(v) for v in x[50_000:]}
+    assert [r for r in every if r["value"] in wanted] == [r for r in left if r["value"] in wanted]
+    assert len(every) == len(x) and len(left) < len(wanted) + 100 and all(r in every[: len(x)] for r in left[:5])
